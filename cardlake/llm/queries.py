@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import decontam, packing, quality, sharding, warc
+from cardlake.llm import decontam, neardup, packing, pseudonyms, quality, sharding, warc
 from cardlake.llm.common import cut, scratch, table
 
 
@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, quality.fit(measured)).select(*base, "kept", "quality")
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pseudonyms.KINDS])
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -42,8 +47,12 @@ def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op8_cost_packing, op9_warc_dictionary)
+    f.__name__: f for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op5_feistel_pseudonyms, op8_cost_packing, op9_warc_dictionary, op10_bagminhash)
 }
 
 ORACLE: dict[str, str] = {}
