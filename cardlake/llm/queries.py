@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import decontam, neardup, packing, pseudonyms, quality, sharding, warc
+from cardlake.llm import ctw, decontam, langid, neardup, packing, pseudonyms, quality, sharding, toxicity, warc
 from cardlake.llm.common import cut, scratch, table
 
 
@@ -29,11 +29,28 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured, quality.fit(measured)).select(*base, "kept", "quality")
 
 
+def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    prototypes = langid.learn(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pseudonyms.KINDS])
 
 
+def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null")
+    model = toxicity.learn(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,7 +69,9 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op5_feistel_pseudonyms, op8_cost_packing, op9_warc_dictionary, op10_bagminhash)
+    f.__name__: f
+    for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op4_hyperdimensional_language, op5_feistel_pseudonyms,
+              op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash)
 }
 
 ORACLE: dict[str, str] = {}
