@@ -58,6 +58,19 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def release() -> None:
+    """Give memory that Python and Arrow no longer use back to the system: workers live on beside the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a C library that has it
+        pass
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that a piece holds about most_bytes, or a single row if that row is longer."""
     for batch in batches:

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.llm.common import ascii_lower, crc_of_id, cut, scratch, text_slices, words
+from cardlake.llm.common import ascii_lower, crc_of_id, cut, release, scratch, text_slices, words
 
-DEPTH, EDGE, HOT_WORDS = 5, 255, 400_000
+DEPTH, EDGE, HOT_WORDS = 5, 255, 200_000
 LOG2 = math.log(2)
 
 
@@ -60,10 +60,11 @@ def context_keys(stream: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.zeros(len(keys), np.int64)
-    np.add.at(counts, inverse, np.concatenate([p[1] for p in parts]))
-    return keys, counts
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first)
 
 
 def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -75,24 +76,23 @@ def context_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, counts = merged(parts)
-            parts[:] = [(keys, counts)]
-
+            parts.clear()
             for i in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], ["key", "n"])
 
-        for b in text_slices(batches, 6 << 20):
+        for b in text_slices(batches, 2 << 20):
             stream, at, _ = byte_stream(b.column(0).to_pylist(), depth)
             parts.append(np.unique(context_keys(stream, at, depth), return_counts=True))
             held += len(parts[-1][0])
-            if held > 4_000_000:
+            if held > 2_000_000:
                 parts[:] = [merged(parts)]
                 held = len(parts[0][0])
-                if held > 3_000_000:
+                if held > 1_500_000:
                     yield from out()
-                    parts.clear()
                     held = 0
         if parts:
             yield from out()
+        release()
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -206,7 +206,7 @@ def upper_levels(contexts: np.ndarray, log_pw: np.ndarray, leaves: np.ndarray) -
 
 
 def train(docs: DataFrame, depth: int = DEPTH) -> str:
-    """The path of the model table (depth, context, log_chances of 256 bytes), in the shared folder."""
+    """The path of the model table, in the shared folder: depth, context, log_chances (of the bytes seen in training, at depth 0 of all 256; at depth -1 those bytes)."""
     spark = docs.sparkSession
     counts = cut(context_counts(docs, depth), "contexts").withColumn("last", F.shiftrightunsigned("key", 8 * (depth - TOP + 1)))
     schema = "last long, log_pw binary, leaves binary"
@@ -221,9 +221,10 @@ def train(docs: DataFrame, depth: int = DEPTH) -> str:
     model = "depth int, context long, log_chances binary"
     if not rows:
         flat = np.full(256, -math.log10(256), np.float32).tobytes()
-        spark.createDataFrame([(0, 0, bytearray(flat))], model).write.parquet(path)
+        spark.createDataFrame([(0, 0, bytearray(flat)), (-1, 0, bytearray(range(256)))], model).write.parquet(path)
         return path
     matrix = lambda i, kind: np.stack([np.frombuffer(r[i], kind) for r in rows])
+    seen = np.flatnonzero(sum(np.frombuffer(r[2], np.int64) for r in rows))
     last, sure, left, top_rows = upper_levels(np.array([r[0] for r in rows], np.int64), matrix(1, np.float64), matrix(2, np.int64))
     above = {int(c): i for i, c in enumerate(last)}
 
@@ -235,13 +236,16 @@ def train(docs: DataFrame, depth: int = DEPTH) -> str:
         out: dict[str, list] = {"depth": [], "context": [], "log_chances": []}
         for d, level in enumerate(levels, TOP):
             s, rest = mixed(level, *((s, rest) if d == TOP else (s[level.parent], rest[level.parent])))
-            chances = log_chances(s, rest)
+            chances = log_chances(s, rest)[:, seen]
             out["depth"] += [d] * len(level.contexts)
             out["context"] += level.contexts.astype(np.int64).tolist()
             out["log_chances"] += [x.tobytes() for x in chances]
+        del levels, chances, s, rest
+        release()
         return pa.table({"depth": pa.array(out["depth"], pa.int32()), "context": pa.array(out["context"], pa.int64()), "log_chances": pa.array(out["log_chances"], pa.binary())})
 
-    upper = spark.createDataFrame([(d, c, bytearray(x.tobytes())) for d, c, x in top_rows], model)
+    top = [(d, c, x if d == 0 else x[seen]) for d, c, x in top_rows] + [(-1, 0, seen.astype(np.uint8))]
+    upper = spark.createDataFrame([(d, c, bytearray(x.tobytes())) for d, c, x in top], model)
     counts.groupBy("last").applyInArrow(tabled, model).unionByName(upper).write.parquet(path)
     return path
 
@@ -258,38 +262,30 @@ def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """The table as arrays: a walk from the latest byte backwards finds the deepest seen context of every position at once."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        """rows: by depth from 0, sorted contexts and their log chances (contexts x 256)."""
-        self.depth = len(rows) - 1
-        self.root = rows[0][2][0].astype(np.float64)
-        there = np.zeros(256, bool)
-        for d, contexts, _ in rows[1:]:
-            there[np.unique(contexts >> (8 * (d - 1)) & 255)] = True
-            there[np.unique(contexts & 255)] = True
-        there[EDGE] = True
-        self.symbol = np.where(there, np.cumsum(there) - 1, there.sum()).astype(np.int64)
-        self.n = int(there.sum()) + 1
-        own = np.flatnonzero(there)
-        self.chances = np.concatenate([x[2][:, own] for x in rows])
-        self.base = np.concatenate([[0], np.cumsum([len(x[1]) for x in rows])])
+    def __init__(self, seen: np.ndarray, root: np.ndarray, contexts: list[np.ndarray], chances: np.ndarray) -> None:
+        """seen: the bytes of training; root: log chances of all bytes without context; contexts: by depth from 0, sorted; chances: of seen bytes, a row for each context."""
+        self.depth, self.root, self.chances = len(contexts) - 1, root.astype(np.float64), chances
+        self.n = len(seen) + 1
+        self.symbol = np.full(256, self.n - 1, np.int32)
+        self.symbol[seen] = np.arange(len(seen))
+        self.base = np.concatenate([[0], np.cumsum([len(x) for x in contexts])])
         self.steps = []
         for d in range(1, self.depth + 1):
-            before, contexts = rows[d - 1][1], rows[d][1]
-            step = np.full((len(before) + 1) * self.n, len(contexts), np.int32)  # the last state of a level: not seen
-            step[np.searchsorted(before, contexts >> 8) * self.n + self.symbol[contexts & 255]] = np.arange(len(contexts))
+            before, here = contexts[d - 1], contexts[d]
+            step = np.full((len(before) + 1) * self.n, len(here), np.int32)  # the last state of a level: not seen
+            step[np.searchsorted(before, here >> 8) * self.n + self.symbol[here & 255]] = np.arange(len(here))
             self.steps.append(step)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        depth = max(self.depth, 1)
-        stream, at, text = byte_stream(texts, depth)
+        stream, at, text = byte_stream(texts, max(self.depth, 1))
         symbols = self.symbol[stream]
-        state, row = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        state, row = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
         for d, step in enumerate(self.steps, 1):
             state = step[state * self.n + symbols[at - d]]
-            row = np.where(state < self.base[d + 1] - self.base[d], self.base[d] + state, row)
+            row = np.where(state < self.base[d + 1] - self.base[d], np.int32(self.base[d]) + state, row)
         own = symbols[at]
         known = own < self.n - 1
-        logs = np.where(known, self.chances[row, np.minimum(own, self.n - 2)], self.root[stream[at]])
+        logs = np.where(known, self.chances[row, np.minimum(own, self.n - 2)].astype(np.float64), self.root[stream[at]])
         return np.bincount(text, weights=logs, minlength=len(texts))
 
 
@@ -297,22 +293,30 @@ _LOADED: dict[str, Model] = {}
 
 
 def load(path: str) -> Model:
-    """The model of a path, read once by a worker."""
+    """The model of a path, read once by a worker, batch by batch into one array."""
     if path not in _LOADED:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(path)
-        data = ds.dataset(root, filesystem=files, format="parquet", exclude_invalid_files=False).to_table()
-        depths, contexts = data["depth"].to_numpy(), data["context"].to_numpy()
-        flat = np.frombuffer(b"".join(x for c in data["log_chances"].chunks for x in c.to_pylist()), np.float32).reshape(-1, 256)
-        rows = []
-        for d in range(int(depths.max()) + 1):
-            own = np.flatnonzero(depths == d)
-            own = own[np.argsort(contexts[own])]
-            rows.append((d, contexts[own], flat[own]))
         _LOADED.clear()
-        _LOADED[path] = Model(rows)
+        files, root = fs.FileSystem.from_uri(path)
+        data = ds.dataset([f.path for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet")], filesystem=files, format="parquet")
+        narrow = data.to_table(columns=["depth", "context"])
+        depths, contexts = narrow["depth"].to_numpy(), narrow["context"].to_numpy()
+        order = np.lexsort((contexts, depths))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        own = {r["depth"]: r["log_chances"] for r in data.to_table(filter=ds.field("depth") < 1).to_pylist()}
+        seen = np.frombuffer(own[-1], np.uint8)
+        chances, at = np.zeros((len(order) - 1, len(seen)), np.float16), 0  # half precision halves what a worker holds
+        for b in data.scanner(columns=["depth", "log_chances"], batch_size=20_000, use_threads=False, batch_readahead=1, fragment_readahead=1).to_batches():
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if d >= 0:
+                    v = np.frombuffer(x, np.float32)
+                    chances[place[at] - 1] = v[seen] if d == 0 else v
+                at += 1
+        depths, contexts = depths[order][1:], contexts[order][1:]
+        _LOADED[path] = Model(seen, np.frombuffer(own[0], np.float32), [contexts[depths == d] for d in range(int(depths.max()) + 1)], chances)
     return _LOADED[path]
 
 
@@ -321,9 +325,10 @@ def model_scores(docs: DataFrame, path: str, *keys: str) -> DataFrame:
     schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keys) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 20):
             scores = load(path)(b.column(len(keys)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(scores, pa.float64())], [*keys, "score"])
+        release()
 
     return docs.select(*keys, "text").mapInArrow(run, schema)
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cardlake.llm import ctw, decontam, langid, neardup, packing, pseudonyms, quality, sharding, toxicity, warc
 from cardlake.llm.common import cut, scratch, table
 
+#: Labels (two numbers a row) go to the texts up to this many rows; beyond, both are shuffled.
+BROADCAST_LABELS = 2_000_000
+
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,6 +46,7 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out(F.col("doc_id")))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic is not null")
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
     model = toxicity.learn(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 

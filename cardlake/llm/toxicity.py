@@ -8,8 +8,7 @@ A sentence is as toxic as its worst token, and a text as its worst sentence. Tok
 learned rows; those that occur far more in toxic texts are the witnesses. A bounded number of tokens (WITNESSES, CLEAN_TOKENS; the most telling, and the most
 frequent and a hashed choice of the others) trains the machine on their kernel values with LANDMARKS landmarks, with gapped and
 inserted-character forms of the witnesses added; then the clean tokens that it finds worst, among all learned ones, join the training set, HARD_ROUNDS times. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
-so a token costs its subsequences once, not once per landmark. A logistic curve over a bounded number (CALIBRATION) of learned texts, chosen by a hash of
-their ids, turns the worst tokens' margins into a score.
+so a token costs its subsequences once, not once per landmark. A logistic curve over a hashed share of the learned texts, CALIBRATION in expectation, turns the worst tokens' margins into a score.
 
 Defined cases: a null or empty text, or one without letters, gets the score of a text whose tokens are all harmless. A null doc_id counts as an empty id. Without both labels
 among the learned rows every score is 0. Repeated rows are scored each; empty tables give an empty result. Texts of any length are read whole.
@@ -20,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -109,16 +109,18 @@ def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
-    side = np.zeros((len(others), SIGNS**ORDER), np.float32)
-    for at, some in by_length(others):
-        codes, w = subsequences(some)
-        for k, i in enumerate(at):
-            np.add.at(side[i], codes[k], w[k])
     out = np.zeros((len(words), len(others)))
-    for at, some in by_length(words):
-        codes, w = subsequences(some)
-        for k, i in enumerate(at):
-            out[i] = side[:, codes[k]] @ w[k]
+    for lo in range(0, len(others), 64):  # the dense side is SIGNS ** ORDER wide
+        some_others = others[lo : lo + 64]
+        side = np.zeros((len(some_others), SIGNS**ORDER), np.float32)
+        for at, some in by_length(some_others):
+            codes, w = subsequences(some)
+            for k, i in enumerate(at):
+                np.add.at(side[i], codes[k], w[k])
+        for at, some in by_length(words):
+            codes, w = subsequences(some)
+            for k, i in enumerate(at):
+                out[i, lo : lo + 64] = side[:, codes[k]] @ w[k]
     return out
 
 
@@ -129,18 +131,22 @@ def spoiled(word: str, seed: int) -> list[str]:
     return [word[:i] + chr(97 + int(r.integers(0, 26))) + word[i:], word[:j] + word[j] + word[j:]]
 
 
-def train_machine(good: list[str], bad: list[str]) -> tuple[np.ndarray, float]:
-    """Weights per subsequence and bias, from a squared-hinge machine in the landmarks' space."""
+def train_machine(good: list[str], bad: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+    """Weights per subsequence and bias, from a squared-hinge machine in the landmarks' space. bad: witnesses with the number of toxic texts that hold them, their weight."""
+    times = dict(bad)
+    bad = list(times)
     marks = bad[: LANDMARKS // 2] + good[: LANDMARKS // 2]
-    more = [s for k, w in enumerate(bad) if len(w) > 3 for s in spoiled(w, k)]
-    words = bad + more + good
+    more = [(s, times[w] / 4) for k, w in enumerate(bad) if len(w) > 3 for s in spoiled(w, k)]
+    words = bad + [s for s, _ in more] + good
     y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    share = np.array([*times.values(), *[n for _, n in more], *[1] * len(good)], float)
+    for side in (y > 0, y < 0):
+        share[side] *= 0.5 / share[side].sum()
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     kept = values > 1e-6 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     x = np.hstack([kernel(words, marks) @ whiten, np.ones((len(words), 1))])
-    ridge = np.full(x.shape[1], 1e-4)
+    ridge = np.full(x.shape[1], 1e-6)
     ridge[-1] = 0
     w = np.zeros(x.shape[1])
     for _ in range(30):  # Newton steps on the rows inside the margin
@@ -167,7 +173,7 @@ class Model:
 
 
 class Scorer:
-    """The two largest margins of texts, and how many distinct tokens lie above 0 (its log1p); tokens seen before are remembered, up to a number."""
+    """The three largest margins of texts' distinct tokens; tokens seen before are remembered, up to a number."""
 
     def __init__(self, model: Model, most: int = 400_000) -> None:
         self.model, self.most, self.known = model, most, {}
@@ -186,9 +192,7 @@ class Scorer:
         known.update(zip(new, np.clip(worst, -2, 2).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
         for i, s in enumerate(sets):
-            found = sorted(m for m in map(known.__getitem__, s) if m > -1)
-            found = [-1.0, -1.0, *found]
-            out[i] = found[-1], found[-2], np.log1p(sum(m > 0 for m in found))
+            out[i] = nlargest(3, [-1.0, -1.0, -1.0, *map(known.__getitem__, s)])
         return out
 
 
@@ -207,17 +211,17 @@ def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def _raw(docs: DataFrame, model: Model, others: list[str]) -> DataFrame:
-    """others, _first, _second, _over of each row of docs (others, text)."""
+    """others, _first, _second, _third of each row of docs (others, text)."""
     at = len(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in text_slices(batches):
             x = scorer(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(x[:, k]) for k in range(3)]], [*others, "_first", "_second", "_over"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.array(x[:, k]) for k in range(3)]], [*others, "_first", "_second", "_third"])
 
     own = docs.select(*others, "text")
-    fields = [f for f in own.schema.fields[:-1]] + [StructField(c, DoubleType()) for c in ("_first", "_second", "_over")]
+    fields = [f for f in own.schema.fields[:-1]] + [StructField(c, DoubleType()) for c in ("_first", "_second", "_third")]
     return own.mapInArrow(run, StructType(fields))
 
 
@@ -241,7 +245,7 @@ def learn(docs: DataFrame) -> Model:
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
     told = cut(counts.withColumn("odds", odds), "token-counts")
     witness = (F.col("bad") >= 3) & (F.col("odds") > 3)
-    bad = [r["w"] for r in told.filter(witness).orderBy(F.desc("odds"), F.desc("bad"), "w").limit(WITNESSES).collect()]
+    bad = [(r["w"], r["bad"]) for r in told.filter(witness).orderBy(F.desc("odds"), F.desc("bad"), "w").limit(WITNESSES).collect()]
     clean = told.filter((F.col("odds") < 0) & (F.col("good") > 0))
     good = [r["w"] for r in clean.orderBy(F.desc("good"), "w").limit(CLEAN_TOKENS // 2).collect()]
     good += [r["w"] for r in clean.orderBy(F.xxhash64("w"), "w").limit(CLEAN_TOKENS // 2).collect()]
@@ -253,9 +257,10 @@ def learn(docs: DataFrame) -> Model:
         hard = [r["w"] for r in _worst(clean.select("w"), model).orderBy(F.desc("margin"), "w").limit(HARD_TOKENS).collect()]
         good = list(dict.fromkeys(hard + good))
         model = Model(*train_machine(good, bad))
-    sample = rows.orderBy(F.xxhash64(F.lit(6), "doc_id"), "doc_id").limit(CALIBRATION)
+    share = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, CALIBRATION / sum(n.values())))
+    sample = rows.filter(share)
     seen = _raw(sample, model, ["toxic"]).toPandas()
-    x = seen[["_first", "_second", "_over"]].to_numpy()
+    x = seen[["_first", "_second", "_third"]].to_numpy()
     return Model(model.weights, model.bias, curve(x, seen["toxic"].to_numpy(float)))
 
 
@@ -265,7 +270,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     if model.weights is None:
         return docs.select(*others).withColumn("score", F.lit(0.0))
     a, b, c, d = model.curve
-    z = F.lit(a) * F.col("_first") + F.lit(b) * F.col("_second") + F.lit(c) * F.col("_over") + F.lit(d)
+    z = F.lit(a) * F.col("_first") + F.lit(b) * F.col("_second") + F.lit(c) * F.col("_third") + F.lit(d)
     return _raw(docs, model, others).select(*others, (1 / (1 + F.exp(-z))).alias("score"))
 
 
