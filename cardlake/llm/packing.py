@@ -38,7 +38,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes. Byte-level BPE works within the pieces of a fixed pattern, so pieces are encoded once and remembered, up to a number."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from public_tokenizers import PATTERN
@@ -51,10 +51,11 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self.find(t) for t in texts]
         known = self.known
-        new = list({p for ps in split for p in ps if p not in known})
+        pieces = set().union(*split)
+        new = list(pieces.difference(known))
         if len(known) + len(new) > self.most:
             known.clear()
-            new = list({p for ps in split for p in ps})
+            new = list(pieces)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, "<u4").tobytes()
         get = known.__getitem__
