@@ -42,12 +42,18 @@ def jensen_shannon(df: DataFrame, key: str) -> DataFrame:
     return shares(df, key, 0.0).agg(F.sqrt(F.lit(0.5) * F.sum(term("r") + term("c"))).alias("distance"))
 
 
-def kolmogorov_smirnov(df: DataFrame, column: str) -> DataFrame:
+def kolmogorov_smirnov(df: DataFrame, column: str, ranges: int = 256) -> DataFrame:
+    """The largest distance of the two sides' cumulative shares. Values are summed within ranges between quantiles, so no task sorts them all."""
     r, c = _sides()
     by = df.groupBy(column).agg(r.alias("r"), c.alias("c"))
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    total = df.agg(r.alias("nr"), c.alias("nc"))
-    both = by.withColumns({"f": F.sum("r").over(upto), "g": F.sum("c").over(upto)}).crossJoin(F.broadcast(total))  # one row
+    splits = by.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000).alias("splits"))
+    binned = by.crossJoin(F.broadcast(splits)).withColumn("_b", F.size(F.filter("splits", lambda s: s <= F.col(column)))).drop("splits")  # one row
+    sums = binned.groupBy("_b").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    before, every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    start = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0))
+    starts = sums.select("_b", start("r").alias("r0"), start("c").alias("c0"), F.sum("r").over(every).alias("nr"), F.sum("c").over(every).alias("nc"))
+    upto = Window.partitionBy("_b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    both = binned.join(F.broadcast(starts), "_b").withColumns({"f": F.col("r0") + F.sum("r").over(upto), "g": F.col("c0") + F.sum("c").over(upto)})  # ranges rows
     return both.agg(F.max(F.abs(F.col("f") / F.col("nr") - F.col("g") / F.col("nc"))).alias("d"))
 
 
