@@ -54,3 +54,50 @@ def response(found: DataFrame) -> DataFrame:
         .otherwise(choice("log_only", 0.5))
     )
     return found.withColumn("_r", made).select("*", "_r.*").drop("_r")
+
+
+def routed(found: DataFrame) -> DataFrame:
+    """priority, expires_at and whether the user is blocked, for alerts with an action."""
+    action = F.col("action")
+    later = lambda days: F.col("ts") + F.expr(f"interval {days} days")
+    until = F.when(action == "immediate_block", later(1)).when(action == "auto_investigate", later(7)).when(action == "manual_review", later(3))
+    urgent, usual = action.isin("auto_investigate", "escalate", "immediate_block"), action.isin("manual_review", "notify_team")
+    priority = F.when(urgent, "high").when(usual, "medium").otherwise("low")
+    return found.withColumns({"expires_at": until, "priority": priority, "blocks": action == "immediate_block"})
+
+
+def notifications(routed: DataFrame) -> DataFrame:
+    """subject and message of each routed alert that anyone is told of."""
+    subject = F.format_string("Fraud alert: user %s", F.col("user_id").cast("string"))
+    message = F.format_string("%s alert of transaction %s, action %s", F.col("severity"), F.col("transaction_id").cast("string"), F.col("action"))
+    return routed.filter("action <> 'log_only'").withColumns({"subject": subject, "message": message})
+
+
+def seconds_allowed(severity: Column) -> Column:
+    return F.when(severity == "CRITICAL", 1).when(severity == "HIGH", 5).when(severity == "MEDIUM", 30).otherwise(300)
+
+
+def status_of(log: DataFrame) -> DataFrame:
+    """The last status of each alert in a log (transaction_id, status, at), and when it first had each kind of status."""
+    first = lambda *of: F.min(F.when(F.col("status").isin(*of), F.col("at")))
+    last = lambda *of: F.max(F.when(F.col("status").isin(*of), F.col("at")))
+    return log.groupBy("transaction_id").agg(
+        F.max_by("status", "at").alias("status"),
+        first("PENDING").alias("pending_at"),
+        first("INVESTIGATING").alias("investigating_at"),
+        last("RESOLVED", "FALSE_POSITIVE").alias("resolved_at"),
+    )
+
+
+def prior(found: DataFrame, days: int = 30, most: int = 50) -> DataFrame:
+    """prior: the user's newest alerts before each one, in the days before it and at most so many."""
+    rows = Window.partitionBy("user_id").orderBy("ts", "transaction_id").rowsBetween(-most, -1)
+    seen = F.collect_list(F.struct("transaction_id", "ts", "fraud_score")).over(rows)
+    recent = F.filter("_seen", lambda p: p["ts"] >= F.col("ts") - F.expr(f"interval {days} days"))
+    return found.withColumn("_seen", seen).withColumn("prior", recent).drop("_seen")
+
+
+def mean_of(items: str, field: str) -> Column:
+    """The mean of a field of an array of structs; 0 if it is empty."""
+    total = F.aggregate(items, F.lit(0.0), lambda s, p: s + p[field])
+    return F.when(F.size(items) > 0, total / F.size(items)).otherwise(0.0)

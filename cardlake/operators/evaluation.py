@@ -62,3 +62,10 @@ def mutual_information(df: DataFrame, feature: str, label: str) -> DataFrame:
     cells = df.groupBy(feature, label).agg(F.count("*").alias("n"))
     f, y, every = (F.sum("n").over(Window.partitionBy(*k)) for k in ([feature], [label], [F.lit(0)]))
     return cells.select("n", f.alias("f"), y.alias("y"), every.alias("t")).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("f") * F.col("y")))).alias("mi"))
+
+
+def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, mean and t of the differences of two columns."""
+    d = F.col(a) - F.col(b)
+    one = df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"))
+    return one.select("n", "mean", (F.col("mean") / (F.col("std") / F.sqrt("n"))).alias("t"))

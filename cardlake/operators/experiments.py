@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,24 @@ def bucket(user_id: Column, experiment: str, buckets: int = 10_000) -> Column:
         part = F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long")
         out = F.pmod(out * 65536 + part, F.lit(buckets))
     return out
+
+
+def precision_test(scorecard: DataFrame) -> DataFrame:
+    """The difference of two variants' precision and its pooled z, in one row. scorecard: a row a variant with predictions, tp and fp."""
+    of = lambda v, c: F.coalesce(F.sum(F.when(F.col("variant") == v, c)), F.lit(0))
+    said = F.col("tp") + F.col("fp")
+    one = scorecard.agg(
+        F.sum("predictions").alias("predictions"), of("control", said).alias("nc"), of("treatment", said).alias("nt"), of("control", F.col("tp")).alias("tc"), of("treatment", F.col("tp")).alias("tt")
+    )
+    pc, pt = F.try_divide("tc", "nc"), F.try_divide("tt", "nt")
+    p = F.try_divide(F.col("tc") + F.col("tt"), F.col("nc") + F.col("nt"))
+    spread = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("nc")) + F.try_divide(F.lit(1), F.col("nt"))))
+    return one.withColumns({"effect": pt - pc, "z": F.try_divide(pt - pc, spread)})
+
+
+def report(scorecard: DataFrame, target: int, least: int = 50, z_limit: float = 1.959964) -> DataFrame:
+    """Which variant is better, and whether to stop: a clear difference, or hardly any after half the target. z_limit is the two-sided 5 % bound."""
+    t = precision_test(scorecard)
+    enough, clear = F.least("nc", "nt") >= least, F.abs("z") > z_limit
+    decision = F.when(~enough, "insufficient").when(clear, F.when(F.col("z") > 0, "treatment").otherwise("control")).otherwise("no difference")
+    return t.withColumns({"decision": decision, "stop": (enough & clear) | ((F.abs("effect") < 0.1) & (F.col("predictions") > target / 2))})

@@ -50,3 +50,18 @@ def consensus(feedback: DataFrame, least: float = 0.8, consistency: float = 0.9)
         F.when(F.col("best.is_fraud"), "fraud").otherwise("legitimate").alias("label"),
         F.round(F.col("best.w") / F.col("total"), 5).alias("consensus"),
     ).filter(F.col("consensus") >= least)
+
+
+def weights(feedback: DataFrame, as_of: DataFrame, decay_hours: float = 24.0) -> DataFrame:
+    """How much each agreed transaction counts in training. as_of: one row, column as_of."""
+    age = (F.unix_micros("as_of") - F.unix_micros("given")) / 3.6e9
+    by = feedback.crossJoin(F.broadcast(as_of)).groupBy("transaction_id").agg(  # one row
+        (F.sum(F.col("confidence") * F.col("accuracy")) / F.sum("accuracy")).alias("weighted_confidence"),
+        F.avg(F.exp(-age / decay_hours)).alias("temporal_weight"),
+        F.least(F.lit(0.2), F.count("*") * 0.1).alias("bonus"),
+        (F.avg("accuracy") * F.avg("confidence")).alias("trust"),
+    )
+    out = by.join(consensus(feedback).select("transaction_id", "consensus"), "transaction_id")
+    out = out.withColumn("quality", F.least(F.lit(1.0), (F.col("consensus") + F.col("bonus")) * F.col("trust")))
+    include = (F.round("quality", 6) > 0.7) & (F.col("consensus") > 0.8)
+    return out.withColumns({"training_weight": F.least(F.lit(1.0), F.col("quality") * F.col("temporal_weight")), "include": include}).drop("bonus", "trust")
