@@ -69,3 +69,18 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     one = df.agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"))
     return one.select("n", "mean", (F.col("mean") / (F.col("std") / F.sqrt("n"))).alias("t"))
+
+
+def mutual_information_by(df: DataFrame, feature: str, value: str, label: str) -> DataFrame:
+    """feature and mi, in nats, of many discrete features in long form."""
+    cells = df.groupBy(feature, value, label).agg(F.count("*").alias("n"))
+    v, y, every = (F.sum("n").over(Window.partitionBy(*k)) for k in ([feature, value], [feature, label], [feature]))
+    term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("v") * F.col("y")))
+    return cells.withColumns({"v": v, "y": y, "t": every}).groupBy(feature).agg(F.sum(term).alias("mi"))
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The area under the curve of scores rounded to three digits, equal scores counted half; null without both labels."""
+    b = by_score(df, score, label)
+    pairs = F.sum((F.col("n") - F.col("p")) * (F.col("hit") - F.col("p") / 2))
+    return b.agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))
