@@ -13,6 +13,7 @@ from cardlake.sources import records
 from cardlake.sources.tables import read, transactions
 
 FEATURES = ("amount", "amount_vs_avg", "amount_vs_last", "velocity", "hour", "weekday", "daily_count", "total_transactions", "addr1")
+FLAGS = ("is_high_amount", "is_unusual_hour", "is_rapid", "amount_vs_avg")  # what the fallback score reads
 
 
 # ---- records ----
@@ -74,11 +75,12 @@ def profile_report_sink(spark, sf_dir):
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, label and weight of every transaction; the rare label weighs as much as the other one in all."""
     s = scored(spark, sf_dir).withColumns({"label": F.col("is_fraud").cast("double"), "weight": F.when(F.col("is_fraud") == 1, 10.0).otherwise(1.0)})
-    return models.aligned(s, FEATURES)
+    aligned = models.aligned(s, FEATURES)
+    return records.stored(aligned.select("transaction_id", "is_fraud", "product", "label", "weight", *FLAGS, *[f"f_{c}" for c in FEATURES]), "rows")
 
 
 def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    both = evaluation.stratified_split(rows(spark, sf_dir), "transaction_id", "is_fraud")
+    both = records.stored(evaluation.stratified_split(rows(spark, sf_dir), "transaction_id", "is_fraud"), "split")
     return both.filter("in_training"), both.filter("not in_training")
 
 
@@ -129,7 +131,7 @@ def updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, rest = _split(spark, sf_dir)
     pipeline = models.estimator(FEATURES, ("product",), models.logistic())
     agreed = training_batch(spark, sf_dir).select("transaction_id", F.col("label").cast("double").alias("label"))
-    feedback = train.drop("label", "weight").join(agreed, "transaction_id").withColumn("weight", F.lit(2.0))
+    feedback = records.stored(train.drop("label", "weight").join(agreed, "transaction_id").withColumn("weight", F.lit(2.0)), "feedback")
     old = models.score(rest, pipeline.fit(train), rules.fallback_score(), "old").drop("i_product")
     return models.score(old, models.refit(pipeline, train, feedback), rules.fallback_score(), "new")
 
@@ -141,7 +143,7 @@ def weighted_update_from_feedback(spark, sf_dir):
 
 @query()
 def update_gate(spark, sf_dir):
-    both = updated(spark, sf_dir).select("old", "new", "is_fraud")
+    both = records.stored(updated(spark, sf_dir).select("old", "new", "is_fraud"), "scores")
     return models.gate(both, "old", "new", evaluation.auc(both, "new", "is_fraud"))
 
 

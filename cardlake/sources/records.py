@@ -16,6 +16,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read again, so that work which passes over it often does not compute it each time."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def csv(spark: SparkSession, path: str, schema: StructType, first: int | None = None) -> DataFrame:
     """A CSV table with a header and typed columns, whole or its first rows; what can't be read as its type is null."""
     rows = spark.read.csv(path, schema=schema, header=True)
