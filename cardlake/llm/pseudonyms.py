@@ -1,7 +1,10 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks in DataFrame expressions only.
 
 Found and validated: e-mail addresses, card numbers (Luhn), IBANs (mod 97), phone numbers (8 to 15 digits), US social security numbers
-(issued ranges), IPv4 addresses (octets to 255) and calendar dates from 1900 to 2099. What looks alike but fails its check stays as it is. A value's
+(issued ranges), IPv4 addresses (octets to 255) and calendar dates from 1900 to 2099. What looks alike but fails its check stays as it is. Every place where
+a value may begin is looked at unless a value before covers it, also within what failed its check, and forms that took in what follows are tried again without their
+last parts: IBANs by their country's length first, phone numbers by their country code's number of digits and not into a date, time, address or card number. A number
+after a phone number is taken for a part of it where the country's numbers vary in length and leave room for it. A value's
 pseudonym is another valid value of the same format: digits stay digits, letters keep their case, separators stay, check digits are
 made anew. It depends on the key and the value alone, so equal values stay linked across documents, and every step is a permutation, so
 different values stay different.
@@ -25,16 +28,40 @@ from cardlake.llm.common import let
 
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
+EDGE, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: Lengths of IBANs by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Digits after the country code, least and most, by country code.
+PHONES = {
+    (6, 6): "376", (7, 7): "354", (8, 8): "45 47 53 65 216 356 357 370 371 373 374 382 387 389 852 853 968 973 974", (6, 11): "39 49 352 358", (7, 8): "372 961", (7, 9): "46 353", (4, 13): "43",
+    (8, 9): "32 36 51 66 213 355 359 377 385 855 886 962 965 971 972", (8, 10): "20 57 60 63 64 82 234", (9, 9): "27 31 33 34 40 41 48 56 61 93 94 212 218 251 254 255 256 351 375 380 381 386 420 421 963 967 994 995 996 998 966",
+    (9, 10): "44 81 84 92", (10, 10): "1 7 30 52 58 90 91 98 880 964 977", (10, 11): "54 55", (8, 12): "62", (7, 10): "95", (10, 12): "86",
+}
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+_IP = r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
+#: What a phone number doesn't run into: a date, a time, an address, a social security number, a card number.
+_OTHER = rf"(?:(?:19|20)\d\d-(?:0\d|1[0-2])-[0-3]\d|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}|\d{{1,2}}:\d\d|{_IP}|\d{{3}}-\d\d-\d{{4}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}})(?!\d)"
+_COUNTRY = "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBANS.items())
+_PLUS = r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?"
+#: By kind, the forms of a value from its first sign on; the first that passes the kind's check counts.
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "ip": r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}",
-    "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}",
-    "card": r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}",
+    "email": [r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"],
+    "iban": [_COUNTRY, r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"],
+    "ip": [_IP],
+    "date": [_DATE],
+    "ssn": [r"\d{3}-\d{2}-\d{4}"],
+    "phone": [rf"{_PLUS}(?:(?:[ .-](?!{_OTHER}))?\d{{2,4}}){{1,7}}", _PLUS + r"(?:[ .-]?\d{2,4}){1,7}", r"\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"],
+    "card": [r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"\d{13,19}"],
 }
-PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{FORMATS[k]})" for k in KINDS) + r")(?![\p{L}\p{N}_])"
+#: Empty matches before all that may begin a value.
+STARTS = EDGE + "(?=" + "|".join([
+    r"(?<![A-Za-z0-9._%+-])" + FORMATS["email"][0], r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}", rf"(?<!\d\.){_IP}", _DATE, FORMATS["ssn"][0], _PLUS + r"[ .-]?\d{2}", FORMATS["phone"][2], *[rf"(?:{x})" for x in FORMATS["card"]],
+]) + ")"
+#: What is looked at from a start on: more than any value but an e-mail address takes.
+VIEW = rf"{STARTS}(?=((?:{FORMATS['email'][0]})?(?s:.){{0,99}}))"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end with 2099-12-31
 Tweak = Callable[[Column], Column]
 
@@ -177,15 +204,47 @@ def _card(key: str, m: Column) -> Column:
     return let(F.regexp_replace(m, "[^0-9]", ""), made)
 
 
-def replaced(key: str, m: Column) -> Column:
-    """struct(kind, new) of a match; null where it fails its check."""
+def _iban_passes(m: Column) -> Column:
+    return let(F.translate(m, " ", ""), lambda s: F.length(s).between(12, 35) & (mod97(F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))) == 1))
+
+
+def _card_passes(m: Column) -> Column:
+    return let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.length(d).between(13, 19) & ((luhn_sum(F.substr(d, F.lit(1), F.length(d) - 1)) + F.substr(d, F.length(d)).cast("int")) % 10 == 0))
+
+
+def _phone_fits(m: Column, least: bool) -> Column:
+    """Whether a number with a country code has as many digits as the country's, or as many at most."""
+    lengths = "|".join(rf"(?:{c.replace(' ', '|')})\d{{{lo if least else 0},{hi}}}" for (lo, hi), c in PHONES.items())
+    return m.startswith("+") & let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.length(d).between(8, 15) & d.rlike(f"^(?:{lengths})$"))
+
+
+def _value(kind: str, view: Column) -> Column:
+    """The value of a kind at the beginning of view; null or empty without one."""
+    end = rf"(?:{END}|(?=[Tt]\d))" if kind == "date" else END
+    seen = [F.regexp_extract(view, f"^(?:{x}){end}", 0) for x in FORMATS[kind]]
+    first = lambda found, passes: F.get(F.filter(found, passes), F.lit(0))
+    # a form that took in what follows is tried without its last 0, 1, 2 ... parts
+    less = lambda m, part: let(m, lambda x: F.array(*[F.regexp_extract(x, rf"^(.+?)(?:{part}){{{k}}}$", 1) for k in range(8)]))
+    if kind == "iban":
+        return first(F.concat(F.array(seen[0]), less(seen[1], " [A-Z0-9]+")), _iban_passes)
+    if kind == "phone":
+        part = r"[ .-]\(?\d+\)?"
+        passes = [lambda m: _phone_fits(m, True), lambda m: _phone_fits(m, False), lambda m: F.length(F.regexp_replace(m, "[^0-9]", "")).between(8, 15)]
+        return let(F.concat(less(seen[0], part), less(seen[1], part), F.array(seen[2])), lambda found: F.coalesce(*[first(found, f) for f in passes]))
+    if kind == "card":
+        return first(F.array(*seen), _card_passes)
+    return seen[0]
+
+
+def replaced(key: str, view: Column) -> Column:
+    """struct(kind, n, new) of the value that view begins with, n its length; null where none passes its check."""
     makers = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-    kind = F.lit(None).cast("string")
-    new = F.lit(None).cast("string")
-    for k in reversed(KINDS):
-        form = m.contains("@") if k == "email" else m.rlike(f"^(?:{FORMATS[k]})$")
-        kind, new = F.when(form, k).otherwise(kind), F.when(form, makers[k](key, m)).otherwise(new)
-    return F.struct(kind.alias("kind"), new.alias("new"))
+
+    def made(k: str) -> Column:
+        new = lambda m: let(makers[k](key, m), lambda x: F.when(x.isNotNull(), F.struct(F.lit(k).alias("kind"), F.length(m).alias("n"), x.alias("new"))))
+        return let(_value(k, view), lambda m: F.when(m != "", new(m)))
+
+    return F.coalesce(*[made(k) for k in KINDS])
 
 
 def pseudonymise(docs: DataFrame, key: str = "example key") -> DataFrame:
@@ -195,14 +254,31 @@ def pseudonymise(docs: DataFrame, key: str = "example key") -> DataFrame:
     """
     text = F.col("text")
 
-    def rewritten(ms: Column) -> Column:
-        new = F.concat(F.transform(ms, lambda x: F.coalesce(x["r"]["new"], x["m"])), F.array(F.lit("")))
-        joined = F.array_join(F.zip_with(F.split(text, PATTERN), new, lambda a, b: F.concat(a, b)), "")
-        n = lambda k: F.size(F.filter(ms, lambda x: x["r"]["new"].isNotNull() & (x["r"]["kind"] == k))).cast("long")
-        return F.struct(joined.alias("text"), *[n(k).alias(k) for k in KINDS])
+    def step(acc: Column, x: Column) -> Column:
+        """over: signs of the part that the last value covers. cuts: for each part the signs to leave out, with "+" before where its value is taken."""
+        size = F.length(x["part"])
+        taken = (acc["over"] == 0) & x["r"].isNotNull()
+        over = F.when(taken, x["r"]["n"]).otherwise(acc["over"])
+        return let(over, lambda o: F.struct(F.greatest(o - size, F.lit(0)).alias("over"), F.concat(acc["cuts"], F.when(taken, "+").otherwise(""), F.least(o, size).cast("string"), F.lit(",")).alias("cuts")))
+
+    def rewritten(parts: Column, found: Column) -> Column:
+        """parts: the text cut before each start, after a line feed; found: what is at each start."""
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        both = F.zip_with(rest, found, lambda part, r: F.struct(part.alias("part"), r.alias("r")))
+        cuts = lambda xs: F.split(F.aggregate(xs, F.struct(F.lit(0).alias("over"), F.lit("").alias("cuts")), step, lambda acc: acc["cuts"]), ",")
+        on = lambda x, c: F.struct(F.when(c.startswith("+"), x["r"]).alias("r"), F.substr(x["part"], F.regexp_replace(c, r"\+", "").cast("int") + 1).alias("left"))
+        placed = let(both, lambda xs: F.zip_with(xs, F.slice(cuts(xs), 1, F.size(xs)), on))
+
+        def put(ys: Column) -> Column:
+            joined = F.array_join(F.transform(ys, lambda y: F.concat(F.coalesce(y["r"]["new"], F.lit("")), y["left"])), "")
+            n = lambda k: F.size(F.filter(ys, lambda y: y["r"]["kind"] == k)).cast("long")
+            return F.struct(F.substr(F.concat(parts[0], joined), F.lit(2)).alias("text"), *[n(k).alias(k) for k in KINDS])
+
+        return let(placed, put)
 
     none = F.struct(text.alias("text"), *[F.lit(0).cast("long").alias(k) for k in KINDS])
-    matches = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), replaced(key, m).alias("r")))
-    found = docs.withColumn("_p", F.when(text.rlike("[0-9@]"), let(matches, rewritten)).otherwise(none))
+    framed = F.concat(F.lit("\n"), text)
+    values = F.transform(F.regexp_extract_all(framed, F.lit(VIEW), F.lit(1)), lambda view: replaced(key, view))
+    found = docs.withColumn("_p", F.when(text.rlike("[0-9@]"), let(F.split(framed, STARTS), lambda parts: let(values, lambda vs: rewritten(parts, vs)))).otherwise(none))
     counts = {f"n_{k}": F.col(f"_p.{k}") for k in KINDS}
     return found.withColumns({"text": F.col("_p.text")} | counts).withColumn("n_pii", sum((F.col(c) for c in counts), F.lit(0).cast("long"))).drop("_p")

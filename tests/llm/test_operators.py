@@ -165,6 +165,18 @@ def test_pseudonyms(spark, odd):
     assert pseudonyms.pseudonymise(odd).count() == odd.count() and pseudonyms.pseudonymise(odd.limit(0)).isEmpty()
 
 
+def test_pseudonyms_next_to_other_tokens(spark):
+    iban, spaced, phone, date, card = "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "+44 20 7946 0958", "2023-05-01", "4111 1111 1111 1111"
+    texts = [iban, spaced, phone, date, card, f"{iban} EUR", f"{iban} 2024 x", f"{spaced} EUR", f"{phone} {date}", f"{phone} 15 x", f"{phone} 192.168.10.10", f"{date}T10:00:00Z", f"1234 {card}", f"{card} 2024", f"{phone}\n{card}", f"+49 30 12345 {date}", f"{date}Tx"]
+    out = [(r["text"], r["n_pii"]) for r in pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert [n for _, n in out] == [1, 1, 1, 1, 1, 1, 1, 1, 2, 1, 2, 1, 1, 1, 2, 2, 0]
+    new = [t for t, _ in out]
+    assert all(a != b for a, b in zip(texts[:5], new, strict=False))
+    assert new[5:10] == [f"{new[0]} EUR", f"{new[0]} 2024 x", f"{new[1]} EUR", f"{new[2]} {new[3]}", f"{new[2]} 15 x"]
+    assert new[10].startswith(f"{new[2]} ") and "192.168.10.10" not in new[10]
+    assert new[11:15] == [f"{new[3]}T10:00:00Z", f"1234 {new[4]}", f"{new[4]} 2024", f"{new[2]}\n{new[4]}"] and new[15].endswith(f" {new[3]}") and new[16] == texts[16]
+
+
 def bag(text):
     ws = split(text)
     return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else None
