@@ -10,7 +10,7 @@ position keeps its earliest point. Points come in order of time, and only those
 follows the signature's length rather than its product with the document's; where a position is still empty, the stop time is doubled.
 Two documents agree in a position with a probability equal to their similarity.
 
-Plan: equal word sequences are first reduced to one representative (the smallest id). Representatives that share a band key meet in a
+Plan: equal word sequences are first reduced to one representative (the row with the smallest id). Representatives that share a band key meet in a
 bucket. Narrow bucket rows are joined into candidate components; a component of at most UNIT documents is one unit of work, a larger one is split
 by bucket, and a bucket larger than that into pairs of blocks, so every pair that shares a bucket meets in some unit and no task holds more than 2 * UNIT
 documents. In a unit, pairs whose signatures agree in at least SCREEN of the positions (six standard deviations below the threshold) are verified
@@ -18,8 +18,9 @@ exactly, most alike first, unless links already found join them; a unit gives at
 
 Missed links: a pair at exactly 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1.5e-5.
 
-Defined cases: null, empty and blank texts have no shingles and are classes of their own. A null doc_id has a null class. Repeated ids are one node; repeated
-rows each keep a result row. An empty table gives an empty result. Input columns named like result columns are replaced.
+Defined cases: null, empty and blank texts have no shingles and are classes of their own. A row belongs to the class of its text, whatever
+its id: rows of equal id and different text are judged each, so classes may have the same name where ids collide; a row without an id can be in a class that others name, and a class
+without any id has a null name. Repeated rows each keep a result row. An empty table gives an empty result. Input columns named like result columns are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardlake.llm.common import cut, let, text_slices, words
@@ -133,24 +134,26 @@ def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (of the word sequence), keys (of bands), sig and bag for each document with words.
+def row_keys(docs: DataFrame) -> list[Column]:
+    """r1, r2: 128 bits that name a row's id and text."""
+    return [F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"]).alias(f"r{k}") for k in (1, 2)]
+
 
-    bag: its shingles with their number among equal ones, hashed and sorted, so that the overlap of two such sets is that of the multisets.
-    """
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, r1, r2, k1, k2 (of the word sequence), keys (of bands) and sig for each document with words."""
     of_words = lambda ws: F.struct(F.transform(ws, lambda w: F.xxhash64(w)).alias("ws"), F.xxhash64(F.lit(1), ws).alias("k1"), F.xxhash64(F.lit(2), ws).alias("k2"))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(words(F.col("text")), of_words).alias("w")).filter(F.size("w.ws") > 0)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs), let(words(F.col("text")), of_words).alias("w")).filter(F.size("w.ws") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 6 << 20):
-            bag, bounds = shingle_bags(*_flat(b.column(3)))
+            bag, bounds = shingle_bags(*_flat(b.column(5)))
             sigs = signatures(bag, bounds)
             keys = band_keys(sigs)
             n = len(sigs)
-            out = [b.column(0), b.column(1), b.column(2), _lists(keys.ravel(), np.arange(n + 1) * BANDS), _lists(sigs.ravel().view(np.int32), np.arange(n + 1) * POSITIONS)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "k1", "k2", "keys", "sig"])
+            out = [*b.columns[:5], _lists(keys.ravel(), np.arange(n + 1) * BANDS), _lists(sigs.ravel().view(np.int32), np.arange(n + 1) * POSITIONS)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "r1", "r2", "k1", "k2", "keys", "sig"])
 
-    return split.select("doc_id", "w.k1", "w.k2", "w.ws").mapInArrow(run, "doc_id long, k1 long, k2 long, keys array<long>, sig array<int>")
+    return split.select("doc_id", "r1", "r2", "w.k1", "w.k2", "w.ws").mapInArrow(run, "doc_id long, r1 long, r2 long, k1 long, k2 long, keys array<long>, sig array<int>")
 
 
 def bags(docs: DataFrame) -> DataFrame:
@@ -226,11 +229,13 @@ def units(bucket_rows: DataFrame, unit: int = UNIT) -> DataFrame:
     return whole.unionByName(other.select("doc_id", "unit", part.cast("int").alias("part"), side.alias("side")))
 
 
-def links(docs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b: links that join what similar representatives make a class. sigs: doc_id, keys, sig of the representatives; docs holds their texts."""
+def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: links that join what similar representatives make a class. nodes: node, rep, keys, sig of the representatives; docs holds their texts."""
+    sigs = nodes.select(F.col("node").alias("doc_id"), "keys", "sig")
     where = cut(units(sigs.select("doc_id", F.explode("keys").alias("key"))), "units")
     wanted = where.select("doc_id").distinct()
-    sets = bags(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["doc_id"])
+    texts = nodes.select(F.col("node").alias("doc_id"), "rep.r1", "rep.r2").join(wanted, "doc_id", "left_semi")
+    sets = bags(docs.select(*row_keys(docs), "text").join(texts, ["r1", "r2"]).select("doc_id", "text")).dropDuplicates(["doc_id"])
     rows = where.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -244,20 +249,29 @@ def links(docs: DataFrame, sigs: DataFrame, threshold: float = THRESHOLD) -> Dat
     return rows.groupBy("unit", "part").applyInArrow(run, "a long, b long")
 
 
+def _named(docs: DataFrame, threshold: float) -> DataFrame:
+    """docs with _r1, _r2 and _rep: the representative (no_id, doc_id, r1, r2) of the row's class, null for a text without words."""
+    found = cut(signed(docs), "signatures")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")).alias("rep")
+    # equal word sequences have equal keys and signatures
+    nodes = cut(found.groupBy("k1", "k2").agg(rep, F.first("keys").alias("keys"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "representatives")
+    joined = cut(components(links(docs, nodes, threshold)), "joined")
+    best = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("best"))
+    of_node = joined.join(best, "component").select("node", "best")
+    of_words = nodes.select("node", "k1", "k2", "rep").join(of_node, "node", "left").select("k1", "k2", F.coalesce("best", "rep").alias("_rep"))
+    of_row = found.select("r1", "r2", "k1", "k2").distinct().join(of_words, ["k1", "k2"]).select("r1", "r2", "_rep")
+    keyed = docs.select("*", *[k.alias(f"_r{i}") for i, k in enumerate(row_keys(docs), 1)])
+    return keyed.join(of_row, (keyed["_r1"] == of_row["r1"]) & (keyed["_r2"] == of_row["r2"]), "left").drop("r1", "r2")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with class_id: the smallest id of the document's class."""
-    found = cut(signed(docs), "signatures")
-    first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    copies = cut(found.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).groupBy("doc_id").agg(F.min("first").alias("first")), "copies")
-    own = copies.filter("doc_id = first").select("doc_id")
-    sigs = cut(found.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "keys", "sig"), "representatives")
-    of_first = components(links(docs.withColumn("doc_id", F.col("doc_id").cast("long")), sigs, threshold))
-    named = copies.join(of_first, copies["first"] == of_first["node"], "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "first").alias("class_id"))
-    plain = docs.drop("class_id")
-    return plain.join(named, plain["doc_id"] == named["_id"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("_id")
+    named = _named(docs.drop("class_id"), threshold)
+    return named.withColumn("class_id", F.when(F.col("_rep").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("_rep.doc_id"))).drop("_r1", "_r2", "_rep")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the smallest id; rows without an id stay."""
-    kept = classes(docs, threshold).filter(F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id"))).select(*docs.columns)
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One row of each class, one with the smallest id; of a text without words, one row of each id and text."""
+    named = _named(docs, threshold)
+    kept = named.filter(F.col("_rep").isNull() | ((F.col("_rep.r1") == F.col("_r1")) & (F.col("_rep.r2") == F.col("_r2"))))
+    return kept.dropDuplicates(["_r1", "_r2"]).select(*docs.columns)

@@ -224,6 +224,18 @@ def test_near_duplicates_odd(odd):
     assert neardup.classes(odd.limit(0)).isEmpty()
 
 
+def test_near_duplicates_with_colliding_ids(spark):
+    other = [f"b{k}" for k in range(60)]
+    near = [*other[:59], "new"]
+    a, b, c, d, e = "the first text of all", " ".join(other), " ".join(near), "a text of its own", "rows without an id"
+    rows = [(2, a), (5, a), (5, b), (5, d), (9, c), (5, d), (None, a), (None, e), (None, e), (7, ""), (7, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["text"], r["class_id"]) for r in neardup.classes(df).collect())
+    assert got == collections.Counter([(2, a, 2), (5, a, 2), (5, b, 5), (5, d, 5), (9, c, 5), (5, d, 5), (None, a, 2), (None, e, None), (None, e, None), (7, "", 7), (7, None, 7), (7, "", 7)])
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect())
+    assert kept == collections.Counter([(2, a), (5, b), (5, d), (None, e), (7, ""), (7, None)])
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(2)
     est, true = [], []
