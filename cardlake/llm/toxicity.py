@@ -5,7 +5,7 @@ inserted characters lower the similarity of an insult to itself only a little. A
 them vanish; runs of single letters count as one token as well.
 
 A sentence is as toxic as its worst token, and a text as its worst sentence. Tokens of labelled texts are counted by label over all
-learned rows; those that occur far more in toxic texts are the witnesses. A bounded number of tokens (WITNESSES, CLEAN_TOKENS; the most telling, and the most
+learned rows, whatever their length (of over LONGEST letters by overlapping parts, as in scoring); those that occur far more in toxic texts are the witnesses. A bounded number of tokens (WITNESSES, CLEAN_TOKENS; the most telling, and the most
 frequent and a hashed choice of the others) trains the machine on their kernel values with LANDMARKS landmarks, with gapped and
 inserted-character forms of the witnesses added; then the clean tokens that it finds worst, among all learned ones, join the training set, HARD_ROUNDS times. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
 so a token costs its subsequences once, not once per landmark. A logistic curve over a hashed share of the learned texts, CALIBRATION in expectation, turns the worst tokens' margins into a score.
@@ -59,9 +59,9 @@ _PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def places(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ascending triples of positions below n that span at most LONGEST, and their weights."""
+    """All ascending triples of positions below n, and their weights; n is at most LONGEST + 2."""
     if n not in _PLACES:
-        at = np.array([x for x in combinations(range(n), ORDER) if x[-1] - x[0] < 7], np.int64).reshape(-1, ORDER)
+        at = np.array(list(combinations(range(n), ORDER)), np.int64)
         _PLACES[n] = at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
     return _PLACES[n]
 
@@ -74,6 +74,13 @@ def parts(word: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - step, step)]
 
 
+def column_parts(w: Column) -> Column:
+    """parts() as a Column."""
+    step = LONGEST // 2
+    at = F.sequence(F.lit(0), F.greatest(F.length(w) - step - 1, F.lit(0)), F.lit(step))
+    return F.when(F.length(w) <= LONGEST, F.array(w)).otherwise(F.transform(at, lambda i: F.substring(w, i + 1, F.lit(LONGEST))))
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length: codes of their subsequences and the weights, each word's scaled to norm 1."""
     signs = np.stack([coded(w) for w in words])
@@ -237,7 +244,8 @@ def learn(docs: DataFrame) -> Model:
     """A model of labelled rows (doc_id, text, toxic 0 or 1)."""
     rows = docs.filter("toxic in (0, 1) and text is not null")
     spaced = F.array_distinct(F.split(F.lower("text"), BLANKS))
-    forms = rows.select("toxic", F.explode(F.array_distinct(F.transform(spaced, lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")))).alias("w")).filter(F.length("w").between(3, LONGEST))
+    letters = F.array_remove(F.transform(spaced, lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")), "")
+    forms = rows.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(letters, column_parts)))).alias("w"))
     counts = forms.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:

@@ -276,6 +276,17 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.score(odd, toxicity.Model()).filter("score <> 0").isEmpty()
 
 
+def test_toxicity_of_short_and_long_tokens(spark):
+    r = np.random.default_rng(4)
+    words = [f"{a}{b}{c}" for a in ("ba", "ne", "to", "ri") for b in ("la", "mu", "so", "ke") for c in ("n", "r", "l", "s")]
+    insults = ["xq", "vollpfostengesicht", "你这个没用的东西真是太让人讨厌了快滚开吧"]
+    rows = [(i, " ".join(r.choice(words, 30)) + (f" {insults[i // 3 % 3]}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    trial = [(k, f"balan neson {w}") for k, w in enumerate([*insults, "tokes", "rimul"])]
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(trial, "doc_id long, text string"), model).collect()}
+    assert min(got[k] for k in range(3)) > 2 * max(got[k] for k in (3, 4))
+
+
 def test_language_model(spark, docs):
     out = {r["doc_id"]: r for r in ctw.scored(docs.select("doc_id", "text")).collect()}
     toks = {r["doc_id"]: [*split(r["text"].translate(LOW)), None] for r in docs.collect()}
