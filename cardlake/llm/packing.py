@@ -3,8 +3,8 @@
 A document is its ids by a public tokenizer (special tokens' strings are ordinary text), then id 0. Whole multiples of the capacity become full sequences of their own; what is left
 of each document is packed, by windows of WINDOW_DOCS documents within a task: with T tokens left there are T // capacity full sequences. Pieces
 go in descending order of estimated cost (LINEAR per token and QUADRATIC per token pair that attention compares) to the sequence of lowest cost that has room for them; a piece that
-fits nowhere is cut to fill the emptiest one. The last T % capacity tokens fill sequences whose sizes are powers of two. So sequences have no
-padding, and costs are as even as the pieces allow. Tasks keep a window's ids only; nothing is shuffled.
+fits nowhere is cut to fill the emptiest one. The T % capacity tokens over wait for the task's next window; after its last one they fill sequences whose sizes are powers of
+two. So sequences have no padding, and within a window costs are as even as the pieces allow. Tasks keep a window's ids only; nothing is shuffled.
 
 A sequence's id is the task's partition number times 2 ** 40 plus a running number, which is the same when a task is repeated.
 
@@ -15,7 +15,9 @@ empty table gives an empty result. Input columns other than doc_id and text are
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ from cardlake.llm.common import text_slices
 
 CAPACITY, WINDOW_DOCS = 1024, 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
+MOST_CHUNKS, LONGEST_CHUNK = 500_000, 60
+#: White space here is what the vocabulary's pattern takes for it: Unicode's White_Space and no more.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ANY_BLANK, _BLANK_END, _CUT = re.compile(f"[{_BLANK}]"), re.compile(rf"[{_BLANK}]\Z"), re.compile(f"(?<=[^{_BLANK}])(?= )")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,30 +42,64 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes. Byte-level BPE works within the pieces of a fixed pattern, so pieces are encoded once and remembered, up to a number."""
+    """Token ids of texts as little-endian 32-bit bytes.
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    The vocabulary's pattern never joins a sign that isn't white space with white space after it, so a text may be cut before each space that follows
+    such a sign: its chunks are encoded alone. Chunks of up to LONGEST_CHUNK signs are remembered, up to MOST_CHUNKS.
+    """
+
+    def __init__(self, path: str, most: int = MOST_CHUNKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.most, self.known = regex.compile(PATTERN).findall, most, {}
+        self.most, self.line_feed = most, self.tokenizer.encode("\n").ids[0]
+        self.first: dict[str, bytes] = {}  # by chunk: ids of texts' first chunks, which no space leads
+        self.later: dict[str, bytes] = {}  # by chunk without its leading space
+
+    def _learn(self, known: dict[str, bytes], lead: str, chunks: set[str]) -> None:
+        """Encodes chunks; those without a blank go through the tokenizer many at a time, with line feeds between, which stay tokens of their own."""
+        apart = [c for c in chunks if not c or _ANY_BLANK.search(c)]
+        for c, e in zip(apart, self.tokenizer.encode_batch_fast([lead + c for c in apart], add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        plain = list(chunks.difference(apart))
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode("".join([f"{lead}{c}\n" for c in some]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_feed) * 4
+            raw, start = ids.tobytes(), 0
+            for c, end in zip(some, ends.tolist(), strict=True):
+                known[c] = raw[start:end]
+                start = end + 4
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.find(t) for t in texts]
-        known = self.known
-        pieces = set().union(*split)
-        new = list(pieces.difference(known))
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        split = [t.split(" ") for t in texts]
+        for again in (True, False):
+            firsts, laters = {s[0] for s in split}, set().union(*[s[1:] for s in split])
+            new_firsts, new_laters = firsts.difference(self.first), laters.difference(self.later)
+            # a space after white space is no place for a cut; chunks before one are never remembered, so they are among the new
+            cut_wrongly = {c for c in new_laters if not c} | {c for c in new_firsts | new_laters if _BLANK_END.search(c)}
+            if not cut_wrongly or not again:
+                break
+            for i, s in enumerate(split):
+                if not cut_wrongly.isdisjoint(s):
+                    s = _CUT.split(texts[i])
+                    split[i] = s[:1] + [c[1:] for c in s[1:]]
+        for known in (self.first, self.later):
+            if len(known) > self.most:  # words that are frequent come early, so the first half stays
+                kept = dict(islice(known.items(), self.most // 2))
+                known.clear()
+                known.update(kept)
+        self._learn(self.first, "", firsts.difference(self.first))
+        self._learn(self.later, " ", laters.difference(self.later))
+        get = self.later.__getitem__
+        out = [b"".join([self.first[s[0]], *map(get, s[1:])]) for s in split]
+        for known, new in ((self.first, new_firsts), (self.later, new_laters)):
+            for c in new:
+                if len(c) > LONGEST_CHUNK or not c or _BLANK_END.search(c):
+                    del known[c]
+        return out
 
 
 def balance(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
@@ -101,18 +141,32 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         encode = Encoder(path)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
-        short: list[tuple[int | None, int, bytes]] = []  # id, tokens before, the ids left
-
-        def packed() -> None:
+        short: list[tuple[int | None, int, int, bytes]] = []  # id, tokens of the document, tokens before, the ids left
+
+        def held_back() -> list[tuple[int | None, int, int, bytes]]:
+            """Takes from the waiting documents what would not fill a sequence."""
+            rest, held = sum(len(x[3]) // 4 for x in short) % capacity, []
+            while rest:
+                doc_id, total, before, ids = short.pop()
+                n = min(rest, len(ids) // 4)
+                at = len(ids) - 4 * n
+                held.append((doc_id, total, before + at // 4, ids[at:]))
+                if at:
+                    short.append((doc_id, total, before, ids[:at]))
+                rest -= n
+            return held
+
+        def packed(last: bool) -> None:
             nonlocal sequence
-            for pieces in balance([len(x[2]) // 4 for x in short], capacity):
+            held = [] if last else held_back()
+            for pieces in balance([len(x[3]) // 4 for x in short], capacity):
                 offset = 0
                 for d, start, n in pieces:
-                    doc_id, before, ids = short[d]
-                    rows.append((doc_id, before + start, n, ids[4 * start : 4 * (start + n)], before + len(ids) // 4, sequence, offset))
+                    doc_id, total, before, ids = short[d]
+                    rows.append((doc_id, before + start, n, ids[4 * start : 4 * (start + n)], total, sequence, offset))
                     offset += n
                 sequence += 1
-            short.clear()
+            short[:] = held
 
         def flushed() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -131,12 +185,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                     rows.append((doc_id, start, capacity, ids[4 * start : 4 * (start + capacity)], n, sequence, 0))
                     sequence += 1
                 if n > whole:
-                    short.append((doc_id, whole, ids[4 * whole :]))
+                    short.append((doc_id, n, whole, ids[4 * whole :]))
                 if len(short) >= window:
-                    packed()
+                    packed(last=False)
             if len(rows) > 2000:
                 yield flushed()
-        packed()
+        packed(last=True)
         if rows:
             yield flushed()
 

@@ -103,16 +103,18 @@ def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    for df in (docs, odd.filter("doc_id is not null and doc_id <> 5")):
-        texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
-        got = collections.defaultdict(dict)
-        sequences = collections.defaultdict(list)
+    tok.encode_special_tokens = True
+    for df in (docs, odd):
+        want, lengths = collections.Counter(), {}
+        for r in df.collect():
+            ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+            want.update((r["doc_id"], k // 4, ids[k : k + 4], len(ids) // 4) for k in range(0, len(ids), 4))
+        got, sequences = collections.Counter(), collections.defaultdict(list)
         for r in packing.pack(df).collect():
-            got[r["doc_id"]][r["start"]] = bytes(r["ids"])
+            ids = bytes(r["ids"])
+            got.update((r["doc_id"], r["start"] + k // 4, ids[k : k + 4], r["doc_tokens"]) for k in range(0, len(ids), 4))
             sequences[r["sequence_id"]].append((r["offset"], r["length"]))
-        for i, text in texts.items():
-            ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
-            assert b"".join(got[i][k] for k in sorted(got[i])) == np.array(ids, "<u4").tobytes()
+        assert got == want
         for parts in sequences.values():
             at = 0
             for offset, n in sorted(parts):
@@ -122,6 +124,38 @@ def test_packing(docs, odd):
     assert packing.pack(odd.limit(0)).isEmpty()
 
 
+def test_packing_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tok.encode_special_tokens = True
+    r = np.random.default_rng(5)
+    signs = [" ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x1c", "\u200b", "a", "B", "17", "é", "'s", "'", ".", "<|endoftext|>", "中", "\u0301", "\r\n", "x" * 70]
+    texts = ["".join(signs[k] for k in r.integers(0, len(signs), r.integers(0, 14))) for _ in range(20_000)]
+    encode = packing.Encoder(packing.default_tokenizer(), most=300)  # small enough to forget
+    got = [x for at in range(0, len(texts), 500) for x in encode(texts[at : at + 500])]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_balances_cost():
+    r = np.random.default_rng(6)
+    lengths = r.integers(1, 300, 600).tolist()  # documents that fill a sequence nearly leave no choice
+    pieces = packing.balance(lengths)
+    full = [p for p in pieces if sum(n for _, _, n in p) == 1024]
+    cost = np.array([sum(packing.LINEAR * n + packing.QUADRATIC * n * n for _, _, n in p) for p in full])
+    order, at, room = r.permutation(600), 0, 1024
+    plain = [0.0]
+    for d in order:  # the same documents one after the other
+        left = lengths[d]
+        while left:
+            n = min(left, room)
+            plain[-1] += packing.LINEAR * n + packing.QUADRATIC * n * n
+            left, room = left - n, room - n
+            if not room:
+                plain, room = [*plain, 0.0], 1024
+    assert cost.std() < 0.5 * np.std(plain[:-1])
+
+
 def test_warc(spark, tmp_path):
     big, text = "<p>word</p>" * 200, "x" * 999
     rows = [(1, "u", big), (2, None, big), (3, "u", text), (4, "u", text), (5, "u", None), (6, "u", ""), (7, "u", big), (7, "u", big), (None, "u", "y")]
