@@ -14,10 +14,10 @@ empty table gives an empty result. Input columns other than doc_id and text are
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,9 @@ from cardlake.llm.common import text_slices
 
 CAPACITY, WINDOW_DOCS = 1024, 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-MOST_CHUNKS, LONGEST_CHUNK = 500_000, 60
-#: White space here is what the vocabulary's pattern takes for it: Unicode's White_Space and no more.
-_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ANY_BLANK, _BLANK_END, _CUT = re.compile(f"[{_BLANK}]"), re.compile(rf"[{_BLANK}]\Z"), re.compile(f"(?<=[^{_BLANK}])(?= )")
+#: A text with a run of so many blanks is left to the slower library: the faster one's pattern matcher runs out of stack on runs of a million.
+BLANK_RUN = 50_000
+_BLANKS = re.compile(rf"\s{{{BLANK_RUN}}}")
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -41,67 +40,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_signs() -> dict[str, int]:
+    """The sign that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary's pattern never joins a sign that isn't white space with white space after it, so a text may be cut before each space that follows
-    such a sign: its chunks are encoded alone. Chunks of up to LONGEST_CHUNK signs are remembered, up to MOST_CHUNKS.
+    Where a vocabulary's ids follow the order of its merges, a faster library gives the same ids from them; else the vocabulary's own does.
     """
 
-    def __init__(self, path: str, most: int = MOST_CHUNKS) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.line_feed = most, self.tokenizer.encode("\n").ids[0]
-        self.first: dict[str, bytes] = {}  # by chunk: ids of texts' first chunks, which no space leads
-        self.later: dict[str, bytes] = {}  # by chunk without its leading space
-
-    def _learn(self, known: dict[str, bytes], lead: str, chunks: set[str]) -> None:
-        """Encodes chunks; those without a blank go through the tokenizer many at a time, with line feeds between, which stay tokens of their own."""
-        apart = [c for c in chunks if not c or _ANY_BLANK.search(c)]
-        for c, e in zip(apart, self.tokenizer.encode_batch_fast([lead + c for c in apart], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        plain = list(chunks.difference(apart))
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode("".join([f"{lead}{c}\n" for c in some]), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_feed) * 4
-            raw, start = ids.tobytes(), 0
-            for c, end in zip(some, ends.tolist(), strict=True):
-                known[c] = raw[start:end]
-                start = end + 4
+        self.fast = self._fast(path)
+
+    @staticmethod
+    def _fast(path: str) -> Callable[[str], list[int]] | None:
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, signs = made["model"], byte_signs()
+        pre = made["pre_tokenizer"] or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made["normalizer"] and not made["post_processor"]
+        if model["type"] != "BPE" or not plain or not model["vocab"].keys() >= signs.keys():
+            return None
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        if [model["vocab"].get(a + b) for a, b in merges] != list(range(256, 256 + len(merges))):
+            return None
+        ranks = {bytes(signs[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        for again in (True, False):
-            firsts, laters = {s[0] for s in split}, set().union(*[s[1:] for s in split])
-            new_firsts, new_laters = firsts.difference(self.first), laters.difference(self.later)
-            # a space after white space is no place for a cut; chunks before one are never remembered, so they are among the new
-            cut_wrongly = {c for c in new_laters if not c} | {c for c in new_firsts | new_laters if _BLANK_END.search(c)}
-            if not cut_wrongly or not again:
-                break
-            for i, s in enumerate(split):
-                if not cut_wrongly.isdisjoint(s):
-                    s = _CUT.split(texts[i])
-                    split[i] = s[:1] + [c[1:] for c in s[1:]]
-        for known in (self.first, self.later):
-            if len(known) > self.most:  # words that are frequent come early, so the first half stays
-                kept = dict(islice(known.items(), self.most // 2))
-                known.clear()
-                known.update(kept)
-        self._learn(self.first, "", firsts.difference(self.first))
-        self._learn(self.later, " ", laters.difference(self.later))
-        get = self.later.__getitem__
-        out = [b"".join([self.first[s[0]], *map(get, s[1:])]) for s in split]
-        for known, new in ((self.first, new_firsts), (self.later, new_laters)):
-            for c in new:
-                if len(c) > LONGEST_CHUNK or not c or _BLANK_END.search(c):
-                    del known[c]
+        out = []
+        for t in texts:
+            slow = self.fast is None or (len(t) >= BLANK_RUN and _BLANKS.search(t))
+            out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if slow else self.fast(t), "<u4").tobytes())
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a path, made once by a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def balance(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Pieces (document, start, length) by sequence, for documents of less than capacity tokens each."""
     total = sum(lengths)
@@ -138,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         short: list[tuple[int | None, int, int, bytes]] = []  # id, tokens of the document, tokens before, the ids left

@@ -132,9 +132,10 @@ def test_packing_encoder_equals_tokenizer():
     r = np.random.default_rng(5)
     signs = [" ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x1c", "\u200b", "a", "B", "17", "é", "'s", "'", ".", "<|endoftext|>", "中", "\u0301", "\r\n", "x" * 70]
     texts = ["".join(signs[k] for k in r.integers(0, len(signs), r.integers(0, 14))) for _ in range(20_000)]
-    encode = packing.Encoder(packing.default_tokenizer(), most=300)  # small enough to forget
-    got = [x for at in range(0, len(texts), 500) for x in encode(texts[at : at + 500])]
-    assert got == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    texts += [" " * 1_000_000 + "a", "\n " * 300_000, "x" * 100_000, LONG]
+    encode = packing.Encoder(packing.default_tokenizer())
+    assert encode.fast is not None
+    assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing_balances_cost():
