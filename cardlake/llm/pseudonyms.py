@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel networks in DataFrame expressions only.
 
 Found and validated: e-mail addresses, card numbers (Luhn), IBANs (mod 97), phone numbers (8 to 15 digits), US social security numbers
-(issued ranges), IPv4 addresses (octets to 255) and calendar dates from 1900 to 2099. What looks alike but fails its check stays as it is. Every place where
+(issued ranges), IPv4 addresses (octets to 255, no leading zeros) and calendar dates from 1900 to 2099. What looks alike but fails its check stays as it is. Every place where
 a value may begin is looked at unless a value before covers it, also within what failed its check, and forms that took in what follows are tried again without their
 last parts: IBANs by their country's length first, phone numbers by their country code's number of digits and not into a date, time, address or card number. A number
 after a phone number is taken for a part of it where the country's numbers vary in length and leave room for it. A value's
@@ -9,6 +9,12 @@ pseudonym is another valid value of the same format: digits stay digits, letters
 made anew. It depends on the key and the value alone, so equal values stay linked across documents, and every step is a permutation, so
 different values stay different.
 
+Dates stay in their format: the order of day and month and the parts' widths. Of d/m/yyyy and m/d/yyyy, those that can be read in one order only move among
+such dates, those that can be read either way among those, so no two dates meet. Where parts and year don't make a date, the permutation is applied again.
+
+The key is a secret: who knows it can undo the pseudonyms. The queries take it from the session's setting SECRET; where none is set, one is drawn at random and set, so that
+pseudonyms agree within the session alone. It stands in query plans, as any literal does.
+
 Two networks of ROUNDS rounds are used, both with SHA-256 as round function: over the characters of a string, where each half's letters
 and digits are shifted by amounts drawn from the other half; and over a pair of numbers below a and b, for values whose domain isn't a
 power of ten (days, octets, numbers with ranges that aren't issued).
@@ -19,9 +25,10 @@ empty table gives an empty result. Input columns named like result columns are r
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm.common import let
@@ -63,6 +70,8 @@ STARTS = EDGE + "(?=" + "|".join([
 #: What is looked at from a start on: more than any value but an e-mail address takes.
 VIEW = rf"{STARTS}(?=((?:{FORMATS['email'][0]})?(?s:.){{0,99}}))"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end with 2099-12-31
+WALK = 12  # at most 3 in 100 pairs of day and month aren't dates, so a longer walk has a chance of 1e-12 for each key
+SECRET = "spark.cardlake.pseudonyms.secret"
 Tweak = Callable[[Column], Column]
 
 
@@ -70,15 +79,16 @@ def _digest(key: str, kind: str, turn: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), value), 256)
 
 
-def permute_pair(key: str, kind: str, first: Column, second: Column, a: int, b: int) -> Column:
+def permute_pair(key: str, kind: str, first: Column, second: Column, a: int | Column, b: int | Column) -> Column:
     """A permutation of the pairs with first below a and second below b: struct(x, y)."""
+    a, b = (F.lit(n) if isinstance(n, int) else n for n in (a, b))
 
-    def amount(turn: Column, value: Column, below: int) -> Column:
-        return F.pmod(F.conv(F.substring(_digest(key, kind, turn, value.cast("string")), 1, 15), 16, 10).cast("long"), F.lit(below))
+    def amount(turn: Column, value: Column, below: Column) -> Column:
+        return F.pmod(F.conv(F.substring(_digest(key, kind, turn, value.cast("string")), 1, 15), 16, 10).cast("long"), below)
 
     def turned(acc: Column, r: Column) -> Column:
-        even = F.struct(F.pmod(acc["x"] + amount(r, acc["y"], a), F.lit(a)).alias("x"), acc["y"].alias("y"))
-        odd = F.struct(acc["x"].alias("x"), F.pmod(acc["y"] + amount(r, acc["x"], b), F.lit(b)).alias("y"))
+        even = F.struct(F.pmod(acc["x"] + amount(r, acc["y"], a), a).cast("long").alias("x"), acc["y"].alias("y"))
+        odd = F.struct(acc["x"].alias("x"), F.pmod(acc["y"] + amount(r, acc["x"], b), b).cast("long").alias("y"))
         return F.when(r % 2 == 0, even).otherwise(odd)
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(first.cast("long").alias("x"), second.cast("long").alias("y")), turned)
@@ -153,24 +163,60 @@ def _ip(key: str, m: Column) -> Column:
         )
         return F.when(F.forall(o, lambda x: x <= 255), text)
 
-    return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), made)
+    return F.when(~m.rlike(r"(?:^|\.)0\d"), let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), made))
 
 
-def _date(key: str, m: Column) -> Column:
-    def day(year: Column, month: Column, day_of: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day_of, 2, "0")), "yyyy-MM-dd")
+def _iso_date(key: str, m: Column) -> Column:
+    d = F.try_to_date(m, "yyyy-MM-dd")
 
     def moved(d: Column) -> Column:
         number = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
         new = let(permute_pair(key, "date", F.floor(number / DAYS[1]), number % DAYS[1], *DAYS), lambda p: (p["x"] * DAYS[1] + p["y"]).cast("int"))
-        return F.when(d.between(FIRST_DAY, "2099-12-31"), F.date_add(F.lit(FIRST_DAY).cast("date"), new))
+        return F.when(d.between(FIRST_DAY, "2099-12-31"), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new), "yyyy-MM-dd"))
+
+    return let(d, moved)
 
-    part = lambda p, i: F.element_at(p, i)
-    written = lambda d, form: let(moved(d), lambda x: F.date_format(x, form))
-    by_day = lambda p: let(day(part(p, 3), part(p, 2), part(p, 1)), lambda d: F.when(d.isNotNull(), F.when(m.contains("."), written(d, "dd.MM.yyyy")).otherwise(written(d, "dd/MM/yyyy"))))
-    by_month = lambda p: F.when(m.contains("/"), written(day(part(p, 3), part(p, 1), part(p, 2)), "MM/dd/yyyy"))
-    iso = lambda p: written(day(part(p, 1), part(p, 2), part(p, 3)), "yyyy-MM-dd")
-    return let(F.split(m, "[-./]"), lambda p: F.when(m.contains("-"), iso(p)).otherwise(F.coalesce(by_day(p), by_month(p))))
+
+def _days(year: Column, month: Column) -> Column:
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
+def _parted_date(key: str, m: Column) -> Column:
+    """d.m.yyyy, and d/m/yyyy or m/d/yyyy: dates move among those that can be read in the same orders and have parts of the same widths."""
+    dot = m.contains(".")
+
+    def made(p: Column) -> Column:
+        """p: strings of first part, second part, year."""
+        x, y, year = (p[i].cast("int") for i in range(3))
+        few = lambda part: F.when(F.length(part) == 1, 9).otherwise(12)
+        # least and most of each part, by what a reader can tell: the day first, the day second, or either
+        day_first, day_second = dot | (x > 12), ~dot & (y > 12)
+        most_day = F.when(F.length(p[0]) == 1, 9).otherwise(31)
+        low = F.struct(F.when(~dot & day_first, 13).otherwise(1).alias("x"), F.when(day_second, 13).otherwise(1).alias("y"))
+        high = F.struct(F.when(dot, most_day).when(day_first, 31).otherwise(few(p[0])).alias("x"), F.when(day_second, 31).otherwise(few(p[1])).alias("y"))
+        is_date = lambda a, b, y: F.when(day_second, (a <= 12) & (b <= _days(y, a))).otherwise((b <= 12) & (a <= _days(y, b)))
+        fits = (x >= 1) & (y >= 1) & year.between(1900, 2099) & is_date(x, y, year)
+
+        def walked(bounds: Column) -> Column:
+            """The pair of parts and the year, permuted until they are a date."""
+            n = [bounds["high"][c] - bounds["low"][c] + 1 for c in ("x", "y")]
+            part = lambda acc, c: bounds["low"][c] + (F.floor(acc["x"] / n[1]) if c == "x" else acc["x"] % n[1]).cast("int")
+            sure = lambda acc: is_date(part(acc, "x"), part(acc, "y"), acc["y"] + 1900)
+            turn = lambda acc: let(permute_pair(key, "date", acc["x"], acc["y"], n[0] * n[1], 200), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), sure(q).alias("ok")))
+            start = F.struct(((x - bounds["low"]["x"]) * n[1] + y - bounds["low"]["y"]).cast("long").alias("x"), (year - 1900).cast("long").alias("y"), F.lit(False).alias("ok"))
+            sign = F.when(dot, ".").otherwise("/")
+            written = lambda acc, c, i: F.concat(F.lpad(part(acc, c).cast("string"), F.length(p[i]), F.lit("0")), sign)
+            text = lambda acc: F.concat(written(acc, "x", 0), written(acc, "y", 1), (acc["y"] + 1900).cast("string"))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda acc, _: F.when(acc["ok"], acc).otherwise(turn(acc)), text)
+
+        return F.when(fits, let(F.struct(low.alias("low"), high.alias("high")), walked))
+
+    return let(F.split(m, "[./]"), made)
+
+
+def _date(key: str, m: Column) -> Column:
+    return F.when(m.contains("-"), _iso_date(key, m)).otherwise(_parted_date(key, m))
 
 
 def _ssn(key: str, m: Column) -> Column:
@@ -247,11 +293,15 @@ def replaced(key: str, view: Column) -> Column:
     return F.coalesce(*[made(k) for k in KINDS])
 
 
-def pseudonymise(docs: DataFrame, key: str = "example key") -> DataFrame:
-    """docs with text rewritten, and n_<kind> for each kind and n_pii: how many values were replaced.
+def session_key(spark: SparkSession) -> str:
+    """The session's secret; a random one is drawn and set where there is none."""
+    if not spark.conf.get(SECRET, None):
+        spark.conf.set(SECRET, secrets.token_hex(16))
+    return spark.conf.get(SECRET)
+
 
-    key: the secret that decides the permutations; the default is for tests.
-    """
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs with text rewritten by the secret key, and n_<kind> for each kind and n_pii: how many values were replaced."""
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:

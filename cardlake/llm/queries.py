@@ -39,7 +39,7 @@ def op4_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), pseudonyms.session_key(spark))
     return found.select("doc_id", "text", "n_pii", *[f"n_{k}" for k in pseudonyms.KINDS])
 
 

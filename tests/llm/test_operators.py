@@ -197,7 +197,7 @@ def test_pseudonyms(spark, odd):
     assert days.distinct().count() == 17 * 4297
     codes = spark.range(1000).select(pseudonyms.permute_characters(key, "card", F.lpad(F.col("id").cast("string"), 3, "0")).alias("c"))
     assert codes.distinct().count() == 1000
-    assert pseudonyms.pseudonymise(odd).count() == odd.count() and pseudonyms.pseudonymise(odd.limit(0)).isEmpty()
+    assert pseudonyms.pseudonymise(odd, key).count() == odd.count() and pseudonyms.pseudonymise(odd.limit(0), key).isEmpty()
 
 
 def test_pseudonyms_next_to_other_tokens(spark):
@@ -212,6 +212,75 @@ def test_pseudonyms_next_to_other_tokens(spark):
     assert new[11:15] == [f"{new[3]}T10:00:00Z", f"1234 {new[4]}", f"{new[4]} 2024", f"{new[2]}\n{new[4]}"] and new[15].endswith(f" {new[3]}") and new[16] == texts[16]
 
 
+def feistel(key, kind, x, y, a, b):
+    for r in range(pseudonyms.ROUNDS):
+        below, other = (a, y) if r % 2 == 0 else (b, x)
+        by = int(hashlib.sha256(f"{key}|{kind}|{r}|{other}".encode()).hexdigest()[:15], 16)
+        x, y = ((x + by) % a, y) if r % 2 == 0 else (x, (y + by) % b)
+    return x, y
+
+
+def feistel_signs(key, kind, value):
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for r in range(pseudonyms.ROUNDS):
+        part, other = (left, right) if r % 2 == 0 else (right, left)
+        h, out = hashlib.sha256(f"{key}|{kind}|{r}|{other}".encode()).hexdigest(), ""
+        for i, c in enumerate(part):
+            by = int(h[i % 16 * 4 :][:4], 16)
+            low, n = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26) if c.isupper() else (ord(c), 1)
+            out += chr(low + (ord(c) - low + by) % n)
+        left, right = (out, right) if r % 2 == 0 else (left, out)
+    return left + right
+
+
+def test_networks_against_python(spark):
+    pairs = spark.range(300).select(pseudonyms.permute_pair("k", "ip", F.col("id") % 13, F.col("id"), 13, 300).alias("p"), (F.col("id") % 13).alias("x"), "id").collect()
+    assert all((r["p"]["x"], r["p"]["y"]) == feistel("k", "ip", r["x"], r["id"], 13, 300) for r in pairs)
+    words = ["", "a", "Ab1", "a.b-C_9", "0000000000000000000000000000000000000000", "Zz@x"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", pseudonyms.permute_characters("k", "email", F.col("w")).alias("p")).collect()
+    assert all(r["p"] == feistel_signs("k", "email", r["w"]) for r in rows)
+    ip = spark.createDataFrame([(1, "at 10.20.30.40 or 010.1.1.1")], "doc_id long, text string")
+    x, y = feistel("k", "ip", 10 * 256 + 20, 30 * 256 + 40, 65536, 65536)
+    assert pseudonyms.pseudonymise(ip, "k").first()["text"] == f"at {x // 256}.{x % 256}.{y // 256}.{y % 256} or 010.1.1.1"
+
+
+def test_dates_stay_apart_and_in_format(spark):
+    import datetime
+
+    days = [datetime.date(2003, 1, 1) + datetime.timedelta(k) for k in range(800)]
+    texts = {f"{d:%d/%m/%Y}" for d in days} | {f"{d:%m/%d/%Y}" for d in days} | {f"{d.day}/{d.month}/{d.year}" for d in days} | {f"{d.day}.{d.month}.{d.year}" for d in days} | {f"{d:%d.%m.%Y}" for d in days} | {f"{d:%Y-%m-%d}" for d in days}
+    rows = spark.createDataFrame([(t, t) for t in sorted(texts)], "old string, text string").repartition(8)
+    out = pseudonyms.pseudonymise(rows, "k").collect()
+    assert all(r["n_date"] == 1 for r in out) and len({r["text"] for r in out}) == len(texts)
+    for r in out:
+        old, new = (re.split("([./-])", r[c]) for c in ("old", "text"))
+        assert [len(x) for x in old] == [len(x) for x in new] and old[1::2] == new[1::2]
+        if "/" in r["old"]:
+            assert [int(x) > 12 for x in old[:3:2]] == [int(x) > 12 for x in new[:3:2]]
+        orders = ["%Y-%m-%d"] if "-" in r["old"] else ["%d.%m.%Y"] if "." in r["old"] else ["%d/%m/%Y", "%m/%d/%Y"]
+        assert any(_is_date(r["text"], f) for f in orders)
+    no = ["31.2.2001", "0/1/2001", "13/13/2001", "29/02/2001", "1/1/1899", "32.1.2000", "2001-13-01"]
+    kept = pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in no], "text string"), "k").collect()
+    assert {r["text"] for r in kept} == set(no)
+
+
+def _is_date(text, form):
+    import datetime
+
+    try:
+        return bool(datetime.datetime.strptime(text, form))
+    except ValueError:
+        return False
+
+
+def test_secret_comes_from_the_session(spark):
+    one = spark.newSession()
+    one.conf.set(pseudonyms.SECRET, "mine")
+    assert pseudonyms.session_key(one) == "mine"
+    drawn = pseudonyms.session_key(spark.newSession())
+    assert len(drawn) == 32 and drawn != pseudonyms.session_key(spark.newSession())
+
+
 def bag(text):
     ws = split(text)
     return collections.Counter(tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else None
