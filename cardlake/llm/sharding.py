@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from cardlake.llm.common import cut
 
 PROBES, TOLERANCE, OVERHEAD = 15, 0.002, 8
+CELL_BYTES = 256 << 20
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -88,17 +89,19 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
 def shard(docs: DataFrame, shards: int = 24, cells: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with size, shard and slot (gapless from 0 within its shard, in key order).
 
-    cells: cells per shard; by default as many as spread the exchange over spark.sql.shuffle.partitions.
+    cells: cells per shard; by default as many as spread the exchange over spark.sql.shuffle.partitions, and more where one would exceed CELL_BYTES.
     """
     spark = docs.sparkSession
-    cells = cells or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     narrow = cut(keyed(docs).select("_key", "size"), "shard-keys")
+    if not cells:
+        total = narrow.agg(F.sum("size")).first()[0] or 0
+        cells = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards), -(-total // (shards * CELL_BYTES)))
     cuts, rows = splitters(narrow, shards * cells, tolerance * cells if cells < 8 else tolerance * 8)
     starts = np.concatenate([[0], np.cumsum(rows)])[:-1]
     offsets = [int(starts[c] - starts[c - c % cells]) for c in range(shards * cells)]
     own = docs.drop("size", "shard", "slot")
     placed = keyed(own).withColumn("_cell", _interval(F.col("_key"), cuts))
-    spread = placed.repartition(len(rows), "_cell") if len(rows) > 1 else placed.coalesce(1)
+    spread = placed.repartitionById(len(rows), "_cell")  # each cell in a task of its own, where a hash would put some together
     order = Window.partitionBy("_cell").orderBy("_key", "doc_id")
     return (
         spread.withColumns({"shard": F.floor(F.col("_cell") / cells).cast("int"), "slot": F.row_number().over(order) - 1 + F.element_at(F.lit(offsets), F.col("_cell") + 1).cast("long")})
