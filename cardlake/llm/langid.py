@@ -4,7 +4,8 @@ Each letter has a random vector of DIM signs, derived from its code point. An n-
 as often as letters follow it; a text's vector bundles (adds) those of its n-grams, where runs of other characters are one boundary sign and no n-gram
 reaches over a boundary. A language's prototype bundles all learned texts of that language; documents go to the prototype with the largest cosine.
 
-Bundling is linear, so a task counts n-grams per slice of texts and multiplies the counts with the n-grams' vectors. Learning sums
+Bundling is linear, so a task counts n-grams per slice of texts and multiplies the counts with the n-grams' vectors, GRAMS n-grams at a time, so that memory
+follows the slice (SLICE bytes, or one longer text) and not the number of distinct n-grams times DIM. Learning sums
 fixed-size vectors per language and reads every learned row; prototypes (DIM numbers per language) are all that is sent to tasks.
 
 Defined cases: a null text or one without a letter is `und` with score 0; so is every text where nothing was learned. Ties go to the
@@ -24,6 +25,7 @@ from cardlake.llm.common import crc_of_id, text_slices
 
 DIM, SEED = 512, 20
 SLICE = 2 << 20
+GRAMS, CELLS = 8192, 4_000_000
 
 
 class Letters:
@@ -50,7 +52,7 @@ class Letters:
         return out
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each n-gram its text and its number among the distinct ones, and the vectors of those."""
+        """For each n-gram its text and its number among the distinct ones, and the letters' rows of those."""
         low = [t.lower() for t in texts]
         n = np.array([len(t) for t in low], np.int64)
         codes = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,22 +75,32 @@ class Letters:
             gram = number[code]
         else:
             distinct, gram = np.unique(code, return_inverse=True)
+        return owner, gram, np.stack([distinct // (k * k), distinct // k % k, distinct % k])
+
+    def bundles(self, owner: np.ndarray, gram: np.ndarray, letters: np.ndarray, owners: int) -> np.ndarray:
+        """owners x dim: the sum of each owner's n-gram vectors. Vectors are made for GRAMS n-grams at a time, and counts for as many owners as CELLS allows."""
         v = np.stack(self.vectors)
-        bound = np.roll(v, 2, axis=1)[distinct // (k * k)] * np.roll(v, 1, axis=1)[distinct // k % k] * v[distinct % k]
-        return owner, gram, bound
-
-    def bundles(self, owner: np.ndarray, gram: np.ndarray, bound: np.ndarray, owners: int) -> np.ndarray:
-        """owners x dim: the sum of each owner's n-gram vectors."""
-        u = len(bound)
-        out = np.zeros((owners, self.dim), np.float32)
-        step = max(1, 4_000_000 // max(u, 1))
-        order = np.argsort(owner, kind="stable") if len(owner) and (np.diff(owner) < 0).any() else slice(None)
-        owner, gram = owner[order], gram[order]
-        for at in range(0, owners, step):
-            lo, hi = np.searchsorted(owner, [at, min(at + step, owners)])
-            n = min(step, owners - at)
-            counts = np.bincount((owner[lo:hi] - at) * u + gram[lo:hi], minlength=n * u).reshape(n, u)
-            out[at : at + n] = counts.astype(np.float32) @ bound
+        twice, once = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
+        out = np.zeros((owners, self.dim), np.float64)
+        parts = range(0, letters.shape[1], GRAMS)
+        if len(parts) > 1:  # by part of the n-grams, then by owner
+            order = np.lexsort((owner, gram // GRAMS))
+            owner, gram = owner[order], gram[order]
+        elif len(owner) and (np.diff(owner) < 0).any():
+            order = np.argsort(owner, kind="stable")
+            owner, gram = owner[order], gram[order]
+        ends = np.searchsorted(gram // GRAMS, np.arange(len(parts) + 1)) if len(parts) > 1 else [0, len(gram)]
+        for k, low in enumerate(parts):
+            a, b, c = letters[:, low : low + GRAMS]
+            bound, u = twice[a] * once[b] * v[c], len(a)
+            who, which = owner[ends[k] : ends[k + 1]], gram[ends[k] : ends[k + 1]] - low
+            step = max(1, CELLS // u)
+            for at in range(0, owners, step):
+                n = min(step, owners - at)
+                lo, hi = np.searchsorted(who, [at, at + n])
+                if hi > lo:
+                    counts = np.bincount((who[lo:hi] - at) * u + which[lo:hi], minlength=n * u).reshape(n, u)
+                    out[at : at + n] += counts.astype(np.float32) @ bound
         return out
 
 
@@ -101,8 +113,8 @@ def learn(docs: DataFrame, dim: int = DIM, seed: int = SEED) -> dict[str, np.nda
             langs = b.column(1).to_pylist()
             names = sorted(set(langs))
             index = np.array([names.index(x) for x in langs])
-            owner, gram, bound = letters.grams(b.column(0).to_pylist())
-            for name, v in zip(names, letters.bundles(index[owner], gram, bound, len(names)), strict=True):
+            owner, gram, triples = letters.grams(b.column(0).to_pylist())
+            for name, v in zip(names, letters.bundles(index[owner], gram, triples, len(names)), strict=True):
                 sums[name] = sums.get(name, 0) + np.rint(v).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
@@ -128,8 +140,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = SEE
             n = b.num_rows
             best, score = np.full(n, -1), np.zeros(n)
             if unit is not None:
-                owner, gram, bound = letters.grams([t or "" for t in b.column(at).to_pylist()])
-                v = letters.bundles(owner, gram, bound, n)
+                owner, gram, triples = letters.grams([t or "" for t in b.column(at).to_pylist()])
+                v = letters.bundles(owner, gram, triples, n)
                 size = np.linalg.norm(v, axis=1)
                 cosine = (v @ unit.T) / np.maximum(size, 1e-9)[:, None]
                 there = np.bincount(owner, minlength=n) > 0

@@ -99,6 +99,30 @@ def test_sharding(docs, odd):
     assert sharding.shard(odd.limit(0)).isEmpty()
 
 
+def test_sharding_query_against_brute_force(spark, docs, monkeypatch):
+    out = queries.op2_histogram_sharding(spark, SF).collect()
+    texts = docs.select("doc_id", "text").collect()
+    row = lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == collections.Counter(row(r["doc_id"], r["text"]) for r in texts)
+    assert {(r["law"], r["grown_shard"]) for r in out} == {("bytes", None)} and {r["shard"] for r in out} <= set(range(24))
+    total = sum(r["size"] for r in out)
+    # one text is at most what a shard is off by, on either side
+    sizes = collections.Counter()
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+    assert all(abs(n - total / 24) <= 2 * max(r["size"] for r in out) for n in sizes.values())
+    for k in range(24):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+    where = collections.defaultdict(set)
+    for r in out:
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 23
+    monkeypatch.setattr(sharding, "CELL_BYTES", 4096)  # many cells to a shard
+    fine = sharding.shard(docs.select("doc_id", "text")).toPandas()
+    by = fine.groupby("shard")
+    assert len(fine) == len(out) and (by["slot"].max() + 1 == by.size()).all() and (by["slot"].nunique() == by.size()).all()
+
+
 def test_packing(docs, odd):
     from tokenizers import Tokenizer
 
@@ -367,6 +391,44 @@ def test_language(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.learn(odd.limit(0))).collect()} == {"und"}
 
 
+def test_bundles_against_definition(monkeypatch):
+    """Vectors of texts equal sums over their n-grams, also where n-grams are taken a few at a time."""
+    texts = ["Aab, ab c", "", "日本語 日本", "a1b22c", "zz"]
+    letters = langid.Letters(64, 3)
+    want = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        signs = " " + re.sub(r"[\W\d_]+", " ", t.lower()).strip() + " "
+        rows = [letters._vector(0x110000 if c == " " else ord(c)) for c in signs]
+        for k in range(1, len(signs) - 1):
+            if signs[k] != " ":
+                want[i] += np.roll(rows[k - 1], 2) * np.roll(rows[k], 1) * rows[k + 1]
+    for grams in (8192, 3):
+        monkeypatch.setattr(langid, "GRAMS", grams)
+        owner, gram, triples = letters.grams(texts)
+        assert np.array_equal(letters.bundles(owner, gram, triples, len(texts)), want)
+
+
+def test_bundles_memory_is_bounded():
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    text = "".join(map(chr, r.integers(0x4E00, 0x9FA5, langid.SLICE // 3)))
+    letters = langid.Letters()
+    letters.rows(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    tracemalloc.start()
+    owner, gram, triples = letters.grams([text])
+    letters.bundles(owner, gram, triples, 1)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_language_ties_go_to_the_first(spark):
+    rows = spark.createDataFrame([("abc", "b"), ("abc", "a")], "text string, lang string")
+    got = langid.identify(spark.createDataFrame([(1, "abc"), (1, "abc"), (None, "abc")], "doc_id long, text string"), langid.learn(rows)).collect()
+    assert [r["lang_pred"] for r in got] == ["a"] * 3
+    assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), langid.learn(rows)).isEmpty()
+
+
 def test_toxicity(spark, docs, odd):
     insults = ["idiot", "moron", "stupid", "loser"]
     r = np.random.default_rng(3)
