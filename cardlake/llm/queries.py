@@ -62,9 +62,7 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    made = warc.write_archives(table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).first()[0]
-    if not made:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

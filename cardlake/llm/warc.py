@@ -5,8 +5,9 @@ frame (magic 0x184D2A5D), and each record becomes a frame of its own, so that an
 REVISIT_BYTES, the one with the largest page_id is a response and the others are revisits that hold no payload; this is settled by digest
 before anything is written, with one row per digest, and brought to the pages by their id, so that a frequent payload is not gathered anywhere.
 
-Archives go to a folder through pyarrow's file systems (local or mounted folders, hdfs, s3, gs), under names that a repeated task writes
-again with the same content, and are moved into place when whole. They are read back with Spark's binaryFile source.
+Archives go to a folder through pyarrow's file systems (local or mounted folders, hdfs, s3, gs), each attempt of a task under names of its own. Which of them count is
+told by a manifest, a Parquet table that Spark commits with the rows of successful attempts only; what a lost attempt left is never read. Tasks open the manifest's
+archives one by one when reading.
 
 Defined cases: a null html is an empty payload; a null url or page_id leaves its header out. Repeated rows with the largest id
 are all responses. Empty tables give no archives and an empty result.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 REVISIT_BYTES, ARCHIVE_BYTES, DICTIONARY_BYTES, TRAIN_BYTES = 1000, 24 << 20, 32 << 10, 2 << 20
 SKIPPABLE, DICTIONARY_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec"
+MOST_READERS = 20_000
+MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -92,24 +95,22 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes all pages; returns a row per archive: path, records, bytes. It is lazy: count it, or write it, to make the archives."""
+    """Writes all pages and the manifest, a row per archive: path, records, bytes. Returns the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
-        task, number, waiting, size = TaskContext.get(), 0, [], 0
+        attempt, number, waiting, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, [], 0
 
         def out() -> pa.RecordBatch:
             nonlocal number, size
             content = archive(waiting)
-            name = f"{root}/{task.partitionId():06d}-{number:05d}.warc.zst"
-            part = f"{root}/_{uuid.uuid4().hex}.part"
-            with files.open_output_stream(part, compression=None) as f:
+            path = f"{root}/{attempt}-{number:05d}.warc.zst"
+            with files.open_output_stream(path, compression=None) as f:
                 f.write(content)
-            files.move(part, name)
-            made = pa.RecordBatch.from_pydict({"path": [name], "records": [len(waiting)], "bytes": [len(content)]})
+            made = pa.RecordBatch.from_pydict({"path": [path], "records": [len(waiting)], "bytes": [len(content)]})
             number, size = number + 1, 0
             waiting.clear()
             return made
@@ -124,28 +125,39 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         if waiting:
             yield out()
 
-    return planned(pages).mapInArrow(run, "path string, records long, bytes long")
+    made = planned(pages).mapInArrow(run, MANIFEST)
+    made.write.parquet(f"{folder}/manifest")
+    return _manifest(pages.sparkSession, folder)
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """A row per record, checked against its digest; a revisit's payload is null and stands in the record it refers to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, _ = fs.FileSystem.from_uri(folder)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                for h, block in read_archive(content.as_py()):
-                    digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
-                    if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
-                        raise ValueError(f"damaged record {h['WARC-Record-ID']}")
-                    number = lambda k, h=h: int(h[k]) if k in h else None
-                    rows.append((number("X-Page-Id"), h.get("WARC-Target-URI"), kind, number("X-Refers-To-Page"), digest, number("X-Payload-Length"), block if kind == "response" else None))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(run, RECORDS)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for path in (p for b in batches for p in b.column(0).to_pylist()):
+            with files.open_input_stream(path, compression=None) as f:
+                content = f.read()
+            rows = []
+            for h, block in read_archive(content):
+                digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
+                if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
+                    raise ValueError(f"damaged record {h['WARC-Record-ID']}")
+                number = lambda k, h=h: int(h[k]) if k in h else None
+                rows.append((number("X-Page-Id"), h.get("WARC-Target-URI"), kind, number("X-Refers-To-Page"), digest, number("X-Payload-Length"), block if kind == "response" else None))
+                if len(rows) == 500:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
+
+    archives = _manifest(spark, folder).select("path")
+    return archives.repartition(max(1, min(archives.count(), MOST_READERS))).mapInArrow(run, RECORDS)

@@ -199,8 +199,21 @@ def test_warc(spark, tmp_path):
         again = i is not None and len(raw) >= 1000 and first[html] != i
         want[(i, "revisit" if again else "response", first[html] if again else None, hashlib.sha1(raw).hexdigest(), len(raw))] += 1
     assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"], r["payload_bytes"]) for r in back) == want
-    head = next(tmp_path.glob("archives/*.zst")).read_bytes()[:4]
-    assert head == b"\x5d\x2a\x4d\x18"
+    made = next(tmp_path.glob("archives/*.zst"))
+    assert made.read_bytes()[:4] == b"\x5d\x2a\x4d\x18"
+    (made.parent / "000000-lost-00007.warc.zst").write_bytes(made.read_bytes())  # what a lost attempt leaves
+    assert warc.read_archives(spark, folder).count() == len(rows)
+
+
+def test_warc_odd(spark, tmp_path):
+    rows = [(1, "u\r\nX: 1", "<p>" + LONG * 20, "x", 7), (2, "u", "<p>" + LONG * 20, "x", 7), (None, None, None, None, None), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_to long")
+    folder = f"file://{tmp_path}/a"
+    warc.write_archives(pages, folder)
+    back = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(spark, folder).collect())
+    assert back == collections.Counter([(1, "revisit", 2, len(rows[0][2])), (2, "response", None, len(rows[1][2])), (None, "response", None, 0), (None, "response", None, 0)])
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")
+    assert warc.read_archives(spark, f"file://{tmp_path}/b").isEmpty()
 
 
 def test_pseudonyms(spark, odd):
