@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.llm.common import let, words
+from cardlake.llm.common import cut, let, words
 
 WINDOW = 8
 #: The rules, in the order of their votes.
@@ -158,7 +158,8 @@ def judge(measured: DataFrame, model: Model, threshold: float = 0.5) -> DataFram
 
 
 def filter_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents kept, with their own columns."""
-    measured = features(docs)
+    """The documents kept, with their own columns. Texts are measured once: the measures are stored beside them for both passes."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    measured = cut(features(own).drop("text"), "quality")
     kept = judge(measured, fit(measured), threshold).filter("kept")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
