@@ -6,10 +6,11 @@ their positions. Exact containment needs every shingle, so a prefix of one shing
 join is on that shingle; length and position must leave room for the whole window; then the window-sized slice of the document is compared
 word by word, inside the same generated code, so that a candidate that fails is never stored.
 
-The prefix table grows with the benchmark, not with the corpus. It is broadcast only if its counted size is below BROADCAST_WINDOWS rows,
-and joined by a shuffle otherwise. Frequencies of shingles are taken over all documents.
+The prefix table grows with the benchmark, not with the corpus. It is broadcast only if its counted size is below BROADCAST_WINDOWS rows; otherwise shingles and
+windows meet by a shuffle of rows without words (adaptive execution splits a shingle that many documents hold), and the candidates are compared after they
+have been brought back to their document's text. Results are the same. Frequencies of shingles are taken over all documents.
 
-Defined cases: a null text or one without words has no words and no hits; so has an item. Several items may hold the same window: each counts.
+Defined cases: a null text or one without words has no words and no hits; so has an item. Several items may hold the same window: each counts. An item without an id has hits, but is not among the items.
 Results are joined back on the document's id and text, null-safe, so repeated rows keep one result row each. Empty tables on
 either side give no hits. Input columns named like result columns are replaced.
 """
@@ -45,17 +46,18 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _document_shingles(docs: DataFrame, sizes: list[int], *carried: str) -> DataFrame:
-    """carried columns, ws, pos and h for each shingle of each document."""
-    keys = [F.col(c) for c in carried if c != "ws"]
-    hashed = docs.select(*keys, let(item_words(F.col("text")), lambda ws: F.struct(ws.alias("ws"), *[shingles(ws, k).alias(f"s{k}") for k in sizes])).alias("d"))
-    parts = [hashed.select(*keys, *([F.col("d.ws").alias("ws")] if "ws" in carried else []), F.posexplode(f"d.s{k}").alias("pos", "h")) for k in sizes]
+    """carried columns (of docs, or ws, or n_ws, its size), pos and h for each shingle of each document."""
+    keys = [F.col(c) for c in carried if c not in ("ws", "n_ws")]
+    of_words = lambda ws: F.struct(ws.alias("ws"), F.size(ws).alias("n_ws"), *[shingles(ws, k).alias(f"s{k}") for k in sizes])
+    hashed = docs.select(*keys, let(item_words(F.col("text")), of_words).alias("d"))
+    parts = [hashed.select(*keys, *[F.col(f"d.{c}").alias(c) for c in ("ws", "n_ws") if c in carried], F.posexplode(f"d.s{k}").alias("pos", "h")) for k in sizes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, text_hash, item_id, start, size: each occurrence of a benchmark window in a document."""
     spark = docs.sparkSession
     found = windows(benchmark, window).withColumn("k", F.least("size", F.lit(SHINGLE)))
@@ -63,7 +65,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     sizes = [k for k, there in zip(range(1, SHINGLE + 1), sizes, strict=True) if there]
     if not n:
         return spark.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, start int, size int")
-    small = (lambda df: F.broadcast(df)) if n <= BROADCAST_WINDOWS else (lambda df: df)
+    few = n <= broadcast_windows
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     shingled = F.lit(None)
     for k in sizes:
         shingled = F.when(F.col("k") == k, shingles(F.col("window"), k)).otherwise(shingled)
@@ -73,18 +76,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     # a shingle that no document has rules its windows out
     rarest = (
         tokens.join(seen, "h", "left")
-        .groupBy("item_id", "window", "size")
-        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("off"), F.col("h"))).alias("p"))
+        .groupBy("window", "size")
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("off"), F.col("h"))).alias("p"), F.collect_set("item_id").alias("items"))
         .filter("p.seen > 0")
-        .select("item_id", "window", "size", F.col("p.off").alias("off"), F.col("p.h").alias("h"))
     )
     # equal windows of several items are looked up once
-    prefix = rarest.groupBy("window", "size", "off", "h").agg(F.collect_set("item_id").alias("items"))
+    prefix = rarest.select("window", "size", F.col("p.off").alias("off"), F.col("p.h").alias("h"), "items")
     text_docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     start = F.col("pos") - F.col("off")
-    room = (start >= 0) & (start + F.col("size") <= F.size("ws"))
-    found_at = _document_shingles(text_docs, sizes, "doc_id", "text_hash", "ws").join(small(prefix), "h").filter(room & (F.slice("ws", start + 1, F.col("size")) == F.col("window")))
-    return found_at.select("doc_id", "text_hash", start.alias("start"), "size", F.explode("items").alias("item_id"))
+    room = lambda n_ws: (start >= 0) & (start + F.col("size") <= n_ws)
+    same = lambda ws, c: F.slice(ws, c["start"] + 1, c["size"]) == c["window"]
+    if few:
+        at = _document_shingles(text_docs, sizes, "doc_id", "text_hash", "ws").join(small(prefix), "h").filter(room(F.size("ws")))
+        at = at.filter(F.slice("ws", start + 1, F.col("size")) == F.col("window")).select("doc_id", "text_hash", start.alias("start"), "size", "items")
+    else:
+        # words stay out of the shuffle on shingles; each document's candidates meet its text once
+        candidates = _document_shingles(text_docs, sizes, "doc_id", "text_hash", "n_ws").join(prefix, "h").filter(room(F.col("n_ws")))
+        of_doc = candidates.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct(start.alias("start"), "size", "window", "items")).alias("cs"))
+        met = text_docs.join(of_doc, text_docs["doc_id"].eqNullSafe(of_doc["_id"]) & (text_docs["text_hash"] == of_doc["_hash"]))
+        kept = met.select("doc_id", "text_hash", F.explode(let(item_words(F.col("text")), lambda ws: F.filter("cs", lambda c: same(ws, c)))).alias("c"))
+        at = kept.select("doc_id", "text_hash", "c.start", "c.size", "c.items")
+    return at.select("doc_id", "text_hash", "start", "size", F.explode_outer("items").alias("item_id"))
 
 
 def covered(spans: Column) -> Column:
@@ -97,10 +109,10 @@ def covered(spans: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs with n_words, n_hit, item_ids (of items with occurring windows) and contaminated (at least a twentieth of its words is hit)."""
     per_doc = (
-        hits(docs, benchmark, window)
+        hits(docs, benchmark, window, broadcast_windows)
         .groupBy("doc_id", "text_hash")
         .agg(covered(F.array_sort(F.collect_set(F.struct("start", "size")))).alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
         .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

@@ -76,4 +76,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
               op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash)
 }
 
-ORACLE: dict[str, str] = {}
+_ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The other results rest on models, signatures, keyed permutations, tokenizers or hashes that SQL can't express; tests hold those against brute force.
+ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+starts AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, len(ws[i:i + 12]) AS size, array_to_string(ws[i:i + 12], ' ') AS w FROM starts),
+places AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+runs AS (SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM places, (SELECT DISTINCT size FROM win) WHERE i + size - 1 <= len(ws)),
+hit AS (SELECT DISTINCT r, i, runs.size, item_id FROM runs JOIN win ON runs.w = win.w AND runs.size = win.size),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op9_warc_dictionary": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest, CASE WHEN first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first > page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.digest = f.digest""",
+    "op10_bagminhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM places),
+n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) AS nth FROM s),
+t AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM n AS a JOIN n AS b ON a.s = b.s AND a.nth = b.nth AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN t AS ta ON ta.doc_id = a JOIN t AS tb ON tb.doc_id = b WHERE 5 * shared.c >= 4 * (ta.c + tb.c - shared.c)),
+two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, two.b FROM reach JOIN two ON reach.b = two.a)
+SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a""",
+}

@@ -59,7 +59,8 @@ def test_quality_odd(odd):
     assert quality.filter_quality(odd.limit(0)).columns == odd.columns
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, docs, limit):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").union(spark.createDataFrame([(900, "The"), (901, None), (902, "of the")], "item_id long, text string"))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
@@ -68,7 +69,7 @@ def test_decontamination(spark, docs):
         for i in range(max(1, len(ws) - 12) if ws else 0):
             windows.setdefault(tuple(ws[i : i + 13]), set()).add(str(b["item_id"]))
     sizes = {len(w) for w in windows}
-    got = {r["doc_id"]: r for r in decontam.contamination(docs, bench).collect()}
+    got = {r["doc_id"]: r for r in decontam.contamination(docs, bench, broadcast_windows=limit).collect()}
     for r in docs.collect():
         ws, hit, items = word.findall(r["text"].translate(LOW)), set(), set()
         for s in sizes:
@@ -80,6 +81,15 @@ def test_decontamination(spark, docs):
         assert (g["n_words"], g["n_hit"], g["item_ids"], g["contaminated"]) == (len(ws), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(ws))
 
 
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+def test_decontamination_with_colliding_ids_and_null_items(spark, limit):
+    bench = spark.createDataFrame([(None, "two three four"), (7, "two three four"), (None, "six seven"), (None, "eight")], "item_id long, text string")
+    rows = [(1, "one two three four five"), (1, "one two three four five"), (1, "other words"), (None, "two three four"), (2, "six seven"), (2, "nothing " * 50)]
+    out = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, broadcast_windows=limit)
+    got = collections.Counter((r["doc_id"], r["text"], r["n_hit"], tuple(r["item_ids"]), r["contaminated"]) for r in out.collect())
+    assert got == collections.Counter([(1, rows[0][1], 3, ("7",), True)] * 2 + [(1, rows[2][1], 0, (), False), (None, rows[3][1], 3, ("7",), True), (2, "six seven", 2, (), True), (2, rows[5][1], 0, (), False)])
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, "two three four"), (1, "two three four"), (2, None), (3, "")], "item_id long, text string")
     out = decontam.contamination(odd, bench).collect()
@@ -547,3 +557,16 @@ def test_pipeline(spark):
     classes = brute_classes([(r["doc_id"], r["text"]) for r in frames[1].select("doc_id", "text").collect()])
     assert {r["doc_id"] for r in frames[2].select("doc_id").collect()} == set(classes.values())
     assert frames[5].select("doc_id").distinct().count() == counts[-1]
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert collections.Counter(tuple(r) for r in got.select(*want.columns).collect()) == collections.Counter(want.fetchall())
