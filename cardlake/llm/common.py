@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests, local mode)."""
+    """The folder all executors share; where the session names none, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +40,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than this share of all rows have is hot; there are fewer such keys than one by the share.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with by_key (stored; one row per key, with n, how many rows have the key). Hot keys, fewer than 1 / HOT_SHARE, are broadcast, so that their rows stay where they are; the others are shuffled."""
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(by_key.filter(F.col("n") > total * HOT_SHARE))
+    cold = by_key.filter(F.col("n") <= total * HOT_SHARE)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

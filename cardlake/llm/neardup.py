@@ -12,9 +12,11 @@ Two documents agree in a position with a probability equal to their similarity.
 
 Plan: equal word sequences are first reduced to one representative (the row with the smallest id). Representatives that share a band key meet in a
 bucket. Narrow bucket rows are joined into candidate components; a component of at most UNIT documents is one unit of work, a larger one is split
-by bucket, and a bucket larger than that into pairs of blocks, so every pair that shares a bucket meets in some unit and no task holds more than 2 * UNIT
-documents. In a unit, pairs whose signatures agree in at least SCREEN of the positions (six standard deviations below the threshold) are verified
-exactly, most alike first, unless links already found join them; a unit gives at most as many links as documents.
+by bucket, and a bucket larger than that into blocks. What a block's documents and the bucket's leader have in common makes classes; then the documents of each
+large bucket that are outside its largest class are compared, block by block, with all the others, so every pair that shares a bucket is compared or in one class
+already, a bucket of near copies takes work in proportion to its size, and no task holds more than 2 * UNIT documents. In a unit, pairs whose signatures agree in at least SCREEN of the positions (six standard deviations below the threshold) are verified
+exactly, most alike first, unless links already found join them; a unit gives at most as many links as documents. Keys that are hot, of copies or of bands, are
+joined without a shuffle.
 
 Missed links: a pair at exactly 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 1.5e-5.
 
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.llm.common import cut, let, text_slices, words
+from cardlake.llm.common import cut, join_counted, let, text_slices, words
 from cardlake.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 POSITIONS = BANDS * ROWS
 SCREEN, UNIT = 0.6, 3000
+#: Large buckets whose classes (some numbers a bucket) are broadcast, if there are no more.
+MOST_LARGE = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -213,30 +217,53 @@ def unit_links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], side:
     return out
 
 
-def units(bucket_rows: DataFrame, unit: int = UNIT) -> DataFrame:
-    """doc_id, unit, part, side: where each candidate document is compared."""
-    sizes = bucket_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1")
-    shared = cut(bucket_rows.join(sizes, "key"), "buckets")
+def units(bucket_rows: DataFrame, unit: int = UNIT) -> tuple[DataFrame, DataFrame]:
+    """Where candidate documents are compared first: (doc_id, unit, part, side); and the rows (doc_id, key, leader, n) of buckets of more than unit documents.
+
+    A component of at most unit documents is one part of work. The buckets of a larger one are parts of their own; those of more than unit documents are
+    cut into blocks, each of which has the bucket's leader with it.
+    """
+    sizes = cut(bucket_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).filter("n > 1"), "bucket-sizes")
+    shared = cut(join_counted(bucket_rows, sizes, ["key"]), "buckets")
     comps = components(shared.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
     big = comps.groupBy("component").count().filter(F.col("count") > unit).select("component")
     whole = comps.join(big, "component", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("unit"), F.lit(-1).alias("part"), F.lit(0).alias("side"))
-    in_big = comps.join(big, "component", "left_semi").select(F.col("node").alias("doc_id"))
+    in_big = cut(shared.join(comps.join(big, "component", "left_semi").select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "large-components")
     blocks = F.ceil(F.col("n") / unit).cast("int")
-    split = shared.join(in_big, "doc_id", "left_semi").select("doc_id", F.col("key").alias("unit"), blocks.alias("k"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("block"))
-    other = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    part = F.least("block", "other") * F.col("k") + F.greatest("block", "other")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    places = F.when(F.col("doc_id") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    split = in_big.select("doc_id", F.col("key").alias("unit"), F.explode(places).alias("part"), F.lit(0).alias("side"))
+    return whole.unionByName(split), in_big.filter(F.col("n") > unit)
+
+
+def strays(large: DataFrame, joined: DataFrame, unit: int = UNIT) -> DataFrame:
+    """(doc_id, unit, part, side): for each large bucket, its documents outside the bucket's largest class so far (strays), block by block against all others.
+
+    Documents of one class need no comparison, so this is all that is left; the work is the number of strays times the bucket's size.
+    """
+    named = large.join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    counts = cut(named.groupBy("key", "component").agg(F.count("*").alias("m")), "bucket-classes")
+    main = counts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("m_main"), F.sum("m").alias("m_all")).filter("m_main < m_all")
+    placed = named.join(F.broadcast(main) if main.count() <= MOST_LARGE else main, "key").withColumn("stray", F.col("component") != F.col("main"))
+    n_stray, n_main = (F.ceil(x / unit).cast("int") for x in (F.col("m_all") - F.col("m_main"), F.col("m_main")))
+    width = n_stray + n_main
+    block = F.when(F.col("stray"), F.pmod(F.xxhash64("doc_id"), n_stray)).otherwise(n_stray + F.pmod(F.xxhash64("doc_id"), n_main)).cast("int")
+    # strays meet every block, the others the strays' blocks
+    others = F.when(F.col("stray"), F.sequence(F.lit(0), width - 1)).otherwise(F.sequence(F.lit(0), n_stray - 1))
+    met = placed.select("doc_id", F.col("key").alias("unit"), block.alias("block"), width.alias("width"), F.explode(others).alias("other"))
+    part = F.least("block", "other") * F.col("width") + F.greatest("block", "other")
     side = F.when(F.col("other") == F.col("block"), 0).when(F.col("block") > F.col("other"), 2).otherwise(1)
-    return whole.unionByName(other.select("doc_id", "unit", part.cast("int").alias("part"), side.alias("side")))
+    return met.select("doc_id", "unit", part.cast("int").alias("part"), side.alias("side"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that join what similar representatives make a class. nodes: node, rep, keys, sig of the representatives; docs holds their texts."""
     sigs = nodes.select(F.col("node").alias("doc_id"), "keys", "sig")
-    where = cut(units(sigs.select("doc_id", F.explode("keys").alias("key"))), "units")
+    where, large = units(sigs.select("doc_id", F.explode("keys").alias("key")))
+    where = cut(where, "units")
     wanted = where.select("doc_id").distinct()
     texts = nodes.select(F.col("node").alias("doc_id"), "rep.r1", "rep.r2").join(wanted, "doc_id", "left_semi")
     sets = bags(docs.select(*row_keys(docs), "text").join(texts, ["r1", "r2"]).select("doc_id", "text")).dropDuplicates(["doc_id"])
-    rows = where.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -246,7 +273,11 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> Da
         found = unit_links(ids, sig, bag, table["side"].to_numpy(), threshold)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return rows.groupBy("unit", "part").applyInArrow(run, "a long, b long")
+    compared = lambda places: places.join(sigs.select("doc_id", "sig"), "doc_id").join(sets, "doc_id").groupBy("unit", "part").applyInArrow(run, "a long, b long")
+    first = cut(compared(where), "links")
+    if large.isEmpty():
+        return first
+    return first.unionByName(compared(strays(large, components(first))))
 
 
 def _named(docs: DataFrame, threshold: float) -> DataFrame:
@@ -254,12 +285,12 @@ def _named(docs: DataFrame, threshold: float) -> DataFrame:
     found = cut(signed(docs), "signatures")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")).alias("rep")
     # equal word sequences have equal keys and signatures
-    nodes = cut(found.groupBy("k1", "k2").agg(rep, F.first("keys").alias("keys"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "representatives")
+    nodes = cut(found.groupBy("k1", "k2").agg(rep, F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "representatives")
     joined = cut(components(links(docs, nodes, threshold)), "joined")
     best = joined.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("best"))
     of_node = joined.join(best, "component").select("node", "best")
-    of_words = nodes.select("node", "k1", "k2", "rep").join(of_node, "node", "left").select("k1", "k2", F.coalesce("best", "rep").alias("_rep"))
-    of_row = found.select("r1", "r2", "k1", "k2").distinct().join(of_words, ["k1", "k2"]).select("r1", "r2", "_rep")
+    of_words = cut(nodes.select("node", "k1", "k2", "n", "rep").join(of_node, "node", "left").select("k1", "k2", "n", F.coalesce("best", "rep").alias("_rep")), "classes")
+    of_row = join_counted(found.select("r1", "r2", "k1", "k2"), of_words, ["k1", "k2"]).select("r1", "r2", "_rep").dropDuplicates(["r1", "r2"])
     keyed = docs.select("*", *[k.alias(f"_r{i}") for i, k in enumerate(row_keys(docs), 1)])
     return keyed.join(of_row, (keyed["_r1"] == of_row["r1"]) & (keyed["_r2"] == of_row["r2"]), "left").drop("r1", "r2")
 

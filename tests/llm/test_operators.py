@@ -363,6 +363,7 @@ def test_near_duplicates(spark, monkeypatch, unit):
         rows.append((k, " ".join(ws)))
     rows += [(500, "a b"), (501, "a b"), (502, ""), (503, None), (504, "a a a a a a a a a a a a a"), (505, "a a a a a a a a a a a a a a a")]
     monkeypatch.setattr(neardup.units, "__defaults__", (unit,))
+    monkeypatch.setattr(neardup.strays, "__defaults__", (unit,))
     got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
 
