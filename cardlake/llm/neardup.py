@@ -43,6 +43,8 @@ POSITIONS = BANDS * ROWS
 SCREEN, UNIT = 0.6, 3000
 #: Large buckets whose classes (some numbers a bucket) are broadcast, if there are no more.
 MOST_LARGE = 100_000
+#: The names (three numbers) of documents to compare are broadcast to the texts up to this many; beyond, both are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -261,8 +263,8 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> Da
     sigs = nodes.select(F.col("node").alias("doc_id"), "keys", "sig")
     where, large = units(sigs.select("doc_id", F.explode("keys").alias("key")))
     where = cut(where, "units")
-    wanted = where.select("doc_id").distinct()
-    texts = nodes.select(F.col("node").alias("doc_id"), "rep.r1", "rep.r2").join(wanted, "doc_id", "left_semi")
+    texts = cut(nodes.select(F.col("node").alias("doc_id"), "rep.r1", "rep.r2").join(where.select("doc_id").distinct(), "doc_id", "left_semi"), "compared")
+    texts = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
     sets = bags(docs.select(*row_keys(docs), "text").join(texts, ["r1", "r2"]).select("doc_id", "text")).dropDuplicates(["doc_id"])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
