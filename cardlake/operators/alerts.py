@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,6 +76,32 @@ def notifications(routed: DataFrame) -> DataFrame:
     return routed.filter("action <> 'log_only'").withColumns({"subject": subject, "message": message})
 
 
+def told(found: DataFrame, keys: tuple[str, ...] = ("user_id", "severity"), quiet_seconds: int = 3600) -> DataFrame:
+    """The alerts whose key's last told alert is more than quiet_seconds old; the first of a key is told.
+
+    After a gap of more than quiet_seconds an alert is told whatever came before, so alerts between such gaps are dealt over tasks of their own; a
+    task reads each run in order of time and keeps the last told time only.
+    """
+    u = Window.partitionBy(*keys).orderBy("ts", "transaction_id")
+    us = F.unix_micros("ts")
+    gap = F.coalesce(us - F.lag(us).over(u) > quiet_seconds * 1_000_000, F.lit(True)).cast("int")
+    runs = found.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(u.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap")
+    order = [*keys, "_run", "ts", "transaction_id"]
+    own = runs.select(*order, us.alias("_us")).repartition(*keys, "_run").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, 0
+        for b in batches:
+            kept = []
+            for key, at, i in zip(zip(*(b.column(k).to_pylist() for k in range(len(keys) + 1)), strict=True), b.column(len(keys) + 3).to_pylist(), b.column(len(keys) + 2).to_pylist(), strict=True):
+                if key != of or at - last > quiet_seconds * 1_000_000:
+                    kept.append(i)
+                    of, last = key, at
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["transaction_id"])
+
+    return found.join(own.mapInArrow(run, "transaction_id long"), "transaction_id", "left_semi")
+
+
 def seconds_allowed(severity: Column) -> Column:
     return F.when(severity == "CRITICAL", 1).when(severity == "HIGH", 5).when(severity == "MEDIUM", 30).otherwise(300)
 

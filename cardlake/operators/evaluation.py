@@ -46,15 +46,20 @@ def comparison(df: DataFrame, a: str, b: str, cut: float = 0.5) -> DataFrame:
     )
 
 
-def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8) -> DataFrame:
-    """df with in_training: the first share of each label's rows in order of the key's hash. Ranks come from 256 hash ranges, so no label is sorted in one task."""
+def ranked(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df with _rank (from 1) of each row among its label's in order of the key's hash, and _all, their number. Ranks come from 65,536 hash ranges, so no label is sorted in one task."""
     digest = F.md5(F.col(key).cast("string").cast("binary"))
-    coded = df.withColumns({"_h": digest, "_b": F.substring(digest, 1, 2)})
+    coded = df.withColumns({"_h": digest, "_b": F.substring(digest, 1, 4)})
     sizes = coded.groupBy(label, "_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(label, "_b", before.alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
     rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_before")
-    return coded.join(starts, [label, "_b"]).withColumn("in_training", rank <= F.floor(share * F.col("_all"))).drop("_h", "_b", "_before", "_all")
+    return coded.join(starts, [label, "_b"]).withColumn("_rank", rank).drop("_h", "_b", "_before")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8) -> DataFrame:
+    """df with in_training: the first share of each label's rows in order of the key's hash."""
+    return ranked(df, key, label).withColumn("in_training", F.col("_rank") <= F.floor(share * F.col("_all"))).drop("_rank", "_all")
 
 
 def mutual_information(df: DataFrame, feature: str, label: str) -> DataFrame:

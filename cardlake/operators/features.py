@@ -1,4 +1,4 @@
-"""Behavioural features of a transaction from what its user did before, as windows over one partitioning."""
+"""Behavioural features of a transaction from what its user did before, as windows; a user's rows are brought together once."""
 
 from __future__ import annotations
 
@@ -31,7 +31,8 @@ def profile_before(txn: DataFrame) -> DataFrame:
     The daily counters are those left by the user's previous transaction, also when a new day has begun.
     """
     amount = F.col("amount")
-    day = txn.withColumns({"_n": F.row_number().over(by_day()), "_sum": F.sum("amount").over(by_day().rowsBetween(Window.unboundedPreceding, 0))})
+    # one exchange serves the windows by user and those by user and day
+    day = txn.repartition("user_id").withColumns({"_n": F.row_number().over(by_day()), "_sum": F.sum("amount").over(by_day().rowsBetween(Window.unboundedPreceding, 0))})
     out = day.withColumns(
         {
             "total_transactions": F.count("*").over(before()),
@@ -66,8 +67,8 @@ def risk_features(profiled: DataFrame, high_amount: float = 150.0, rapid_seconds
 
 
 def trailing(txn: DataFrame, name: str, seconds: int) -> DataFrame:
-    """count, sum, average, maximum, minimum and deviation of a user's amounts in the seconds up to each transaction, and its products."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    """count, sum, average, maximum, minimum and deviation of a user's amounts in the seconds up to each transaction, and its products. txn has _us, the time in microseconds, so that all lengths share one sort."""
+    w = Window.partitionBy("user_id").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
     a = F.col("amount")
     return txn.withColumns(
         {
@@ -77,6 +78,7 @@ def trailing(txn: DataFrame, name: str, seconds: int) -> DataFrame:
             f"max_{name}": F.max(a).over(w),
             f"min_{name}": F.min(a).over(w),
             f"std_{name}": F.stddev_pop(a).over(w),
+            f"per_hour_{name}": F.sum(a).over(w) / (seconds / 3600),
             f"products_{name}": F.size(F.collect_set("product").over(w)),
         }
     )

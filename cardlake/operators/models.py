@@ -13,10 +13,12 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.operators.evaluation import ranked
+
 
 def aligned(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """The features in a model's order as doubles; one that df lacks, or that is null or no number, is 0."""
-    clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    clean = lambda c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0))
     return df.withColumns({f"f_{c}": clean(c) if c in df.columns else F.lit(0.0) for c in features})
 
 
@@ -35,9 +37,9 @@ def trees(seed: int = 42) -> GBTClassifier:
     return GBTClassifier(labelCol="label", weightCol="weight", maxIter=5, seed=seed, maxBins=32)
 
 
-def folded(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """df with fold, from the key's hash; labels fall in equal shares in expectation, without a sort of either."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folds)).cast("int"))
+def folded(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
+    """df with fold: each label's rows, in order of the key's hash, are dealt in turn, so folds differ by one row of a label at most."""
+    return ranked(df, key, label).withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_rank", "_all")
 
 
 def searched(df: DataFrame, pipeline: Pipeline, grid: list[dict], folds: int = 5) -> tuple[PipelineModel, list[tuple[float, float]]]:

@@ -197,10 +197,14 @@ def union_of_training_batches(spark, sf_dir):
     return new.unionByName(old, allowMissingColumns=True).select("transaction_id", "label", "origin")
 
 
-@query("SELECT transaction_id, consensus FROM agreed WHERE consensus >= 0.8 ORDER BY transaction_id DESC LIMIT 1000", _CONSENSUS)
+@query("""SELECT transaction_id, consensus FROM agreed JOIN (SELECT transaction_id, max(given) AS newest FROM fb, (SELECT max(ts) AS t FROM txn) GROUP BY 1
+       HAVING (count(*) >= 2 OR max(given) <= any_value(t) - INTERVAL 1 HOUR) AND min(given) >= any_value(t) - INTERVAL 72 HOUR) USING (transaction_id) ORDER BY newest DESC, transaction_id DESC LIMIT 1000""", _CONSENSUS)
 def training_feedback(spark, sf_dir, limit: int = 1000):
-    """The newest eligible transactions; ids grow with time."""
-    return feedback.consensus(given(spark, sf_dir)).select("transaction_id", "consensus").orderBy(F.desc("transaction_id")).limit(limit)
+    """The eligible transactions with the newest feedback."""
+    fb = given(spark, sf_dir)
+    as_of = transactions(spark, sf_dir).agg(F.max("ts").alias("as_of"))
+    may = feedback.eligible(fb, as_of).select("transaction_id").join(fb.groupBy("transaction_id").agg(F.max("given").alias("at")), "transaction_id")
+    return feedback.consensus(fb).join(may, "transaction_id").orderBy(F.desc("at"), F.desc("transaction_id")).limit(limit).select("transaction_id", "consensus")
 
 
 # ---- metric histories ----

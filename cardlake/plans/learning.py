@@ -74,7 +74,8 @@ def profile_report_sink(spark, sf_dir):
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, label and weight of every transaction; the rare label weighs as much as the other one in all."""
-    s = scored(spark, sf_dir).withColumns({"label": F.col("is_fraud").cast("double"), "weight": F.when(F.col("is_fraud") == 1, 10.0).otherwise(1.0)})
+    found = transactions(spark, sf_dir).agg(F.try_divide(F.count_if(F.col("is_fraud") == 0), F.count_if(F.col("is_fraud") == 1))).first()[0]
+    s = scored(spark, sf_dir).withColumns({"label": F.col("is_fraud").cast("double"), "weight": F.when(F.col("is_fraud") == 1, found or 1.0).otherwise(1.0)})
     aligned = models.aligned(s, FEATURES)
     return records.stored(aligned.select("transaction_id", "is_fraud", "product", "label", "weight", *FLAGS, *[f"f_{c}" for c in FEATURES]), "rows")
 
@@ -103,14 +104,14 @@ def feature_selection(spark, sf_dir, top: int = 2):
 
 @query()
 def stratified_k_fold_auc(spark, sf_dir):
-    r = models.folded(rows(spark, sf_dir), "transaction_id")
+    r = models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud")
     _, trials = models.searched(r, models.estimator(FEATURES, ("product",), models.logistic()), [{}])
     return spark.createDataFrame(trials, "auc double, deviation double")
 
 
 @query()
 def parameter_search(spark, sf_dir):
-    r = models.folded(rows(spark, sf_dir), "transaction_id", 3)
+    r = models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud", 3)
     m = models.trees()
     grid = models.grid_of(m, maxDepth=(2, 4), stepSize=(0.1, 0.3))
     _, trials = models.searched(r, models.estimator(FEATURES, ("product",), m), grid, 3)

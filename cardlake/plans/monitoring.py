@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.operators import alerts as al
 from cardlake.operators import drift, evaluation, experiments, feedback
+from cardlake.operators.quantiles import quantiles, running_sum, with_quantiles
 from cardlake.plans import sql
 from cardlake.plans.queries import _PSI, _SIDES, ORACLE, QUERIES, alerts, query, r6, scored
+from cardlake.sources import records
 from cardlake.sources.tables import transactions
 from cardlake.streaming import live
 
@@ -49,7 +49,9 @@ def features_wide_to_long(spark, sf_dir):
 
 @query("SELECT is_fraud, count(*) AS n, round(count(*) / (SELECT count(*) FROM txn)::DOUBLE, 6) AS share, round(avg(amount), 6) AS mean, round(median(amount), 6) AS median FROM txn GROUP BY 1")
 def class_comparison(spark, sf_dir):
-    by = transactions(spark, sf_dir).groupBy("is_fraud").agg(F.count("*").alias("n"), r6(F.avg("amount")).alias("mean"), r6(F.percentile("amount", F.lit(0.5))).alias("median"))
+    t = transactions(spark, sf_dir)
+    by = t.groupBy("is_fraud").agg(F.count("*").alias("n"), r6(F.avg("amount")).alias("mean"))
+    by = with_quantiles(by, t, ["is_fraud"], "amount", {"median": 0.5}).withColumn("median", r6("median"))
     return by.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
 
 
@@ -78,8 +80,9 @@ def feature_mean_difference(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(amount, 0.75) FILTER (WHERE is_fraud = 1) / quantile_cont(amount, 0.75) FILTER (WHERE is_fraud = 0), 6) AS ratio FROM txn")
 def risk_ratio(spark, sf_dir):
-    q = lambda y: F.percentile(F.when(F.col("is_fraud") == y, F.col("amount")), F.lit(0.75))
-    return transactions(spark, sf_dir).agg(r6(q(1) / q(0)).alias("ratio"))
+    q = quantiles(transactions(spark, sf_dir), ["is_fraud"], "amount", {"q75": 0.75})
+    of = lambda y: F.max(F.when(F.col("is_fraud") == y, F.col("q75")))
+    return q.agg(r6(of(1) / of(0)).alias("ratio"))
 
 
 @query("SELECT hour(ts)::INT AS hour, count(*) AS n, round(avg(is_fraud), 6) AS rate FROM txn GROUP BY 1 HAVING round(avg(is_fraud), 6) > round(1.2::DOUBLE * (SELECT avg(is_fraud) FROM txn), 6)")
@@ -100,11 +103,10 @@ def peak_risk_hour(spark, sf_dir):
        round(quantile_cont(value, 0.75), 6) AS q75, round(1 - count(value) / count(*)::DOUBLE, 6) AS missing FROM long GROUP BY 1 HAVING count(value) > 1000""", _LONG)
 def numeric_distributions(spark, sf_dir):
     v = F.col("value")
-    q = {f"q{n}": r6(F.percentile(v, F.lit(n / 100))) for n in (25, 50, 75)}
-    by = long_features(spark, sf_dir).groupBy("feature").agg(
-        r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[c.alias(n) for n, c in q.items()], r6(1 - F.count(v) / F.count("*")).alias("missing"), F.count(v).alias("_n"))
-    return by.filter("_n > 1000").drop("_n")
+    long = long_features(spark, sf_dir)
+    by = long.groupBy("feature").agg(r6(F.avg(v)).alias("mean"), r6(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), r6(1 - F.count(v) / F.count("*")).alias("missing"), F.count(v).alias("_n"))
+    q = {f"q{n}": n / 100 for n in (25, 50, 75)}
+    return with_quantiles(by.filter("_n > 1000").drop("_n"), long, ["feature"], "value", q).withColumns({c: r6(c) for c in q})
 
 
 @query("SELECT round(skewness(amount), 4) AS skewness, round(kurtosis(amount), 4) AS kurtosis FROM txn WHERE ts < TIMESTAMP '2024-01-16'")
@@ -115,12 +117,13 @@ def baseline_shape(spark, sf_dir):
 
 
 @query("""SELECT count(*) AS n, round(sum(amount), 6) AS sum, min(amount) AS min, max(amount) AS max, round(avg(amount), 6) AS mean, round(stddev_pop(amount), 6) AS std, round(quantile_cont(amount, 0.5), 6) AS p50,
-       round(quantile_cont(amount, 0.95), 6) AS p95 FROM txn WHERE ts > (SELECT max(ts) FROM txn) - INTERVAL 86400 SECOND""")
+       round(quantile_cont(amount, 0.95), 6) AS p95, round(quantile_cont(amount, 0.99), 6) AS p99 FROM txn WHERE ts > (SELECT max(ts) FROM txn) - INTERVAL 86400 SECOND""")
 def metric_summary(spark, sf_dir):
     t, a = transactions(spark, sf_dir), F.col("amount")
     recent = t.crossJoin(F.broadcast(t.agg(F.max("ts").alias("as_of")))).filter(F.col("ts") > F.col("as_of") - F.expr("interval 86400 seconds"))  # one row
-    q = lambda p: r6(F.percentile(a, F.lit(p)))
-    return recent.agg(F.count("*").alias("n"), r6(F.sum(a)).alias("sum"), F.min(a).alias("min"), F.max(a).alias("max"), r6(F.avg(a)).alias("mean"), r6(F.stddev_pop(a)).alias("std"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    one = recent.agg(F.count("*").alias("n"), r6(F.sum(a)).alias("sum"), F.min(a).alias("min"), F.max(a).alias("max"), r6(F.avg(a)).alias("mean"), r6(F.stddev_pop(a)).alias("std"))
+    q = {f"p{n}": n / 100 for n in (50, 95, 99)}
+    return with_quantiles(one, recent, [], "amount", q).withColumns({c: r6(c) for c in q})
 
 
 @query("SELECT CAST(ts AS DATE) AS date, count(*) AS n, round(avg(fraud_score), 6) AS mean_score, round(sum(amount), 4) AS amount FROM scored GROUP BY 1", sql.SCORED)
@@ -148,17 +151,22 @@ def dataset_validation(spark, sf_dir):
 # ---- alerts and windows ----
 
 
-@query("""SELECT transaction_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, severity ORDER BY ts, transaction_id) AS before FROM alerts) WHERE before IS NULL OR ts - before > INTERVAL 1 HOUR""", sql.ALERTS)
+_DEDUP = "RECURSIVE " + sql.ALERTS + """, nth AS (SELECT user_id, severity, ts, transaction_id, row_number() OVER (PARTITION BY user_id, severity ORDER BY ts, transaction_id) AS n FROM alerts),
+told AS (SELECT user_id, severity, n, transaction_id, ts AS last, true AS kept FROM nth WHERE n = 1
+  UNION ALL SELECT nth.user_id, nth.severity, nth.n, nth.transaction_id, CASE WHEN nth.ts - last > INTERVAL 1 HOUR THEN nth.ts ELSE last END, nth.ts - last > INTERVAL 1 HOUR
+  FROM told JOIN nth ON nth.user_id = told.user_id AND nth.severity = told.severity AND nth.n = told.n + 1)"""
+
+
+@query("SELECT transaction_id FROM told WHERE kept", _DEDUP)
 def alert_dedup(spark, sf_dir):
-    before = F.lag("ts").over(Window.partitionBy("user_id", "severity").orderBy("ts", "transaction_id"))
-    kept = F.col("before").isNull() | (F.unix_micros("ts") - F.unix_micros("before") > 3_600_000_000)
-    return alerts(spark, sf_dir).withColumn("before", before).filter(kept).select("transaction_id")
+    """An alert is told if the user's last told one of its severity is more than an hour old."""
+    return al.told(alerts(spark, sf_dir)).select("transaction_id")
 
 
 @query("SELECT transaction_id, row_number() OVER (PARTITION BY severity, CAST(ts AS DATE) ORDER BY ts, transaction_id) AS position FROM alerts", sql.ALERTS)
 def queue_position(spark, sf_dir):
-    queue = Window.partitionBy("severity", F.to_date("ts")).orderBy("ts", "transaction_id")
-    return alerts(spark, sf_dir).select("transaction_id", F.row_number().over(queue).cast("long").alias("position"))
+    queued = alerts(spark, sf_dir).select("transaction_id", "ts", "severity", F.to_date("ts").alias("day"))
+    return running_sum(queued, ["severity", "day"], F.lit(1), F.hour("ts"), "position").select("transaction_id", F.col("position").cast("long"))
 
 
 @query("""SELECT user_id, count(transaction_id) AS pending, round(max(fraud_score), 6) AS max_score FROM (SELECT DISTINCT user_id FROM txn)
@@ -310,8 +318,7 @@ def variant_scorecard(spark, sf_dir):
 @query("SELECT transaction_id, total_transactions, round(total_amount, 4) AS total_amount FROM feat", sql.PROFILE)
 def stream_profiles(spark, sf_dir):
     """The stored events as a stream, kept per user as state."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = records.scratch(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     events = live.files(spark, path + "*", spark.read.parquet(path).schema)  # the pattern lets one file stand for a folder
     txn = events.select(F.col("event_id").alias("transaction_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"))

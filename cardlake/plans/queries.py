@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cardlake.operators import alerts as al
 from cardlake.operators import features as ft
 from cardlake.operators import rules
+from cardlake.operators.quantiles import running_sum, with_quantiles
 from cardlake.plans import sql
 from cardlake.sources.tables import read, transactions
 
@@ -176,21 +177,21 @@ def suspicious_activity_counter(spark, sf_dir):
 
 _TRAILING = ", ".join(
     f"count(*) OVER w{n} AS count_{n}, round(sum(amount) OVER w{n}, 6) AS sum_{n}, round(avg(amount) OVER w{n}, 6) AS avg_{n}, max(amount) OVER w{n} AS max_{n}, "
-    f"min(amount) OVER w{n} AS min_{n}, round(stddev_pop(amount) OVER w{n}, 4) AS std_{n}"
-    for n in ft.TRAILING
+    f"min(amount) OVER w{n} AS min_{n}, round(stddev_pop(amount) OVER w{n}, 4) AS std_{n}, count(DISTINCT product) OVER w{n} AS products_{n}, round(sum(amount) OVER w{n} / {s / 3600}::DOUBLE, 6) AS per_hour_{n}"
+    for n, s in ft.TRAILING.items()
 )
 _FRAMES = ", ".join(f"w{n} AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {s * 1_000_000} PRECEDING AND CURRENT ROW)" for n, s in ft.TRAILING.items())
 
 
 @query(f"SELECT transaction_id, {_TRAILING} FROM txn WINDOW {_FRAMES}")
 def trailing_windows(spark, sf_dir):
-    out = transactions(spark, sf_dir)
+    out = transactions(spark, sf_dir).withColumn("_us", F.unix_micros("ts"))
     for name, seconds in ft.TRAILING.items():
         out = ft.trailing(out, name, seconds)
     kept = [
         c
         for n in ft.TRAILING
-        for c in (F.col(f"count_{n}"), r6(f"sum_{n}").alias(f"sum_{n}"), r6(f"avg_{n}").alias(f"avg_{n}"), F.col(f"max_{n}"), F.col(f"min_{n}"), F.round(f"std_{n}", 4).alias(f"std_{n}"))
+        for c in (F.col(f"count_{n}"), r6(f"sum_{n}").alias(f"sum_{n}"), r6(f"avg_{n}").alias(f"avg_{n}"), F.col(f"max_{n}"), F.col(f"min_{n}"), F.round(f"std_{n}", 4).alias(f"std_{n}"), F.col(f"products_{n}").cast("long"), r6(f"per_hour_{n}").alias(f"per_hour_{n}"))
     ]
     return out.select("transaction_id", *kept)
 
@@ -201,10 +202,10 @@ def last_n_timeline(spark, sf_dir, n: int = 100):
     return transactions(spark, sf_dir).withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= n).select("user_id", "transaction_id", F.col("n").cast("long").alias("n"))
 
 
-@query("SELECT transaction_id, count(*) OVER w AS count_60m, count(*) OVER w > 10 AS is_fast FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)")
+@query("SELECT transaction_id, count(*) OVER w AS count_60m, count(*) OVER w > 10 AS is_fast, count(*) OVER w / 1.0::DOUBLE AS per_hour FROM txn WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)")
 def velocity_in_window(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return transactions(spark, sf_dir).select("transaction_id", F.count("*").over(w).alias("count_60m"), (F.count("*").over(w) > 10).alias("is_fast"))
+    return transactions(spark, sf_dir).select("transaction_id", F.count("*").over(w).alias("count_60m"), (F.count("*").over(w) > 10).alias("is_fast"), (F.count("*").over(w) / 1.0).alias("per_hour"))
 
 
 @query("""SELECT transaction_id, f = 1 AS is_new_merchant, seen, seen > 5 AS is_frequent,
@@ -235,9 +236,10 @@ def session_id_every_5_txns(spark, sf_dir):
 def entity_counting_features(spark, sf_dir):
     upto = lambda *k: Window.partitionBy(*k).orderBy("ts", "transaction_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = transactions(spark, sf_dir).withColumn("f", ft.first_seen("card1", "addr1"))
+    rows = running_sum(rows, ["addr1"], F.col("f"), F.date_trunc("hour", "ts"), "cards_per_address")  # addresses are few
     return rows.select(
         "transaction_id",
-        F.sum("f").over(upto("addr1")).alias("cards_per_address"),
+        "cards_per_address",
         F.sum("f").over(upto("card1")).alias("addresses_per_card"),
         F.count("*").over(upto("device", F.to_date("ts"))).alias("device_day_count"),
     )
@@ -293,9 +295,11 @@ def sticky_user_risk_level(spark, sf_dir):
 
 @query("""SELECT transaction_id, CASE WHEN s >= 0.9 OR (s >= 0.7 AND rep) THEN 'immediate_block' WHEN s >= 0.8 AND alerts_24h >= 3 THEN 'auto_investigate' WHEN s >= 0.8 THEN 'manual_review'
        WHEN s >= 0.6 AND (risk_before = 'high' OR alerts_24h >= 2) THEN 'manual_review' WHEN s >= 0.6 THEN 'notify_team' WHEN rep OR alerts_24h >= 5 THEN 'escalate'
-       WHEN s >= 0.3 THEN 'notify_team' ELSE 'log_only' END AS action FROM (SELECT *, round(fraud_score, 6) AS s, alerts_7d >= 3 AS rep FROM risk)""", _HISTORY)
+       WHEN s >= 0.3 THEN 'notify_team' ELSE 'log_only' END AS action,
+       CASE WHEN s >= 0.9 OR (s >= 0.7 AND rep) THEN 0.95 WHEN s >= 0.8 AND alerts_24h >= 3 THEN 0.9 WHEN s >= 0.8 THEN 0.85 WHEN s >= 0.6 AND (risk_before = 'high' OR alerts_24h >= 2) THEN 0.8 WHEN s >= 0.6 THEN 0.75
+       WHEN rep OR alerts_24h >= 5 THEN 0.7 WHEN s >= 0.3 THEN 0.6 ELSE 0.5 END::DOUBLE AS action_confidence FROM (SELECT *, round(fraud_score, 6) AS s, alerts_7d >= 3 AS rep FROM risk)""", _HISTORY)
 def recommended_response(spark, sf_dir):
-    return al.response(al.sticky_risk(al.history(alerts(spark, sf_dir)))).select("transaction_id", "action")
+    return al.response(al.sticky_risk(al.history(alerts(spark, sf_dir)))).select("transaction_id", "action", "action_confidence")
 
 
 @query("SELECT user_id, count(*) AS total_alerts, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS high_alerts, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'BLOCKED' ELSE 'ACTIVE' END AS status FROM alerts GROUP BY user_id", sql.ALERTS)
@@ -369,10 +373,10 @@ def categorical_profile(spark, sf_dir):
        round(quantile_cont(amount, 0.25), 6) AS q25, round(quantile_cont(amount, 0.75), 6) AS q75 FROM txn GROUP BY 1""")
 def class_amount_stats(spark, sf_dir):
     a = F.col("amount")
-    q = lambda p: r6(F.percentile(a, F.lit(p)))
-    return transactions(spark, sf_dir).groupBy("is_fraud").agg(
-        F.count("*").alias("n"), r6(F.avg(a)).alias("mean"), q(0.5).alias("median"), r6(F.stddev_samp(a)).alias("std"), F.min(a).alias("min"), F.max(a).alias("max"), q(0.25).alias("q25"), q(0.75).alias("q75")
-    )
+    t = transactions(spark, sf_dir)
+    by = t.groupBy("is_fraud").agg(F.count("*").alias("n"), r6(F.avg(a)).alias("mean"), r6(F.stddev_samp(a)).alias("std"), F.min(a).alias("min"), F.max(a).alias("max"))
+    q = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    return with_quantiles(by, t, ["is_fraud"], "amount", q).withColumns({c: r6(c) for c in q})
 
 
 @query("SELECT 'hour' AS cycle, (dt // 3600) % 24 AS value, count(*) AS n, round(avg(is_fraud), 6) AS rate FROM txn GROUP BY 2 UNION ALL SELECT 'day', (dt // 86400) % 7, count(*), round(avg(is_fraud), 6) FROM txn GROUP BY 2")
@@ -384,7 +388,8 @@ def rate_by_hour_day_cycle(spark, sf_dir):
 @query("SELECT round(avg(ln(amount)), 6) AS mu, round(stddev_samp(ln(amount)), 6) AS sigma, min(amount) AS min, round(quantile_cont(amount, 0.95), 6) AS q95 FROM txn WHERE is_fraud = 0")
 def log_normal_parameters(spark, sf_dir):
     legit = transactions(spark, sf_dir).filter("is_fraud = 0")
-    return legit.agg(r6(F.avg(F.log("amount"))).alias("mu"), r6(F.stddev_samp(F.log("amount"))).alias("sigma"), F.min("amount").alias("min"), r6(F.percentile("amount", F.lit(0.95))).alias("q95"))
+    one = legit.agg(r6(F.avg(F.log("amount"))).alias("mu"), r6(F.stddev_samp(F.log("amount"))).alias("sigma"), F.min("amount").alias("min"))
+    return with_quantiles(one, legit, [], "amount", {"q95": 0.95}).withColumn("q95", r6("q95"))
 
 
 @query("SELECT product, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM txn GROUP BY 1")
@@ -419,10 +424,14 @@ def auc_roc(spark, sf_dir):
 
 
 @query("""SELECT product, count(*) AS n, round(avg(amount), 6) AS mean, round(quantile_cont(amount, 0.5), 6) AS p50, round(quantile_cont(amount, 0.95), 6) AS p95, round(quantile_cont(amount, 0.99), 6) AS p99,
-       round(stddev_pop(amount), 6) AS std FROM txn GROUP BY 1""")
+       round(stddev_pop(amount), 6) AS std, min(amount) AS min, max(amount) AS max, round(avg(is_fraud), 6) AS error_rate, round(count(*) / greatest(max(dt) - min(dt), 1)::DOUBLE, 9) AS per_second FROM txn GROUP BY 1""")
 def latency_summary(spark, sf_dir):
-    q = lambda p: r6(F.percentile("amount", F.lit(p)))
-    return transactions(spark, sf_dir).groupBy("product").agg(F.count("*").alias("n"), r6(F.avg("amount")).alias("mean"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), r6(F.stddev_pop("amount")).alias("std"))
+    t = transactions(spark, sf_dir)
+    by = t.groupBy("product").agg(
+        F.count("*").alias("n"), r6(F.avg("amount")).alias("mean"), r6(F.stddev_pop("amount")).alias("std"), F.min("amount").alias("min"), F.max("amount").alias("max"),
+        r6(F.avg("is_fraud")).alias("error_rate"), F.round(F.count("*") / F.greatest(F.max("dt") - F.min("dt"), F.lit(1)), 9).alias("per_second"))
+    q = {f"p{n}": n / 100 for n in (50, 95, 99)}
+    return with_quantiles(by, t, ["product"], "amount", q).withColumns({c: r6(c) for c in q})
 
 
 @query("SELECT e AS le, count(*) FILTER (WHERE round(fraud_score, 6) <= e) AS n FROM scored, (VALUES (0.1), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9), (1.0)) t(e0), LATERAL (SELECT e0::DOUBLE AS e) GROUP BY 1", sql.SCORED)
@@ -457,7 +466,10 @@ def left_join(spark, sf_dir):
 
 @query("SELECT round(avg(CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 1 ELSE 0 END), 6) AS share FROM orders", "one AS (SELECT 1)")
 def semi_join_ratio(spark, sf_dir):
-    return left_join(spark, sf_dir).agg(r6(F.avg(F.col("has_identity").cast("int"))).alias("share"))
+    identity = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    orders = read(spark, sf_dir, "orders").select("o_custkey")
+    found = orders.join(identity, "o_custkey", "left_semi").agg(F.count("*").alias("found"))
+    return orders.agg(F.count("*").alias("n")).crossJoin(found).select(r6(F.try_divide("found", "n")).alias("share"))  # one row each
 
 
 DEPLOYED = (("v1.0", "2024-01-01"), ("v1.1", "2024-01-10"), ("v1.0", "2024-01-18"), ("v1.2", "2024-01-24"))

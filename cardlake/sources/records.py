@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared = shared or "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

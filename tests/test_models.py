@@ -15,14 +15,14 @@ def test_runs(spark, name):
 
 
 def test_vectors_are_aligned(spark):
-    out = models.aligned(spark.createDataFrame([(1.0, None), (float("nan"), 2.0)], "a double, b double"), ("a", "b", "c")).collect()
-    assert [(r.f_a, r.f_b, r.f_c) for r in out] == [(1.0, 0.0, 0.0), (0.0, 2.0, 0.0)]
+    out = models.aligned(spark.createDataFrame([(1.0, None, "x"), (float("nan"), 2.0, " 3.5")], "a double, b double, d string"), ("a", "b", "c", "d")).collect()
+    assert [(r.f_a, r.f_b, r.f_c, r.f_d) for r in out] == [(1.0, 0.0, 0.0, 0.0), (0.0, 2.0, 0.0, 3.5)]
 
 
 def test_folds_and_search(spark):
     df = spark.range(600).select("id", (F.col("id") % 2).cast("double").alias("label"), F.lit(1.0).alias("weight"), F.lit("x").alias("c"), (F.col("id") % 2 + F.rand(1)).alias("a"))
-    r = models.folded(models.aligned(df, ("a",)), "id", 3)
-    assert {x.fold for x in r.select("fold").distinct().collect()} == {0, 1, 2}
+    r = models.folded(models.aligned(df, ("a",)), "id", "label", 3)
+    assert {(x.fold, x.label, x["count"]) for x in r.groupBy("fold", "label").count().collect()} == {(f, y, 100) for f in range(3) for y in (0.0, 1.0)}
     m = models.trees()
     best, trials = models.searched(r, models.estimator(("a",), ("c",), m), models.grid_of(m, maxDepth=(1, 2)), 3)
     assert len(trials) == 2 and min(t[0] for t in trials) > 0.9
