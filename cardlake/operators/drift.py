@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.operators.stats import chi_square_p, ks_p, normal_p, t_p
+
 EPSILON = 1e-8
 
 
@@ -64,3 +68,70 @@ def two_proportions(df: DataFrame, flag: str) -> DataFrame:
     one = df.agg(rate(F.col("is_reference")).alias("pr"), rate(~F.col("is_reference")).alias("pc"), F.avg(flag).alias("p"), r.alias("nr"), c.alias("nc"))
     d = F.col("pc") - F.col("pr")
     return one.select(d.alias("difference"), (d / F.sqrt(F.col("p") * (1 - F.col("p")) * (1 / F.col("nr") + 1 / F.col("nc")))).alias("z"))
+
+
+def concept_test(df: DataFrame, flag: str, least: int = 50, difference: float = 0.01, level: float = 0.05) -> DataFrame:
+    """two_proportions with the tail p and is_alert."""
+    one = two_proportions(df, flag).crossJoin(df.agg(F.count_if(~F.col("is_reference")).alias("_n")))  # one row each
+    return one.withColumn("p", normal_p(F.col("z"))).withColumn("is_alert", (F.col("_n") >= least) & (F.abs("difference") > difference) & (F.col("p") < level)).drop("_n")
+
+
+def chi_square(df: DataFrame, column: str) -> DataFrame:
+    """statistic and categories of the counts by side and value, one row; Yates's correction where there are two values. No window: totals come from an aggregate of the counts."""
+    both = df.groupBy(F.col(column).alias("_value")).agg(*[c.alias(n) for n, c in zip("rc", _sides(), strict=True)])
+    total = both.agg(F.sum("r").alias("tr"), F.sum("c").alias("tc"), F.count("*").alias("categories"))
+    n = F.col("r") + F.col("c")
+    share = F.col("tr") / (F.col("tr") + F.col("tc"))
+    less = F.when(F.col("categories") == 2, 0.5).otherwise(0.0)
+    term = lambda o, e: (lambda d: d * d / e)(F.greatest(F.abs(o - e) - less, F.lit(0.0)))
+    cells = both.crossJoin(F.broadcast(total))  # one row
+    return cells.agg(F.sum(term(F.col("r"), n * share) + term(F.col("c"), n * (1 - share))).alias("statistic"), F.max("categories").alias("categories"))
+
+
+def common_features(reference: tuple[str, ...], current: tuple[str, ...], least: float = 0.8) -> list[str]:
+    """The features both sides have, sorted; an error where they are less than least of the reference's."""
+    both = sorted(set(reference) & set(current))
+    if len(both) < least * len(set(reference)):
+        raise ValueError(f"only {len(both)} of {len(set(reference))} features are in both sets")
+    return both
+
+
+#: By test: the values from which drift is medium, high and critical, and that over which to train anew.
+LEVELS = {"psi": ((0.1, 0.25, 0.5), 0.25), "performance": ((0.05, 0.1, 0.2), 0.1), "feature": ((0.1, 0.2, 0.4), 0.3), "concept": ((0.1, 0.2, 0.4), 0.02)}
+ADVICE = {
+    "psi": ("compare the sources of the feature", "train on current rows"),
+    "performance": ("check the latest labels", "train on current rows"),
+    "feature": ("check how the feature is made", "watch the feature"),
+    "concept": ("look for new kinds of fraud", "train on current labels"),
+}
+
+
+def alert_rows(df: DataFrame, ends: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...], label: str, psi_limit: float = 0.05, p_limit: float = 0.05, chi_p_limit: float = 0.15, js_limit: float = 0.1) -> DataFrame:
+    """test, kind, feature, value, p, severity, is_alert, confidence, retrain and advice of every test. ends: one row of metrics.head_tail."""
+    one = df.agg(*[c.cast("double").alias(n) for n, c in zip("nm", _sides(), strict=True)])
+
+    def rows(found: DataFrame, test: str, kind: str, feature: str, value: Column, p: Column, alert: Column) -> DataFrame:
+        (a, b, c), again = LEVELS[kind]
+        kept = found.select(value.cast("double").alias("value"), p.cast("double").alias("p"), F.coalesce(alert, F.lit(False)).alias("is_alert"))
+        v = F.col("value")
+        level = F.when(v >= c, "critical").when(v >= b, "high").when(v >= a, "medium").otherwise("low")
+        sure = F.coalesce(1 - F.col("p"), F.least(v / c, F.lit(1.0)))
+        return kept.select(F.lit(test).alias("test"), F.lit(kind).alias("kind"), F.lit(feature).alias("feature"), "value", "p", level.alias("severity"), "is_alert", sure.alias("confidence"),
+                           (F.col("is_alert") & (v > again)).alias("retrain"), F.array(*map(F.lit, ADVICE[kind])).alias("advice"))
+
+    none, parts = F.lit(None), []
+    for f in numeric:
+        parts.append(rows(psi_numeric(df, f), "psi", "psi", f, F.col("psi"), none, F.col("psi") > psi_limit))
+        ks = kolmogorov_smirnov(df, f).crossJoin(one).withColumn("p", ks_p(F.col("d"), F.col("n"), F.col("m")))  # one row each
+        parts.append(rows(ks, "kolmogorov_smirnov", "feature", f, F.col("d"), F.col("p"), F.col("p") < p_limit))
+    for f in categorical:
+        psi = shares(df, f).agg(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r"))).alias("psi"))
+        parts.append(rows(psi, "psi", "psi", f, F.col("psi"), none, F.col("psi") > psi_limit))
+        chi = chi_square(df, f).withColumn("p", chi_square_p(F.col("statistic"), F.col("categories") - 1))
+        parts.append(rows(chi, "chi_square", "feature", f, F.try_divide("statistic", 2 * F.col("categories")), F.col("p"), F.col("p") < chi_p_limit))
+        parts.append(rows(jensen_shannon(df, f), "jensen_shannon", "feature", f, F.col("distance"), none, F.col("distance") > js_limit))
+    parts.append(rows(concept_test(df, label), "two_proportions", "concept", label, F.abs("difference"), F.col("p"), F.col("is_alert")))
+    drop = F.col("head") - F.col("tail")
+    t = ends.withColumn("t", F.try_divide(drop, F.sqrt((F.col("head_var") + F.col("tail_var")) / F.col("m")))).withColumn("p", t_p(F.col("t"), 2 * F.col("m") - 2))
+    parts.append(rows(t, "head_and_tail", "performance", "accuracy", drop, F.col("p"), drop > LEVELS["performance"][0][0]))
+    return reduce(DataFrame.unionByName, parts)

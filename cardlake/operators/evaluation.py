@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,3 +89,25 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     b = by_score(df, score, label)
     pairs = F.sum((F.col("n") - F.col("p")) * (F.col("hit") - F.col("p") / 2))
     return b.agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))
+
+
+def cells(said: Column, true: Column) -> list[Column]:
+    """tp, tn, fp and fn of a decision against the truth, as aggregates."""
+    return [F.count_if(c).alias(n) for n, c in {"tp": said & true, "tn": ~said & ~true, "fp": said & ~true, "fn": ~said & true}.items()]
+
+
+def rates() -> dict[str, Column]:
+    """Metrics of the columns tp, tn, fp and fn; one without rows to count is 0."""
+    tp, tn, fp, fn = map(F.col, ("tp", "tn", "fp", "fn"))
+    part = lambda a, b: a / F.greatest(b, F.lit(1))
+    return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2 * tp, 2 * tp + fp + fn), "accuracy": part(tp + tn, tp + tn + fp + fn), "fpr": part(fp, fp + tn), "fnr": part(fn, tp + fn)}
+
+
+def auc_by(df: DataFrame, keys: list[str], score: str, label: str, digits: int = 3) -> DataFrame:
+    """keys and auc, of scores rounded to digits, equal scores counted half; null without both labels."""
+    by = df.groupBy(*keys, F.round(score, digits).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    all_of = Window.partitionBy(*keys)
+    hit = F.sum("p").over(all_of.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0))
+    b = by.withColumns({"hit": hit, "all_p": F.sum("p").over(all_of), "all_n": F.sum("n").over(all_of)})
+    pairs = F.sum((F.col("n") - F.col("p")) * (F.col("hit") - F.col("p") / 2))
+    return b.groupBy(*keys).agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.operators.evaluation import cells, rates
+
 
 def bucket(user_id: Column, experiment: str, buckets: int = 10_000) -> Column:
     """The MD5 of "user:experiment" as a number, modulo buckets, folded over eight groups of four hex digits."""
@@ -35,3 +37,29 @@ def report(scorecard: DataFrame, target: int, least: int = 50, z_limit: float =
     enough, clear = F.least("nc", "nt") >= least, F.abs("z") > z_limit
     decision = F.when(~enough, "insufficient").when(clear, F.when(F.col("z") > 0, "treatment").otherwise("control")).otherwise("no difference")
     return t.withColumns({"decision": decision, "stop": (enough & clear) | ((F.abs("effect") < 0.1) & (F.col("predictions") > target / 2))})
+
+
+def scorecard(df: DataFrame, experiment: str, said: Column, true: Column, value: Column, control: int = 5000) -> DataFrame:
+    """By variant: predictions (n), tp, tn, fp, fn, and the value of fraud detected and missed."""
+    variant = F.when(bucket(F.col("user_id"), experiment) <= control, "control").otherwise("treatment")
+    worth = lambda holds: F.sum(F.when(holds, value).otherwise(0.0))
+    return df.groupBy(variant.alias("variant")).agg(F.count("*").alias("n"), *cells(said, true), worth(said & true).alias("detected"), worth(~said & true).alias("missed"))
+
+
+def metric_value(metric: Column) -> Column:
+    """The value of the named metric for a row of a scorecard; null for an unknown name."""
+    known = rates() | {"business_value": F.col("detected") - F.col("missed") - 10 * F.col("fp")}
+    out = F.lit(None).cast("double")
+    for name, value in known.items():
+        out = F.when(metric == name, value).otherwise(out)
+    return out
+
+
+def proportion_tests(card: DataFrame, tested: dict[str, tuple[str, str]]) -> DataFrame:
+    """metric, effect and pooled z of treatment against control, for metrics given as hits and trials of a scorecard (SQL expressions)."""
+    of = lambda v, e: F.sum(F.when(F.col("variant") == v, F.expr(e))).cast("double")
+    made = [F.struct(F.lit(m).alias("metric"), of("control", a).alias("sc"), of("treatment", a).alias("st"), of("control", b).alias("nc"), of("treatment", b).alias("nt")) for m, (a, b) in tested.items()]
+    one = card.agg(F.array(*made).alias("m")).select(F.inline("m"))
+    pc, pt = F.try_divide("sc", "nc"), F.try_divide("st", "nt")
+    q = F.try_divide(F.col("sc") + F.col("st"), F.col("nc") + F.col("nt"))
+    return one.select("metric", (pt - pc).alias("effect"), F.try_divide(pt - pc, F.sqrt(q * (1 - q) * (F.try_divide(F.lit(1), F.col("nc")) + F.try_divide(F.lit(1), F.col("nt"))))).alias("z"))

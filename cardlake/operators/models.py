@@ -22,6 +22,11 @@ def aligned(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return df.withColumns({f"f_{c}": clean(c) if c in df.columns else F.lit(0.0) for c in features})
 
 
+def clipped(p: Column) -> Column:
+    """A probability: what is no number or infinite is 0, the rest is brought to 0 to 1. Null stays null."""
+    return F.when(F.isnan(p) | (F.abs(p) == float("inf")), 0.0).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
+
+
 def estimator(features: tuple[str, ...], categories: tuple[str, ...], model) -> Pipeline:
     """Categories by frequency, new ones last; then the vector and the model."""
     index = StringIndexer(inputCols=list(categories), outputCols=[f"i_{c}" for c in categories], handleInvalid="keep")

@@ -138,12 +138,12 @@ def labelled_counters(spark, sf_dir):
 
 
 @query("""SELECT message FROM (SELECT unnest([CASE WHEN bad > 0 THEN 'labels outside 0 and 1' END, CASE WHEN rate < 0.001 OR rate > 0.5 THEN 'label rate out of range' END,
-       CASE WHEN nulls > 0 THEN 'amounts missing' END, CASE WHEN emails > 0 THEN 'e-mail domains missing' END]) AS message
-       FROM (SELECT count(*) FILTER (WHERE is_fraud NOT IN (0, 1)) AS bad, avg(is_fraud) AS rate, count(*) - count(amount) AS nulls, count(*) - count(p_email) AS emails FROM txn)) WHERE message IS NOT NULL""")
+       CASE WHEN nulls > 0 THEN 'amounts missing' END, CASE WHEN inf > 0 THEN 'amounts infinite' END, CASE WHEN emails > 0 THEN 'e-mail domains missing' END]) AS message
+       FROM (SELECT count(*) FILTER (WHERE is_fraud NOT IN (0, 1)) AS bad, avg(is_fraud) AS rate, count(*) - count(amount) AS nulls, count(*) FILTER (WHERE isinf(amount)) AS inf, count(*) - count(p_email) AS emails FROM txn)) WHERE message IS NOT NULL""")
 def dataset_validation(spark, sf_dir):
     missing = lambda c: F.count("*") > F.count(c)
     rate = F.avg("is_fraud")
-    tests = {"labels outside 0 and 1": F.count_if(~F.col("is_fraud").isin(0, 1)) > 0, "label rate out of range": (rate < 0.001) | (rate > 0.5), "amounts missing": missing("amount"), "e-mail domains missing": missing("p_email")}
+    tests = {"labels outside 0 and 1": F.count_if(~F.col("is_fraud").isin(0, 1)) > 0, "label rate out of range": (rate < 0.001) | (rate > 0.5), "amounts missing": missing("amount"), "amounts infinite": F.count_if(F.abs("amount") == float("inf")) > 0, "e-mail domains missing": missing("p_email")}
     one = transactions(spark, sf_dir).agg(F.array_compact(F.array(*[F.when(holds, text) for text, holds in tests.items()])).alias("m"))
     return one.select(F.explode("m").alias("message"))
 

@@ -398,7 +398,7 @@ def normalized_frequency_tables(spark, sf_dir):
     return counts.withColumn("share", r6(F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
-@query("""SELECT 'v' || CAST(user_id % 2 AS VARCHAR) AS model_version, round(tp / greatest(tp + fp, 1)::DOUBLE, 6) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 6) AS recall,
+@query("""SELECT 'v' || CAST(user_id % 2 AS VARCHAR) AS model_version, round(tp / greatest(tp + fp, 1)::DOUBLE, 6) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 6) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1)::DOUBLE, 6) AS f1,
        round(fp / greatest(fp + tn, 1)::DOUBLE, 6) AS fpr, round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 6) AS accuracy FROM (
        SELECT user_id % 2 AS user_id, count(*) FILTER (WHERE s >= 0.3 AND is_fraud = 1) AS tp, count(*) FILTER (WHERE s < 0.3 AND is_fraud = 0) AS tn,
        count(*) FILTER (WHERE s >= 0.3 AND is_fraud = 0) AS fp, count(*) FILTER (WHERE s < 0.3 AND is_fraud = 1) AS fn FROM (SELECT *, round(fraud_score, 6) AS s FROM scored) GROUP BY 1)""", sql.SCORED)
@@ -409,7 +409,7 @@ def confusion_metrics(spark, sf_dir):
     )
     part = lambda a, b: r6(F.col(a) / F.greatest(F.col(a) + F.col(b), F.lit(1)))
     right = F.col("tp") + F.col("tn")
-    return c.select("model_version", part("tp", "fp").alias("precision"), part("tp", "fn").alias("recall"), part("fp", "tn").alias("fpr"), r6(right / (right + F.col("fp") + F.col("fn"))).alias("accuracy"))
+    return c.select("model_version", part("tp", "fp").alias("precision"), part("tp", "fn").alias("recall"), r6(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))).alias("f1"), part("fp", "tn").alias("fpr"), r6(right / (right + F.col("fp") + F.col("fn"))).alias("accuracy"))
 
 
 @query("""SELECT round((sum(r * is_fraud) - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)), 6) AS auc FROM (
@@ -441,10 +441,10 @@ def bucketed_histograms(spark, sf_dir):
     return one.select(F.inline(F.array(*[F.struct(F.lit(e).alias("le"), F.col(str(i)).alias("n")) for i, e in enumerate(edges)])))
 
 
-@query("SELECT count(*) AS processed, count(*) FILTER (WHERE round(fraud_score, 6) >= 0.3) AS alerts, round(count(*) FILTER (WHERE round(fraud_score, 6) >= 0.3) / count(*)::DOUBLE, 6) AS alert_rate FROM scored", sql.SCORED)
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE round(fraud_score, 6) >= 0.3) AS alerts, round(count(*) FILTER (WHERE round(fraud_score, 6) >= 0.3) / count(*)::DOUBLE, 6) AS alert_rate, round(count(*) / greatest(max(dt) - min(dt), 1)::DOUBLE, 9) AS per_second FROM scored", sql.SCORED)
 def running_totals_report(spark, sf_dir):
     found = F.count_if(r6("fraud_score") >= 0.3)
-    return scored(spark, sf_dir).agg(F.count("*").alias("processed"), found.alias("alerts"), r6(found / F.count("*")).alias("alert_rate"))
+    return scored(spark, sf_dir).agg(F.count("*").alias("processed"), found.alias("alerts"), r6(found / F.count("*")).alias("alert_rate"), F.round(F.count("*") / F.greatest(F.max("dt") - F.min("dt"), F.lit(1)), 9).alias("per_second"))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(is_fraud), 6) AS rate FROM txn GROUP BY 1 HAVING avg(is_fraud) > 0.1")

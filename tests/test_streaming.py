@@ -54,3 +54,57 @@ def test_labels_within_72_hours(spark, stored, tmp_path):
     labels.write.parquet(str(tmp_path / "labels"))
     got = result(spark, live.with_labels(source(spark, stored), source(spark, str(tmp_path / "labels"))), "append")
     assert got.count() == transactions(spark, DIR).filter("transaction_id % 2 = 0").count()
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    """Rows older than the watermark of the batches before; the listener tells how many."""
+    from datetime import datetime, timedelta
+
+    from cardlake.streaming import jobs
+
+    seen = jobs.Progress()
+    spark.streams.addListener(seen)
+    try:
+        for k, hour in enumerate((10, 14, 2)):  # the third file is late
+            rows = [(k, 1, datetime(2024, 1, 1, hour) + timedelta(minutes=i), 1.0, 0) for i in range(5)]
+            spark.createDataFrame(rows, "transaction_id long, user_id long, ts timestamp, amount double, is_fraud int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = live.files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+            live.run_once(live.statistics(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        import time
+
+        for _ in range(50):
+            if sum(x["late"] for x in seen.seen):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(x["late"] for x in seen.seen) > 0
+    assert 2 not in {r.start.hour for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_a_batch_that_fails_after_writing_is_written_once(spark, stored, tmp_path):
+    from cardlake.streaming import jobs
+
+    out, failed = str(tmp_path / "rows"), []
+
+    def write(batch, number):
+        jobs.write_batch(batch.select("transaction_id"), out, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the write")
+
+    with pytest.raises(Exception, match="lost after the write"):
+        jobs.run(source(spark, stored), write, str(tmp_path / "checkpoint"))
+    jobs.run(source(spark, stored), write, str(tmp_path / "checkpoint"))
+    got = jobs.read_batches(spark, out, "transaction_id long")
+    assert failed and got.count() == got.distinct().count() == transactions(spark, DIR).count()
+
+
+def test_accounts_and_alarms(spark):
+    from cardlake.streaming import jobs
+
+    now = spark.createDataFrame([(1, 3, 1, "BLOCKED"), (2, 1, 0, "ACTIVE"), (3, 1, 1, "SUSPENDED")], jobs.ACCOUNTS)
+    new = spark.createDataFrame([(1, 2, 0, "ACTIVE"), (2, 1, 1, "BLOCKED"), (4, 1, 0, "ACTIVE")], jobs.ACCOUNTS)
+    assert sorted(map(tuple, jobs.upserted(now, new).collect())) == [(1, 5, 1, "BLOCKED"), (2, 2, 1, "BLOCKED"), (3, 1, 1, "SUSPENDED"), (4, 1, 0, "ACTIVE")]
+    m = spark.createDataFrame([(0, 1000, 5, 10.0), (1, 1000, 50, 10.0), (2, 1000, 0, 5000.0), (3, 0, 0, 10.0)], jobs.METRICS)
+    assert sorted(map(tuple, jobs.alarms(m).collect())) == [(1, "error_rate"), (2, "throughput")]
