@@ -466,6 +466,30 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.score(odd, toxicity.Model()).filter("score <> 0").isEmpty()
 
 
+def test_kernel_against_definition():
+    """The kernel of two words is the cosine of their decayed counts of subsequences, and a basis of all words gives it back."""
+    words = ["idiot", "idxiot", "a", "zz", "moron", "日本語日"]
+
+    def phi(word):
+        signs, out = toxicity.coded(word).tolist(), collections.Counter()
+
+        def walk(at, chosen):
+            if len(chosen) == 3:
+                out[tuple(signs[i] for i in chosen)] += toxicity.DECAY ** (chosen[-1] - chosen[0] + 1)
+                return
+            for i in range(at, len(signs)):
+                walk(i + 1, [*chosen, i])
+
+        walk(0, [])
+        size = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / size for k, v in out.items()}
+
+    want = [[sum(v * phi(b).get(k, 0) for k, v in phi(a).items()) for b in words] for a in words]
+    assert np.allclose(toxicity.kernel(words, words), want, atol=1e-6)
+    x = toxicity.Basis(words)(words)
+    assert np.allclose(x @ x.T, want, atol=1e-4)
+
+
 def test_toxicity_of_short_and_long_tokens(spark):
     r = np.random.default_rng(4)
     words = [f"{a}{b}{c}" for a in ("ba", "ne", "to", "ri") for b in ("la", "mu", "so", "ke") for c in ("n", "r", "l", "s")]
