@@ -5,9 +5,10 @@ parts, with what its children (contexts one byte longer) say together, so every
 training counts decide. Trained once and frozen, the mixture is a table: a byte's log10 chance after each context that was seen.
 
 Texts are lower-cased (A-Z) UTF-8 with byte 255, which UTF-8 never holds, before and after. Counts of (context, byte) are made in the tasks that read
-the texts and summed by a shuffle, over all training texts. A tree is weighted per group of contexts with the same last two bytes (65,536 at most), whose summary of
-fixed size is all that reaches the driver; there the two uppermost levels are done. The table is written to the shared folder and each
-Python worker reads it from there once. Its size follows the number of distinct contexts of DEPTH bytes; DEPTH is the parameter that bounds it.
+the texts and summed by a shuffle, over all training texts. A tree is weighted per group of contexts with the same last two bytes (65,536 at most), one subtree of three
+bytes after the other, so a task holds a subtree and not a group; a group's summary of
+fixed size is all that reaches the driver, where the two uppermost levels are done. The table is written to the shared folder in slices of about MODEL_BYTES by the last two bytes;
+each pass over the texts scores the positions of one slice, so a Python worker holds one slice however many contexts there are.
 
 Base score: log10((c + 0.5) / (N + 0.5 (V + 1))) per token, with counts over all training tokens. Words are known by a 64-bit hash. Counts of frequent
 words (as many as HOT_WORDS, found by a histogram of counts) are broadcast; other tokens meet theirs in a shuffle join.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from cardlake.llm.common import ascii_lower, crc_of_id, cut, release, scratch, text_slices, words
 
 DEPTH, EDGE, HOT_WORDS = 5, 255, 200_000
+#: What a slice of the table may take in a worker; bytes there for each context and byte; and contexts for each row of counts, about (a context has two bytes after it or more).
+MODEL_BYTES, CELL_BYTES, CONTEXTS_PER_COUNT = 600 << 20, 6, 0.5
 LOG2 = math.log(2)
 
 
@@ -180,9 +183,33 @@ def log_chances(sure: np.ndarray, left: np.ndarray) -> np.ndarray:
 TOP = 2
 
 
-def summary(keys: np.ndarray, counts: np.ndarray, depth: int) -> Level:
-    """The level at depth TOP of one group, which is a single context."""
-    return weighted(keys, counts, depth, TOP)[0]
+def subtrees(keys: np.ndarray, depth: int) -> list[slice]:
+    """Where sorted keys of one context of depth TOP have the same context of depth TOP + 1: what is weighted at a time."""
+    own = keys >> np.uint64(8 * (depth - TOP))
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return [slice(int(i), int(j)) for i, j in zip(first, np.append(first[1:], len(keys)), strict=True)]
+
+
+def summary(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Context, log weighted probabilities and byte counts of one context of depth TOP; its subtrees are weighted one after the other."""
+    leaves, children = np.zeros((1, 256), np.int64), None
+    for part in subtrees(keys, depth):
+        if depth == TOP:
+            leaves += weighted(keys[part], counts[part], depth, TOP)[0].leaves
+        else:
+            top = weighted(keys[part], counts[part], depth, TOP + 1)[0]
+            leaves += top.leaves
+            children = top.log_pw if children is None else children + top.log_pw
+    log_pe, _ = kt(node_counts(leaves))
+    log_pw = log_pe if children is None else np.logaddexp(log_pe, children) - LOG2
+    return int(keys[0] >> np.uint64(8 * (depth - TOP + 1))), log_pw[0], leaves[0]
+
+
+def below(log_pw: np.ndarray, leaves: np.ndarray, sure: np.ndarray, left: np.ndarray, is_leaf: bool) -> tuple[np.ndarray, np.ndarray]:
+    """sure and left below contexts of depth TOP, from their summaries and the same of the level above, by row."""
+    log_pe, p1 = kt(node_counts(leaves))
+    stop = np.ones_like(p1) if is_leaf else np.exp(log_pe - LOG2 - log_pw)
+    return sure + left * stop * p1, left * (1 - stop)
 
 
 def upper_levels(contexts: np.ndarray, log_pw: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray]]]:
@@ -205,49 +232,59 @@ def upper_levels(contexts: np.ndarray, log_pw: np.ndarray, leaves: np.ndarray) -
     return one.contexts, sure, left, rows
 
 
-def train(docs: DataFrame, depth: int = DEPTH) -> str:
-    """The path of the model table, in the shared folder: depth, context, log_chances (of the bytes seen in training, at depth 0 of all 256; at depth -1 those bytes)."""
+def slice_of(pairs: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of the table that a context of depth TOP and all deeper ones ending with it are in."""
+    return (pairs.astype(np.int64) * 40503 % 65536) * slices // 65536
+
+
+def train(docs: DataFrame, depth: int = DEPTH, model_bytes: int = MODEL_BYTES) -> tuple[str, int]:
+    """The path of the model table, in the shared folder, and the number of its slices, none of which needs more than about model_bytes in a worker.
+
+    Columns: slice, depth, context, log_chances (of the bytes seen in training, at depth 0 of all 256; at depth -1 those bytes). Contexts of depths 0 and 1 are in slice -1.
+    """
     spark = docs.sparkSession
     counts = cut(context_counts(docs, depth), "contexts").withColumn("last", F.shiftrightunsigned("key", 8 * (depth - TOP + 1)))
-    schema = "last long, log_pw binary, leaves binary"
 
     def summarised(table: pa.Table) -> pa.Table:
-        keys, n = _sorted(table)
-        s = summary(keys, n, depth)
-        return pa.table({"last": pa.array([int(s.contexts[0])], pa.int64()), "log_pw": pa.array([s.log_pw[0].tobytes()], pa.binary()), "leaves": pa.array([s.leaves[0].tobytes()], pa.binary())})
+        context, log_pw, leaves = summary(*_sorted(table), depth)
+        return pa.table({"last": pa.array([context], pa.int64()), "log_pw": pa.array([log_pw.tobytes()], pa.binary()), "leaves": pa.array([leaves.tobytes()], pa.binary())})
 
-    rows = counts.groupBy("last").applyInArrow(summarised, schema).collect()
+    tops = cut(counts.groupBy("last").applyInArrow(summarised, "last long, log_pw binary, leaves binary"), "context-tops")
+    rows = tops.collect()
     path = scratch(spark, "ctw-model")
-    model = "depth int, context long, log_chances binary"
+    model = "slice int, depth int, context long, log_chances binary"
     if not rows:
         flat = np.full(256, -math.log10(256), np.float32).tobytes()
-        spark.createDataFrame([(0, 0, bytearray(flat)), (-1, 0, bytearray(range(256)))], model).write.parquet(path)
-        return path
+        spark.createDataFrame([(-1, 0, 0, bytearray(flat)), (-1, -1, 0, bytearray(range(256)))], model).write.partitionBy("slice").parquet(path)
+        return path, 1
     matrix = lambda i, kind: np.stack([np.frombuffer(r[i], kind) for r in rows])
     seen = np.flatnonzero(sum(np.frombuffer(r[2], np.int64) for r in rows))
     last, sure, left, top_rows = upper_levels(np.array([r[0] for r in rows], np.int64), matrix(1, np.float64), matrix(2, np.int64))
+    del rows
     above = {int(c): i for i, c in enumerate(last)}
+    slices = max(1, math.ceil(counts.count() * CONTEXTS_PER_COUNT * len(seen) * CELL_BYTES / model_bytes))
 
-    def tabled(table: pa.Table) -> pa.Table:
+    def tabled(key: tuple, table: pa.Table, top: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
-        levels = weighted(keys, n, depth, TOP)
-        i = above[int(levels[0].contexts[0]) >> 8]
-        s, rest = sure[i : i + 1], left[i : i + 1]
-        out: dict[str, list] = {"depth": [], "context": [], "log_chances": []}
-        for d, level in enumerate(levels, TOP):
-            s, rest = mixed(level, *((s, rest) if d == TOP else (s[level.parent], rest[level.parent])))
-            chances = log_chances(s, rest)[:, seen]
-            out["depth"] += [d] * len(level.contexts)
-            out["context"] += level.contexts.astype(np.int64).tolist()
-            out["log_chances"] += [x.tobytes() for x in chances]
-        del levels, chances, s, rest
+        pair = key[0].as_py()
+        i = above[pair >> 8]
+        s, rest = below(np.frombuffer(top["log_pw"][0].as_py())[None], np.frombuffer(top["leaves"][0].as_py(), np.int64)[None], sure[i : i + 1], left[i : i + 1], depth == TOP)
+        out: dict[str, list] = {"depth": [TOP], "context": [pair], "log_chances": [log_chances(s, rest)[0, seen].tobytes()]}
+        for part in subtrees(keys, depth) if depth > TOP else []:
+            a, b = s, rest
+            for d, level in enumerate(weighted(keys[part], n[part], depth, TOP + 1), TOP + 1):
+                a, b = mixed(level, *((a, b) if d == TOP + 1 else (a[level.parent], b[level.parent])))
+                out["depth"] += [d] * len(level.contexts)
+                out["context"] += level.contexts.astype(np.int64).tolist()
+                out["log_chances"] += [x.tobytes() for x in log_chances(a, b)[:, seen]]
         release()
-        return pa.table({"depth": pa.array(out["depth"], pa.int32()), "context": pa.array(out["context"], pa.int64()), "log_chances": pa.array(out["log_chances"], pa.binary())})
+        number = int(slice_of(np.array([pair]), slices)[0])
+        return pa.table({"slice": pa.array([number] * len(out["depth"]), pa.int32()), "depth": pa.array(out["depth"], pa.int32()), "context": pa.array(out["context"], pa.int64()), "log_chances": pa.array(out["log_chances"], pa.binary())})
 
-    top = [(d, c, x if d == 0 else x[seen]) for d, c, x in top_rows] + [(-1, 0, seen.astype(np.uint8))]
-    upper = spark.createDataFrame([(d, c, bytearray(x.tobytes())) for d, c, x in top], model)
-    counts.groupBy("last").applyInArrow(tabled, model).unionByName(upper).write.parquet(path)
-    return path
+    upper = [(-1, d, c, bytearray((x if d == 0 else x[seen]).tobytes())) for d, c, x in top_rows] + [(-1, -1, 0, bytearray(seen.astype(np.uint8).tobytes()))]
+    made = counts.groupBy("last").cogroup(tops.groupBy("last")).applyInArrow(tabled, model)
+    made.unionByName(spark.createDataFrame(upper, model)).write.partitionBy("slice").parquet(path)
+    return path, slices
 
 
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +313,13 @@ class Model:
             step[np.searchsorted(before, here >> 8) * self.n + self.symbol[here & 255]] = np.arange(len(here))
             self.steps.append(step)
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        stream, at, text = byte_stream(texts, max(self.depth, 1))
+    def __call__(self, texts: list[str | None], number: int = 0, slices: int = 1) -> np.ndarray:
+        """The log10 probability of each text; of several slices, this one's part of it."""
+        stream, at, text = byte_stream(texts, max(self.depth, TOP))
+        if slices > 1:
+            pairs = (stream[at - 1].astype(np.int64) << 8) | stream[at - 2]
+            own = slice_of(pairs, slices) == number
+            at, text = at[own], text[own]
         symbols = self.symbol[stream]
         state, row = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
         for d, step in enumerate(self.steps, 1):
@@ -289,18 +331,21 @@ class Model:
         return np.bincount(text, weights=logs, minlength=len(texts))
 
 
-_LOADED: dict[str, Model] = {}
+_LOADED: dict[tuple[str, int], Model] = {}
 
 
-def load(path: str) -> Model:
-    """The model of a path, read once by a worker, batch by batch into one array."""
-    if path not in _LOADED:
+def load(path: str, number: int = 0) -> Model:
+    """A slice of a path's model, read once by a worker, batch by batch into one array; the worker keeps one slice at a time."""
+    if (path, number) not in _LOADED:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         _LOADED.clear()
+        release()
         files, root = fs.FileSystem.from_uri(path)
-        data = ds.dataset([f.path for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet")], filesystem=files, format="parquet")
+        folders = [f"{root}/slice={k}" for k in (-1, number)]
+        found = [f.path for d in folders if files.get_file_info(d).type == fs.FileType.Directory for f in files.get_file_info(fs.FileSelector(d)) if f.base_name.endswith(".parquet")]
+        data = ds.dataset(found, filesystem=files, format="parquet")
         narrow = data.to_table(columns=["depth", "context"])
         depths, contexts = narrow["depth"].to_numpy(), narrow["context"].to_numpy()
         order = np.lexsort((contexts, depths))
@@ -316,33 +361,39 @@ def load(path: str) -> Model:
                     chances[place[at] - 1] = v[seen] if d == 0 else v
                 at += 1
         depths, contexts = depths[order][1:], contexts[order][1:]
-        _LOADED[path] = Model(seen, np.frombuffer(own[0], np.float32), [contexts[depths == d] for d in range(int(depths.max()) + 1)], chances)
-    return _LOADED[path]
+        _LOADED[path, number] = Model(seen, np.frombuffer(own[0], np.float32), [contexts[depths == d] for d in range(int(depths.max()) + 1)], chances)
+    return _LOADED[path, number]
 
 
-def model_scores(docs: DataFrame, path: str, *keys: str) -> DataFrame:
-    """keys and score, the log10 probability of each text with its end. Other columns are not read."""
-    schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keys) + ", score double"
+def model_scores(docs: DataFrame, path: str, slices: int, *keys: str) -> DataFrame:
+    """keys, slice and score: what each slice of the model adds to the log10 probability of each text with its end. Each pass over the texts holds one slice. Other columns are not read."""
+    schema = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keys) + ", slice int, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 1 << 20):
-            scores = load(path)(b.column(len(keys)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(scores, pa.float64())], [*keys, "score"])
-        release()
+    def of(number: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in text_slices(batches, 1 << 20):
+                scores = load(path, number)(b.column(len(keys)).to_pylist(), number, slices)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array([number] * b.num_rows, pa.int32()), pa.array(scores, pa.float64())], [*keys, "slice", "score"])
+            release()
 
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+        return docs.select(*keys, "text").mapInArrow(run, schema)
+
+    out = of(0)
+    for number in range(1, slices):
+        out = out.unionByName(of(number))
+    return out
 
 
 def token_hashes(text: Column) -> Column:
     return F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
-def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. Training uses the rows that are not held out."""
     out = (crc_of_id(F.col("doc_id")) % 5 == 1) if held_out is None else held_out
     rows = docs.select(F.col("doc_id"), "text", F.coalesce(out, F.lit(False)).alias("held_out"))
     train_rows = rows.filter(~F.col("held_out"))
-    path = train(train_rows, depth)
+    path, slices = train(train_rows, depth, model_bytes)
 
     counts = cut(train_rows.select(F.explode(token_hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("c")), "words")
     sizes = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("k")).collect()
@@ -367,12 +418,16 @@ def scored(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH)
         F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).alias("row"),
     )
     end = F.lit(math.log10(ends + 0.5))
-    of_rows = model_scores(keyed, path, "doc_id", "t", "held_out").select("doc_id", "t", F.lit(1).alias("n"), F.lit(int(ends > 0)).alias("known"), end.alias("logs"), "score", "held_out", F.lit(1).alias("row"))
+    first = F.col("slice") == 0  # the row of the text itself; other slices only add to its score
+    once = lambda value: F.when(first, value).otherwise(F.lit(0))
+    of_rows = model_scores(keyed, path, slices, "doc_id", "t", "held_out").select(
+        "doc_id", "t", once(F.lit(1)).alias("n"), once(F.lit(int(ends > 0))).alias("known"), once(end).alias("logs"), "score", "held_out", once(F.lit(1)).alias("row")
+    )
     summed = of_words.unionByName(of_rows).groupBy("doc_id", "t").agg(
-        *[F.sum(c).alias(c) for c in ("n", "known", "logs", "row")], F.max("score").alias("score"), F.max("held_out").alias("held_out")
+        *[F.sum(c).alias(c) for c in ("n", "known", "logs", "row", "score")], F.max("held_out").alias("held_out")
     )
     n = (F.col("n") / F.col("row")).cast("long")
     return summed.select(
         "doc_id", "held_out", n.alias("n_tokens"), (F.col("known") / F.col("row")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") / F.col("row") - n * F.lit(over)).alias("base_score"), "score", F.explode(F.sequence(F.lit(1), F.col("row").cast("int"))).alias("copy"),
+        (F.col("logs") / F.col("row") - n * F.lit(over)).alias("base_score"), (F.col("score") / F.col("row")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("row").cast("int"))).alias("copy"),
     ).drop("copy")

@@ -512,55 +512,69 @@ def test_language_model(spark, docs):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in c for w in ws), n)
 
 
-def test_tree_weighting_against_definition():
-    """Chances from the table equal those of the recursive definition, and add up to 1."""
-    depth, train = 2, ["abab abba", "bab"]
-    stream, at, _ = ctw.byte_stream(train, depth)
-    keys, n = ctw.merged([np.unique(ctw.context_keys(stream, at, depth), return_counts=True)])
-    s = [ctw.summary(keys[keys >> np.uint64(8) == c], n[keys >> np.uint64(8) == c], depth) for c in np.unique(keys >> np.uint64(8))]
-    last, sure, left, rows = ctw.upper_levels(np.array([int(x.contexts[0]) for x in s]), np.stack([x.log_pw[0] for x in s]), np.stack([x.leaves[0] for x in s]))
-    seen = [(bytes(stream[p - 2 : p])[::-1], int(stream[p])) for p in at]  # context, latest first
-
-    def pw(ctx, node, bits):  # node: bits of the byte so far
-        a = [sum(1 for c, b in seen if c.startswith(ctx) and f"{b:08b}".startswith(node + x)) for x in "01"]
-        p = 1.0
+@pytest.mark.parametrize("depth, model_bytes", [(2, ctw.MODEL_BYTES), (4, ctw.MODEL_BYTES), (5, 250)])
+def test_tree_weighting_against_definition(spark, depth, model_bytes):
+    """Scores equal those of the recursive definition, for trees of several levels and for a table in several slices."""
+    import functools
+
+    train, new = ["abab abba", "bab", "abab"], ["abab", "xab b", "", "ba\u00e9", "abab abba"]
+    path, slices = ctw.train(spark.createDataFrame([(t,) for t in train], "text string"), depth, model_bytes)
+    assert (slices > 1) == (model_bytes < ctw.MODEL_BYTES)
+    edge = b"\xff" * depth
+    seen = []
+    for t in train:
+        raw = edge + t.encode() + b"\xff"
+        seen += [(raw[i - depth : i][::-1], raw[i]) for i in range(depth, len(raw))]  # context, latest first
+
+    @functools.cache
+    def counts(ctx, node):
+        return [sum(1 for c, b in seen if c.startswith(ctx) and f"{b:08b}".startswith(node + x)) for x in "01"]
+
+    def pe(ctx, node):
+        a, p = counts(ctx, node), 1.0
         for k in range(a[0]):
             p *= (k + 0.5) / (k + 1)
         for k in range(a[1]):
             p *= (k + 0.5) / (a[0] + k + 1)
+        return p
+
+    @functools.cache
+    def pw(ctx, node):
         if len(ctx) == depth:
-            return p
+            return pe(ctx, node)
         kids = 1.0
         for nxt in {c[len(ctx)] for c, _ in seen if c.startswith(ctx)}:
-            kids *= pw(ctx + bytes([nxt]), node, bits)
-        return 0.5 * p + 0.5 * kids
+            kids *= pw(ctx + bytes([nxt]), node)
+        return 0.5 * pe(ctx, node) + 0.5 * kids
 
     def chance(ctx, node, d=0):  # of a 1
         own = ctx[:d]
-        a = [sum(1 for c, b in seen if c.startswith(own) and f"{b:08b}".startswith(node + x)) for x in "01"]
+        if not any(c.startswith(own) for c, _ in seen):
+            return 0.5
+        a = counts(own, node)
         kt = (a[1] + 0.5) / (sum(a) + 1)
         if d == depth:
             return kt
-        pe = 1.0
-        for k in range(a[0]):
-            pe *= (k + 0.5) / (k + 1)
-        for k in range(a[1]):
-            pe *= (k + 0.5) / (a[0] + k + 1)
-        stop = 0.5 * pe / pw(own, node, 0)
+        stop = 0.5 * pe(own, node) / pw(own, node)
         return stop * kt + (1 - stop) * chance(ctx, node, d + 1)
 
-    level = {int(x.contexts[0]): x for x in s}
-    for ctx in {c for c, _ in seen}:
-        code = ctx[0] << 8 | ctx[1]
-        i = list(last).index(ctx[0])
-        table = ctw.log_chances(*ctw.mixed(level[code], sure[i : i + 1], left[i : i + 1]))[0]
-        assert abs((10.0**table.astype(float)).sum() - 1) < 1e-5
-        for b in b"ab \xff":
-            bits, p = f"{b:08b}", 1.0
-            for k in range(8):
-                one = chance(ctx, bits[:k])
-                p *= one if bits[k] == "1" else 1 - one
-            assert abs(table[b] - np.log10(p)) < 1e-4
+    known = {b for _, b in seen}
+    got = collections.defaultdict(float)
+    for r in ctw.model_scores(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), path, slices, "doc_id").collect():
+        got[r["doc_id"]] += r["score"]
+    for i, t in enumerate(new):
+        raw, want = edge + t.encode() + b"\xff", 0.0
+        for k in range(depth, len(raw)):
+            ctx, bits = (raw[k - depth : k][::-1] if raw[k] in known else None), f"{raw[k]:08b}"
+            for j in range(8):
+                # a byte that training never saw has its chance without context
+                root = counts(b"", bits[:j])
+                one = chance(ctx, bits[:j]) if ctx is not None else None
+                if one is None:
+                    stop = 0.5 * pe(b"", bits[:j]) / pw(b"", bits[:j])
+                    one = stop * (root[1] + 0.5) / (sum(root) + 1) + (1 - stop) / 2
+                want += np.log10(one if bits[j] == "1" else 1 - one)
+        assert abs(got[i] - want) < 2e-3 * abs(want) + 1e-3
 
 
 def test_language_model_odd(spark, odd):
