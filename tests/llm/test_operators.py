@@ -512,7 +512,7 @@ def test_language_model(spark, docs):
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in c for w in ws), n)
 
 
-@pytest.mark.parametrize("depth, model_bytes", [(2, ctw.MODEL_BYTES), (4, ctw.MODEL_BYTES), (5, 250)])
+@pytest.mark.parametrize("depth, model_bytes", [(2, ctw.MODEL_BYTES), (4, ctw.MODEL_BYTES), (5, 80)])
 def test_tree_weighting_against_definition(spark, depth, model_bytes):
     """Scores equal those of the recursive definition, for trees of several levels and for a table in several slices."""
     import functools
