@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.operators.quantiles import place, ranges_of
 from cardlake.operators.stats import chi_square_p, ks_p, normal_p, t_p
 
 EPSILON = 1e-8
@@ -46,12 +47,13 @@ def jensen_shannon(df: DataFrame, key: str) -> DataFrame:
     return shares(df, key, 0.0).agg(F.sqrt(F.lit(0.5) * F.sum(term("r") + term("c"))).alias("distance"))
 
 
-def kolmogorov_smirnov(df: DataFrame, column: str, ranges: int = 256) -> DataFrame:
+def kolmogorov_smirnov(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
     """The largest distance of the two sides' cumulative shares. Values are summed within ranges between quantiles, so no task sorts them all."""
+    ranges = ranges or ranges_of(df)
     r, c = _sides()
     by = df.groupBy(column).agg(r.alias("r"), c.alias("c"))
     splits = by.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000).alias("splits"))
-    binned = by.crossJoin(F.broadcast(splits)).withColumn("_b", F.size(F.filter("splits", lambda s: s <= F.col(column)))).drop("splits")  # one row
+    binned = by.crossJoin(F.broadcast(splits)).withColumn("_b", place(F.col("splits"), F.col(column), ranges)).drop("splits")  # one row
     sums = binned.groupBy("_b").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     before, every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
     start = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0))

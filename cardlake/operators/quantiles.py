@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
+def ranges_of(df: DataFrame) -> int:
+    """Into how many ranges values are dealt: as many as a shuffle has partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def place(splits: Column, value: Column, ranges: int) -> Column:
+    """How many of the sorted splits (fewer than ranges) are at or below value, by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(ranges.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) <= value, at + step).otherwise(at))
 
 
 def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -16,14 +24,15 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], ranges: int = RANGES) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], ranges: int | None = None) -> DataFrame:
     """keys and a column for each wanted quantile (linear interpolation between order statistics), one row for each key; nulls are left out.
 
     Rows are reduced to counts by value; values are dealt over ranges between approximate quantiles of the distinct values, and only the ranges' sums are ordered as a whole.
     """
+    ranges = ranges or ranges_of(df)
     by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     splits = by.agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_s"))
-    dealt = by.crossJoin(F.broadcast(splits)).withColumn("_b", F.size(F.filter("_s", lambda s: s <= F.col("_v")))).drop("_s")  # one row
+    dealt = by.crossJoin(F.broadcast(splits)).withColumn("_b", place(F.col("_s"), F.col("_v"), ranges)).drop("_s")  # one row
     sums = dealt.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     all_of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_m").over(all_of.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -36,9 +45,9 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
         return F.max(F.when((position >= end - F.col("_n")) & (position < end), F.col("_v")))
 
     def made(p: float) -> Column:
-        place = F.round((F.col("_all") - 1) * F.lit(p), 9)
-        low, share = at(F.floor(place)), F.max(place - F.floor(place))
-        return low + (F.coalesce(at(F.floor(place) + 1), low) - low) * share
+        position = F.round((F.col("_all") - 1) * F.lit(p), 9)
+        low, share = at(F.floor(position)), F.max(position - F.floor(position))
+        return low + (F.coalesce(at(F.floor(position) + 1), low) - low) * share
 
     return joined.groupBy(*keys).agg(*[made(p).alias(name) for name, p in wanted.items()])
 
