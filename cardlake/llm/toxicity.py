@@ -1,13 +1,15 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
 
 Kernel: two strings (with a sign before and after) are alike as far as they share subsequences of three signs, each weighted by DECAY to the length it spans, normalised to 1. So gaps and
 inserted characters lower the similarity of an insult to itself only a little. A token's form is its lower-cased letters, so signs put between
-them vanish; runs of single letters count as one token as well.
-
-A sentence is as toxic as its worst token, and a text as its worst sentence. Tokens of labelled texts are counted by label over all
-learned rows, whatever their length (of over LONGEST letters by overlapping parts, as in scoring); those that occur far more in toxic texts are the witnesses. A bounded number of tokens (WITNESSES, CLEAN_TOKENS; the most telling, and the most
-frequent and a hashed choice of the others) trains the machine on their kernel values with LANDMARKS landmarks, with gapped and
-inserted-character forms of the witnesses added; then the clean tokens that it finds worst, among all learned ones, join the training set, HARD_ROUNDS times. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
+them vanish; runs of single letters count as one token as well. Long forms are compared by overlapping parts of LONGEST letters.
+
+A sentence is the set of its tokens. It is as toxic as its worst token, and a text as its worst sentence. Landmarks are tokens: half of them those that occur far more in toxic texts,
+half the most frequent ones of clean texts, counted over all learned rows; they span the space that the machine works in, and a machine that tells the two halves apart is the start.
+Then the machine is trained on the sentences of a hashed sample of learned rows (TOXIC_ROWS and CLEAN_ROWS of them in expectation), labelled as their text. As only some sentence of a toxic text need be
+toxic, ROUNDS times the machine names each toxic text's worst sentence and its worst token, and each clean sentence's worst token, and a squared-hinge machine is trained on those (of toxic texts also in forms
+with a letter inserted or doubled), clean ones of all rounds together. Worst tokens are found in the tasks that read the sample; the driver gets
+the WORST worst ones of either label with their counts. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
 so a token costs its subsequences once, not once per landmark. A logistic curve over a hashed share of the learned texts, CALIBRATION in expectation, turns the worst tokens' margins into a score.
 
 Defined cases: a null or empty text, or one without letters, gets the score of a text whose tokens are all harmless. A null doc_id counts as an empty id. Without both labels
@@ -21,9 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nlargest
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -31,11 +35,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from cardlake.llm.common import BLANKS, crc_of_id, cut, text_slices
 
 DECAY, ORDER = 0.6, 3
-WITNESSES, CLEAN_TOKENS, LANDMARKS, CALIBRATION = 400, 4000, 400, 20_000
-HARD_TOKENS, HARD_ROUNDS = 1500, 3
+LANDMARKS, CALIBRATION = 400, 20_000
+TOXIC_ROWS, CLEAN_ROWS, WORST, ROUNDS, RIDGE = 2000, 2000, 3000, 4, 1e-4
 LONGEST, SIGNS = 14, 64
 _SPACED = re.compile(r"(?<!\S)\w(?:[^\w\s]*\s+[^\w\s]*\w){2,}(?!\w)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|\n|[。！？]")
 
 
 def form(token: str) -> str:
@@ -138,38 +143,75 @@ def spoiled(word: str, seed: int) -> list[str]:
     return [word[:i] + chr(97 + int(r.integers(0, 26))) + word[i:], word[:j] + word[j] + word[j:]]
 
 
-def train_machine(good: list[str], bad: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """Weights per subsequence and bias, from a squared-hinge machine in the landmarks' space. bad: witnesses with the number of toxic texts that hold them, their weight."""
-    times = dict(bad)
-    bad = list(times)
-    marks = bad[: LANDMARKS // 2] + good[: LANDMARKS // 2]
-    more = [(s, times[w] / 4) for k, w in enumerate(bad) if len(w) > 3 for s in spoiled(w, k)]
-    words = bad + [s for s, _ in more] + good
-    y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
-    share = np.array([*times.values(), *[n for _, n in more], *[1] * len(good)], float)
-    for side in (y > 0, y < 0):
-        share[side] *= 0.5 / share[side].sum()
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    kept = values > 1e-6 * values.max()
-    whiten = vectors[:, kept] / np.sqrt(values[kept])
-    x = np.hstack([kernel(words, marks) @ whiten, np.ones((len(words), 1))])
-    ridge = np.full(x.shape[1], 1e-6)
-    ridge[-1] = 0
+def sentences(text: str | None) -> list[str]:
+    return [x for x in _SENTENCE_END.split(text or "") if x.strip()]
+
+
+def token_parts(text: str) -> list[str]:
+    """The parts of the distinct forms of a text or sentence, sorted."""
+    return sorted({p for t in tokens(text) if (f := form(t)) for p in parts(f)})
+
+
+class Basis:
+    """The landmarks' space: features of words whose inner products are the kernel's projections on it."""
+
+    def __init__(self, marks: list[str]) -> None:
+        values, vectors = np.linalg.eigh(kernel(marks, marks))
+        kept = values > 1e-4 * values.max()
+        whiten = vectors[:, kept] / np.sqrt(values[kept])
+        found = [(i, codes[k], w[k]) for at, some in by_length(marks) for codes, w in [subsequences(some)] for k, i in enumerate(at)]
+        self.codes = np.unique(np.concatenate([c for _, c, _ in found]))
+        self.index = np.full(SIGNS**ORDER, len(self.codes), np.int32)
+        self.index[self.codes] = np.arange(len(self.codes))
+        sides = np.zeros((len(self.codes) + 1, len(marks)))
+        for i, c, w in found:
+            np.add.at(sides[:, i], self.index[c], w)
+        self.rows = (sides @ whiten).astype(np.float32)
+        self.known: dict[str, np.ndarray] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        new = sorted({w for w in words if w not in self.known})
+        n = len(self.rows)
+        for _, some in by_length(new):
+            for low in range(0, len(some), 500):
+                codes, w = subsequences(some[low : low + 500])
+                k = len(codes)
+                dense = np.bincount((np.arange(k)[:, None] * n + self.index[codes]).ravel(), w.ravel(), minlength=k * n).reshape(k, n)
+                self.known.update(zip(some[low : low + 500], dense.astype(np.float32) @ self.rows, strict=True))
+        return np.array([self.known[w] for w in words], float).reshape(len(words), self.rows.shape[1])
+
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """One weight per subsequence of a linear function of the features."""
+        out = np.zeros(SIGNS**ORDER)
+        out[self.codes] = self.rows[:-1] @ w
+        return out
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The machine's weights, the last for x's column of ones, by Newton steps on the rows inside the margin."""
+    ridge = np.full(x.shape[1], RIDGE)
+    ridge[-1] = 1e-9
     w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton steps on the rows inside the margin
+    for _ in range(30):
         inside = y * (x @ w) < 1
         a = x[inside] * share[inside, None]
-        new = np.linalg.solve(a.T @ x[inside] + np.diag(ridge + 1e-9), a.T @ y[inside])
+        new = np.linalg.solve(a.T @ x[inside] + np.diag(ridge), a.T @ y[inside])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    weights = np.zeros(SIGNS**ORDER)
-    for at, some in by_length(marks):
-        codes, scale = subsequences(some)
-        beta = whiten @ w[:-1]
-        for k, i in enumerate(at):
-            np.add.at(weights, codes[k], beta[i] * scale[k])
-    return weights, float(w[-1])
+    return w
+
+
+def train_on_worst(basis: Basis, bad: dict[str, int], good: dict[str, int]) -> tuple[np.ndarray, float]:
+    """Weights per subsequence and bias, from the worst tokens of toxic texts and of clean sentences with the number of those."""
+    more = [(s, n / 4) for w, n in bad.items() if len(w) > 3 for s in spoiled(w, crc32(w.encode()))]
+    words = [*bad, *[s for s, _ in more], *good]
+    y = np.array([1.0] * (len(bad) + len(more)) + [-1.0] * len(good))
+    share = np.array([*bad.values(), *[n for _, n in more], *good.values()], float)
+    for side in (y > 0, y < 0):
+        share[side] *= 0.5 / share[side].sum()
+    w = squared_hinge(np.hstack([basis(words), np.ones((len(words), 1))]), y, share)
+    return basis.weights(w[:-1]), float(w[-1])
 
 
 @dataclass
@@ -232,12 +274,34 @@ def _raw(docs: DataFrame, model: Model, others: list[str]) -> DataFrame:
     return own.mapInArrow(run, StructType(fields))
 
 
-def _worst(words: DataFrame, model: Model) -> DataFrame:
+def _sentences(sample: DataFrame) -> DataFrame:
+    """The parts of each toxic text, whose sentences compete, and of each clean sentence; those without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 1 << 20):
+            found = [(y, x) for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in map(token_parts, [text] if y else sentences(text)) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.string()))], ["toxic", "parts"])
+
+    return sample.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic long, parts array<string>")
+
+
+def _worst_tokens(bags: DataFrame, weights: np.ndarray, bias: float) -> tuple[dict[str, int], dict[str, int]]:
+    """The worst token of each toxic text and of each clean sentence (the first of equal ones), with the number of those; of either label the WORST with the largest margins."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(margins(b.column(0).to_pylist(), model.weights, model.bias))], ["w", "margin"])
+        for b in text_slices(batches):
+            words = b.column(1).flatten().dictionary_encode()
+            margin = margins(words.dictionary.to_pylist(), weights, bias)[words.indices.to_numpy()]
+            lengths = pc.list_value_length(b.column(1)).to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            best = np.maximum.reduceat(margin, starts)
+            first = np.minimum.reduceat(np.where(margin == np.repeat(best, lengths), np.arange(len(margin)), len(margin)), starts)
+            yield pa.RecordBatch.from_arrays([b.column(0), words.take(pa.array(first)).dictionary_decode(), pa.array(best)], ["toxic", "w", "margin"])
 
-    return words.mapInArrow(run, "w string, margin double")
+    found = bags.mapInArrow(run, "toxic long, w string, margin double")
+    by = cut(found.groupBy("toxic", "w").agg(F.count("*").alias("n"), F.max("margin").alias("margin")), "worst-tokens")
+    most = lambda y: {r["w"]: r["n"] for r in by.filter(F.col("toxic") == y).orderBy(F.desc("margin"), "w").limit(WORST).collect()}
+    return most(1), most(0)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -246,30 +310,35 @@ def learn(docs: DataFrame) -> Model:
     spaced = F.array_distinct(F.split(F.lower("text"), BLANKS))
     letters = F.array_remove(F.transform(spaced, lambda w: F.regexp_replace(w, r"[^\p{L}]+", "")), "")
     forms = rows.select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(letters, column_parts)))).alias("w"))
-    counts = forms.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    counts = cut(forms.groupBy("w").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "token-counts")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Model()
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
-    told = cut(counts.withColumn("odds", odds), "token-counts")
-    witness = (F.col("bad") >= 3) & (F.col("odds") > 3)
-    bad = [(r["w"], r["bad"]) for r in told.filter(witness).orderBy(F.desc("odds"), F.desc("bad"), "w").limit(WITNESSES).collect()]
-    clean = told.filter((F.col("odds") < 0) & (F.col("good") > 0))
-    good = [r["w"] for r in clean.orderBy(F.desc("good"), "w").limit(CLEAN_TOKENS // 2).collect()]
-    good += [r["w"] for r in clean.orderBy(F.xxhash64("w"), "w").limit(CLEAN_TOKENS // 2).collect()]
-    good = list(dict.fromkeys(good))
-    if not bad or not good:
+    half = LANDMARKS // 2
+    telling = {r["w"]: r["bad"] for r in counts.filter("bad > 0").filter(odds > 0).orderBy(F.desc(odds), F.desc("bad"), "w").limit(half).collect()}
+    usual = {r["w"]: r["good"] for r in counts.filter("good > 0").filter(odds <= 0).orderBy(F.desc("good"), "w").limit(half).collect()}
+    if not telling or not usual:
         return Model()
-    model = Model(*train_machine(good, bad))
-    for _ in range(HARD_ROUNDS):
-        hard = [r["w"] for r in _worst(clean.select("w"), model).orderBy(F.desc("margin"), "w").limit(HARD_TOKENS).collect()]
-        good = list(dict.fromkeys(hard + good))
-        model = Model(*train_machine(good, bad))
-    share = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, CALIBRATION / sum(n.values())))
-    sample = rows.filter(share)
-    seen = _raw(sample, model, ["toxic"]).toPandas()
+    basis = Basis([*telling, *usual])
+    weights, bias = train_on_worst(basis, telling, usual)
+    place = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40))
+    limit = lambda most, of: int((1 << 40) * min(1.0, most / of))
+    sample = rows.filter(place < F.when(F.col("toxic") == 1, limit(TOXIC_ROWS, n[1])).otherwise(limit(CLEAN_ROWS, n[0])))
+    bags = cut(_sentences(sample), "sentences")
+    clean: dict[str, int] = {}
+    for _ in range(ROUNDS):
+        bad, good = _worst_tokens(bags, weights, bias)
+        for token, k in good.items():
+            clean[token] = clean.get(token, 0) + k
+        if not bad or not clean:
+            break
+        weights, bias = train_on_worst(basis, bad, clean)
+    chosen = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 40)) < limit(CALIBRATION, sum(n.values()))
+    model = Model(weights, bias)
+    seen = _raw(rows.filter(chosen), model, ["toxic"]).toPandas()
     x = seen[["_first", "_second", "_third"]].to_numpy()
-    return Model(model.weights, model.bias, curve(x, seen["toxic"].to_numpy(float)))
+    return Model(weights, bias, curve(x, seen["toxic"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
