@@ -55,9 +55,11 @@ def tokens(text: str | None) -> set[str]:
     return out
 
 
-def coded(word: str) -> np.ndarray:
-    """Signs 0 to SIGNS - 1: start 0, end 1, a-z from 2, other letters by code point."""
-    return np.array([0, *[ord(c) - 95 if "a" <= c <= "z" else 28 + ord(c) % (SIGNS - 28) for c in word], 1])
+def coded(words: list[str]) -> np.ndarray:
+    """For words of one length, a row each of signs 0 to SIGNS - 1: start 0, end 1, a-z from 2, other letters by code point."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.int64)
+    signs = np.where((points >= 97) & (points <= 122), points - 95, 28 + points % (SIGNS - 28))
+    return np.pad(signs, ((0, 0), (1, 1)), constant_values=((0, 0), (0, 1)))
 
 
 _PLACES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -88,7 +90,7 @@ def column_parts(w: Column) -> Column:
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length: codes of their subsequences and the weights, each word's scaled to norm 1."""
-    signs = np.stack([coded(w) for w in words])
+    signs = coded(words)
     at, weight = places(signs.shape[1])
     codes = (signs[:, at[:, 0]] * SIGNS + signs[:, at[:, 1]]) * SIGNS + signs[:, at[:, 2]]
     order = np.argsort(codes, axis=1)
@@ -111,12 +113,31 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
             yield at[i : i + 4000], [words[k] for k in at[i : i + 4000]]
 
 
+def norms(signs: np.ndarray) -> np.ndarray:
+    """The norm of the decayed counts of subsequences of each row of signs: its kernel with itself, by sums over pairs of equal signs instead of over subsequences."""
+    n, m = signs.shape
+    alike = (signs[:, :, None] == signs[:, None, :]) * DECAY**2
+    ends = alike  # by pairs of places, the weights of subsequences of one sign that end there
+    for _ in range(ORDER - 1):
+        before = np.zeros((n, m + 1, m + 1))
+        for i in range(m):  # sums of all that ended before either place, decayed by the distance
+            before[:, i + 1, 1:] = DECAY * before[:, i, 1:] + ends[:, i]
+        for j in range(m):
+            before[:, :, j + 1] += DECAY * before[:, :, j]
+        ends = alike * before[:, :m, :m]
+    return np.sqrt(ends.sum(axis=(1, 2)))
+
+
 def margins(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """The machine's margin of each word (1 letter at least)."""
     out = np.zeros(len(words))
     for at, some in by_length(words):
-        codes, w = subsequences(some)
-        out[at] = (weights[codes] * w).sum(axis=1) + bias
+        for low in range(0, len(some), 1000):
+            signs = coded(some[low : low + 1000])
+            where, weight = places(signs.shape[1])
+            pairs = signs[:, :, None] * SIGNS + signs[:, None, :]
+            codes = pairs[:, where[:, 0], where[:, 1]] * SIGNS + signs[:, where[:, 2]]
+            out[at[low : low + 1000]] = weights[codes] @ weight / norms(signs) + bias
     return out
 
 
@@ -235,9 +256,11 @@ class Scorer:
             known.clear()
             new = sorted({t for s in sets for t in s})
         pieces = [(k, p) for k, t in enumerate(new) if (f := form(t)) for p in parts(f)]
+        distinct = sorted({p for _, p in pieces})
         worst = np.full(len(new), -2.0)
         if pieces:
-            np.maximum.at(worst, np.array([k for k, _ in pieces]), margins([p for _, p in pieces], self.model.weights, self.model.bias))
+            margin = dict(zip(distinct, margins(distinct, self.model.weights, self.model.bias).tolist(), strict=True))
+            np.maximum.at(worst, np.array([k for k, _ in pieces]), [margin[p] for _, p in pieces])
         known.update(zip(new, np.clip(worst, -2, 2).tolist(), strict=True))
         out = np.zeros((len(texts), 3))
         for i, s in enumerate(sets):

@@ -470,8 +470,8 @@ def test_kernel_against_definition():
     """The kernel of two words is the cosine of their decayed counts of subsequences, and a basis of all words gives it back."""
     words = ["idiot", "idxiot", "a", "zz", "moron", "日本語日"]
 
-    def phi(word):
-        signs, out = toxicity.coded(word).tolist(), collections.Counter()
+    def counts(word):
+        signs, out = toxicity.coded([word])[0].tolist(), collections.Counter()
 
         def walk(at, chosen):
             if len(chosen) == 3:
@@ -481,11 +481,15 @@ def test_kernel_against_definition():
                 walk(i + 1, [*chosen, i])
 
         walk(0, [])
-        size = sum(v * v for v in out.values()) ** 0.5
-        return {k: v / size for k, v in out.items()}
+        return out
+
+    def phi(word):
+        size = sum(v * v for v in counts(word).values()) ** 0.5
+        return {k: v / size for k, v in counts(word).items()}
 
     want = [[sum(v * phi(b).get(k, 0) for k, v in phi(a).items()) for b in words] for a in words]
     assert np.allclose(toxicity.kernel(words, words), want, atol=1e-6)
+    assert all(np.allclose(toxicity.norms(toxicity.coded([w])) ** 2, sum(v * v for v in counts(w).values())) for w in words)
     x = toxicity.Basis(words)(words)
     assert np.allclose(x @ x.T, want, atol=1e-4)
 
