@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import ctw, decontam, langid, neardup, packing, pseudonyms, quality, sharding, toxicity, warc
+from cardlake.llm import collocations, ctw, decontam, langid, neardup, packing, pseudonyms, quality, repair, sharding, toxicity, warc
 from cardlake.llm.common import cut, scratch, table
 
 #: Labels (two numbers a row) go to the texts up to this many rows; beyond, both are shuffled.
@@ -70,10 +70,19 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.with_all(repair.digest(repair.repair(repair.damage(rows))), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op4_hyperdimensional_language, op5_feistel_pseudonyms,
-              op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash)
+              op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash, op12_phrase_collocations, op13_conversation_repair)
 }
 
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -110,4 +119,45 @@ links AS (SELECT a, b FROM shared JOIN t AS ta ON ta.doc_id = a JOIN t AS tb ON
 two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, two.b FROM reach JOIN two ON reach.b = two.a)
 SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a""",
+    "op12_phrase_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+halves AS (SELECT c.*, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM c, (SELECT unnest([1, 2]) AS j) WHERE j < k),
+cuts AS (SELECT h.*, l.f AS l, x.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * x.f))::BIGINT AS score FROM halves AS h JOIN g AS l ON l.lang = h.lang AND l.phrase = lp JOIN g AS x ON x.lang = h.lang AND x.phrase = rp),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longest USING (lang, phrase) WHERE low.k = 3 OR coalesce(100 * longer < 50 * low.a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 20 AS kind FROM src),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE kind <> 0),
+ord AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, role[1] AS o, CASE WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS x FROM ord),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (i > 1 AND before[1] || o NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+v AS (SELECT conv_id, n + 1 AS i, {c: 0, a: '', t: []::VARCHAR[]} AS v0, {c: 6, a: 'II', t: ['user:', 'assistant:']} AS v1, {c: 3, a: 'I', t: ['assistant:']} AS v2, {c: 0, a: '', t: []::VARCHAR[]} AS v3 FROM told
+UNION ALL SELECT conv_id, i, list_min([b0, {c: b2.c + 3, a: 'I' || b2.a, t: list_prepend('user:', b2.t)}, {c: b3.c + 6, a: 'II' || b3.a, t: ['user:', 'assistant:'] || b3.t}]),
+  list_min([b1, {c: b2.c + 3, a: 'I' || b2.a, t: list_prepend('user:', b2.t)}, {c: b3.c + 6, a: 'II' || b3.a, t: ['user:', 'assistant:'] || b3.t}]),
+  list_min([b2, {c: b3.c + 3, a: 'I' || b3.a, t: list_prepend('assistant:', b3.t)}]), list_min([b3, {c: b2.c + 3, a: 'I' || b2.a, t: list_prepend('user:', b2.t)}])
+  FROM (SELECT conv_id, i,
+    list_min([d0, CASE WHEN ok AND o = 's' THEN {c: v1.c + x, a: 'K' || v1.a, t: list_prepend(y, v1.t)} WHEN ok AND o = 'u' THEN ku END, ru]) AS b0,
+    list_min([d1, CASE WHEN ok AND o = 'u' THEN ku END, ru]) AS b1,
+    list_min([d2, CASE WHEN ok AND o = 'a' THEN {c: v3.c + x, a: 'K' || v3.a, t: list_prepend(y, v3.t)} END, CASE WHEN ok THEN {c: v3.c + x + 3, a: 'R' || v3.a, t: list_prepend('assistant:' || text, v3.t)} END]) AS b2,
+    list_min([d3, CASE WHEN ok AND o = 'u' THEN ku END, ru]) AS b3
+    FROM (SELECT v.conv_id, f.i, v0, v1, v2, v3, f.o, f.x, f.text, f.role || ':' || f.text AS y, f.fault IN (0, 3) AS ok, {c: v0.c + 4, a: 'D' || v0.a, t: v0.t} AS d0, {c: v1.c + 4, a: 'D' || v1.a, t: v1.t} AS d1, {c: v2.c + 4, a: 'D' || v2.a, t: v2.t} AS d2, {c: v3.c + 4, a: 'D' || v3.a, t: v3.t} AS d3,
+          {c: v2.c + f.x, a: 'K' || v2.a, t: list_prepend(f.role || ':' || f.text, v2.t)} AS ku, CASE WHEN f.fault IN (0, 3) THEN {c: v2.c + f.x + 3, a: 'R' || v2.a, t: list_prepend('user:' || f.text, v2.t)} END AS ru
+          FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i - 1) AS e) AS s)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1""",
 }
