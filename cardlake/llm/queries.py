@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import collocations, ctw, decontam, langid, neardup, packing, pseudonyms, quality, repair, sharding, toxicity, warc
+from cardlake.llm import collocations, ctw, decontam, langid, neardup, packing, pseudonyms, quality, repair, repeats, sharding, toxicity, warc
 from cardlake.llm.common import cut, scratch, table
 
 #: Labels (two numbers a row) go to the texts up to this many rows; beyond, both are shuffled.
@@ -70,6 +70,10 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *repeats.RESULTS)
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -82,7 +86,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontamination, op2_histogram_sharding, op3_quality_rules, op4_hyperdimensional_language, op5_feistel_pseudonyms,
-              op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash, op12_phrase_collocations, op13_conversation_repair)
+              op6_subsequence_kernel_toxicity, op7_context_tree_weighting, op8_cost_packing, op9_warc_dictionary, op10_bagminhash, op11_suffix_array_dedup, op12_phrase_collocations, op13_conversation_repair)
 }
 
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -119,6 +123,19 @@ links AS (SELECT a, b FROM shared JOIN t AS ta ON ta.doc_id = a JOIN t AS tb ON
 two AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, two.b FROM reach JOIN two ON reach.b = two.a)
 SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a""",
+    "op11_suffix_array_dedup": """
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT id, unnest(range(0, len(h) // 2 - 399)) AS i FROM d),
+s AS (SELECT id, i, md5(substring(h, 2 * i + 1, 800)) AS s FROM p JOIN d USING (id)),
+twice AS (SELECT s FROM s GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM s JOIN twice USING (s)),
+runs AS (SELECT id, min(i) AS a, max(i) + 400 AS b FROM hit GROUP BY id, run),
+fresh AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY id ORDER BY a) THEN 0 ELSE 1 END AS new FROM runs),
+spans AS (SELECT id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY a) AS g FROM fresh) GROUP BY id, g),
+kept AS (SELECT d.id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substring(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS rest
+         FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY id ORDER BY a), 0) AS prev FROM spans) AS s JOIN d USING (id) GROUP BY d.id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (id)""",
     "op12_phrase_collocations": r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
