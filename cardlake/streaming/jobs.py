@@ -1,21 +1,24 @@
-"""Streaming jobs: messages of several topics to tables, alert state by user, enrichment, progress metrics and alarms.
+"""Streaming jobs: messages of several topics to tables, accounts, enrichment, scoring, progress metrics and alarms.
 
-Every write goes by batch: a batch's rows stand in a folder named by its number, which a repeated batch replaces, so a run that failed after writing leaves nothing
-twice. Readers take what committed_batches says.
+Every write goes by batch to a table of sources.versions: a batch's rows become visible by one commit record, a batch that failed before it leaves nothing that readers see, and one that is
+repeated after it writes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from cardlake.streaming.live import LATE
+from cardlake.operators import models
+from cardlake.operators.features import as_of
+from cardlake.sources.records import stored
+from cardlake.sources.versions import Table
 
 MESSAGE = "topic string, key string, value string"
 Write = Callable[[DataFrame, int], None]
@@ -33,25 +36,19 @@ def broker_messages(spark: SparkSession, servers: str, topics: list[str], per_tr
     return spark.readStream.format("kafka").options(**options).load().selectExpr("topic", "cast(key as string) key", "cast(value as string) value")
 
 
-def batch_folder(path: str, batch: int) -> str:
-    return f"{path}/batch={batch}"
+def write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Commits a batch's rows, once."""
+    Table(rows.sparkSession, path, rows.schema).append(rows, batch)
 
 
-def write_batch(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(batch_folder(path, batch))
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that readers of the table see."""
+    return sorted(map(int, Table(spark, path, StructType()).committed_batches()))
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """All batches of a table; none gives an empty table."""
-    from pyspark.errors import AnalysisException
-
-    kept = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    try:
-        return spark.read.schema(kept).parquet(path).select(*kept.names)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], kept)
+    """The rows of all committed batches of a table; none gives an empty table."""
+    return Table(spark, path, schema).read()
 
 
 def routed(routes: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> Write:
@@ -100,15 +97,37 @@ def upserted(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 ACCOUNTS = "user_id long, total_alerts long, high_alerts long, status string"
+#: Batches of changes between whole snapshots of the accounts.
+FOLD_EVERY = 10
+
 
+def folded(changes: DataFrame) -> DataFrame:
+    """The accounts after all changes (ACCOUNTS and batch): counters add up, and of statuses other than ACTIVE the first stays."""
+    held = F.min_by("status", F.when(F.col("status") != "ACTIVE", F.col("batch")))
+    return changes.groupBy("user_id").agg(F.sum("total_alerts").alias("total_alerts"), F.sum("high_alerts").alias("high_alerts"), F.coalesce(held, F.lit("ACTIVE")).alias("status"))
 
-def account_snapshots(path: str) -> Write:
-    """Each batch of alerts makes the next snapshot of the accounts from the one before; snapshots are named by batch, so a repeated one is the same."""
+
+def accounts(spark: SparkSession, path: str) -> DataFrame:
+    """The accounts after the last committed batch: the last snapshot and the changes since."""
+    return folded(Table(spark, path, ACCOUNTS + ", batch long").read())
+
+
+def account_snapshots(path: str, every: int = FOLD_EVERY) -> Write:
+    """Each batch of alerts adds its users' changes to the accounts; every so many batches what there is becomes one snapshot. A batch that does not follow the last committed one is an error."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = read_batches(spark, batch_folder(path, number - 1), ACCOUNTS) if number else spark.createDataFrame([], ACCOUNTS)
-        write_batch(upserted(before, account_changes(batch)), path, number)
+        table = Table(spark, path, ACCOUNTS + ", batch long")
+        done = [int(b) for b in table.committed_batches()]
+        if number in done:
+            return
+        if number != (max(done) + 1 if done else 0):
+            raise ValueError(f"batch {number} follows {max(done) if done else 'none'} in {path}: the accounts between are lost")
+        changes = account_changes(batch).withColumn("batch", F.lit(number).cast("long"))
+        if (number + 1) % every:
+            table.append(changes, number)
+        else:
+            table.replace(folded(table.read().unionByName(changes)).withColumn("batch", F.lit(number).cast("long")), number)
 
     return write
 
@@ -133,29 +152,31 @@ def enriched(stream: DataFrame, status: DataFrame) -> DataFrame:
     return stream.join(status, "user_id", "left").withColumn("status", F.coalesce("status", F.lit("UNKNOWN")))
 
 
-def alert_state(alerts: DataFrame, idle: str = "90 days") -> DataFrame:
-    """The number of the user's alerts so far and the user's risk before and after each; high stays. alerts: transaction_id, user_id, ts, severity."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+DEPLOYMENTS = "version string, since timestamp, path string"
+SCORES = "transaction_id long, version string, is_model boolean, score double"
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, high = state.get if state.exists else (0, False)
-        rows = pd.concat(list(batches)).sort_values(["ts", "transaction_id"])
-        nth = pd.Series(range(n + 1, n + 1 + len(rows)), index=rows.index)
-        trigger = (rows["severity"] == "CRITICAL") | ((rows["severity"] == "HIGH") & (nth >= 3)) | (nth >= 10)
-        after = trigger.cummax() | high
-        before = after.shift(fill_value=high)
-        named = lambda x: x.map({True: "high", False: "medium"})
-        state.update((n + len(rows), bool(after.iloc[-1])))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame({"transaction_id": rows["transaction_id"], "nth": nth, "risk_before": named(before), "risk_after": named(after)})
-
-    by = alerts.select("transaction_id", "user_id", "ts", "severity").withWatermark("ts", LATE).groupBy("user_id")
-    return by.applyInPandasWithState(
-        update, "transaction_id long, nth long, risk_before string, risk_after string", "n long, high boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+
+def scored_by_version(log: Table, path: str, fallback: Column) -> Write:
+    """Scores each batch by the model version deployed at each row's time, as the log of deployments stands when the batch begins; so a deployment between two batches counts from the next one on.
+
+    A version whose log entry has no path, and rows before the first deployment, get the fallback. A batch scores each version's rows by themselves: versions are those of the log, few.
+    """
+    loaded: dict[str, PipelineModel] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = log.read()
+        rows = stored(as_of(batch, now.withColumn("active", F.struct("version", "path")), "since", "active"), "to-score")
+        parts = []
+        for version, at in [(r[0], r[1]) for r in rows.select("active.version", "active.path").distinct().collect()]:
+            if at is not None and at not in loaded:
+                loaded[at] = PipelineModel.load(at)
+            own = rows.filter(F.col("active.version").eqNullSafe(F.lit(version)) & F.col("active.path").eqNullSafe(F.lit(at)))
+            made = models.score(own, loaded.get(at), fallback)
+            parts.append(made.select("transaction_id", F.lit(version).cast("string").alias("version"), F.lit(at is not None).alias("is_model"), "score"))
+        if parts:
+            write_batch(reduce(DataFrame.unionByName, parts), path, number)
+
+    return write
 
 
 def measured(write: Write, path: str, errors: str = "size(errors) > 0") -> Write:
