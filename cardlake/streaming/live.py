@@ -1,13 +1,9 @@
-"""Streams of transactions: windows, repeats, enrichment, delayed labels and each user's running profile."""
+"""Streams of transactions: windows, repeats, enrichment, delayed labels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 LATE = "1 hour"
@@ -42,31 +38,6 @@ def with_labels(scored: DataFrame, labels: DataFrame, hours: int = 72) -> DataFr
     return a.join(b, near)
 
 
-def profiles(txn: DataFrame, idle: str = "30 days") -> DataFrame:
-    """What a user's transactions amounted to before each one, in order of time within a trigger; a user's state ends after idle event time without any.
-
-    txn: transaction_id, user_id, ts, amount. Rows later than the watermark are dropped by the engine.
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "transaction_id"])
-        upto = rows["amount"].fillna(0).cumsum() + total
-        made = {"transaction_id": rows["transaction_id"], "total_transactions": range(n, n + len(rows)), "total_amount": upto.shift(fill_value=total)}
-        state.update((n + len(rows), float(upto.iloc[-1])))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(made)
-
-    by = txn.select("transaction_id", "user_id", "ts", "amount").withWatermark("ts", LATE).groupBy("user_id")
-    return by.applyInPandasWithState(
-        update, "transaction_id long, total_transactions long, total_amount double", "n long, total double", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends what has come to a Parquet table; a run that is repeated after a failure writes nothing twice."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
