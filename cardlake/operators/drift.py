@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardlake.operators.quantiles import place, ranges_of
+from cardlake.operators.quantiles import FEW, cumulated
 from cardlake.operators.stats import chi_square_p, ks_p, normal_p, t_p
+from cardlake.sources.records import stored
 
 EPSILON = 1e-8
 
@@ -47,20 +48,11 @@ def jensen_shannon(df: DataFrame, key: str) -> DataFrame:
     return shares(df, key, 0.0).agg(F.sqrt(F.lit(0.5) * F.sum(term("r") + term("c"))).alias("distance"))
 
 
-def kolmogorov_smirnov(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """The largest distance of the two sides' cumulative shares. Values are summed within ranges between quantiles, so no task sorts them all."""
-    ranges = ranges or ranges_of(df)
+def kolmogorov_smirnov(df: DataFrame, column: str, few: int = FEW) -> DataFrame:
+    """The largest distance of the two sides' cumulative shares, from counts by value; no task sorts more than few of them."""
     r, c = _sides()
-    by = df.groupBy(column).agg(r.alias("r"), c.alias("c"))
-    splits = by.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000).alias("splits"))
-    binned = by.crossJoin(F.broadcast(splits)).withColumn("_b", place(F.col("splits"), F.col(column), ranges)).drop("splits")  # one row
-    sums = binned.groupBy("_b").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    before, every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    start = lambda n: F.coalesce(F.sum(n).over(before), F.lit(0))
-    starts = sums.select("_b", start("r").alias("r0"), start("c").alias("c0"), F.sum("r").over(every).alias("nr"), F.sum("c").over(every).alias("nc"))
-    upto = Window.partitionBy("_b").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    both = binned.join(F.broadcast(starts), "_b").withColumns({"f": F.col("r0") + F.sum("r").over(upto), "g": F.col("c0") + F.sum("c").over(upto)})  # ranges rows
-    return both.agg(F.max(F.abs(F.col("f") / F.col("nr") - F.col("g") / F.col("nc"))).alias("d"))
+    by = cumulated(stored(df.groupBy(column).agg(r.alias("r"), c.alias("c")), "counts"), [], column, ["r", "c"], few)
+    return by.agg(F.max(F.abs(F.col("upto_r") / F.col("all_r") - F.col("upto_c") / F.col("all_c"))).alias("d"))
 
 
 def two_proportions(df: DataFrame, flag: str) -> DataFrame:

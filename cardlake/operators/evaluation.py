@@ -6,24 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.operators.quantiles import FEW, cumulated
+from cardlake.operators.stats import ks_p, normal_cdf
+from cardlake.sources.records import stored
 
-def by_score(df: DataFrame, score: str, label: str, digits: int = 3) -> DataFrame:
-    """Rows and positives at each rounded score or above: at most 10 ** digits + 1 rows, whatever the input."""
-    by = df.groupBy(F.round(score, digits).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by.withColumns({"said": F.sum("n").over(down), "hit": F.sum("p").over(down), "all_n": F.sum("n").over(every), "all_p": F.sum("p").over(every)})
 
+def curve(df: DataFrame, keys: list[str], score: str, label: str, few: int = FEW) -> DataFrame:
+    """keys and, for each distinct score from the highest down: n rows and p positives of it, said rows and hit positives of it or higher, and all of either. Exact: scores are not rounded. Null scores are left out."""
+    by = df.filter(F.col(score).isNotNull()).groupBy(*keys, (-F.col(score).cast("double")).alias("_s")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
+    names = {"upto_n": "said", "upto_p": "hit"}
+    return cumulated(stored(by, "scores"), keys, "_s", ["n", "p"], few).withColumnsRenamed(names)
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    return by_score(df, score, label).agg(F.sum(F.col("p") / F.col("all_p") * F.col("hit") / F.col("said")).alias("ap"))
 
+def average_precision(df: DataFrame, score: str, label: str, few: int = FEW) -> DataFrame:
+    return curve(df, [], score, label, few).agg(F.sum(F.col("p") / F.col("all_p") * F.col("hit") / F.col("said")).alias("ap"))
 
-def recall_at_fpr(df: DataFrame, score: str, label: str, fpr: float = 0.01) -> DataFrame:
+
+def recall_at_fpr(df: DataFrame, score: str, label: str, fpr: float = 0.01, few: int = FEW) -> DataFrame:
     """The largest recall of a threshold whose false positive rate is at most fpr; 0 if none is."""
-    b = by_score(df, score, label)
     allowed = (F.col("said") - F.col("hit")) / (F.col("all_n") - F.col("all_p")) <= fpr
-    return b.agg(F.coalesce(F.max(F.when(allowed, F.col("hit") / F.col("all_p"))), F.lit(0.0)).alias("recall"))
+    return curve(df, [], score, label, few).agg(F.coalesce(F.max(F.when(allowed, F.col("hit") / F.col("all_p"))), F.lit(0.0)).alias("recall"))
 
 
 def calibration_error(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -84,11 +86,14 @@ def mutual_information_by(df: DataFrame, feature: str, value: str, label: str) -
     return cells.withColumns({"v": v, "y": y, "t": every}).groupBy(feature).agg(F.sum(term).alias("mi"))
 
 
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """The area under the curve of scores rounded to three digits, equal scores counted half; null without both labels."""
-    b = by_score(df, score, label)
+def auc(df: DataFrame, score: str, label: str, few: int = FEW) -> DataFrame:
+    """The exact area under the curve, equal scores counted half; null without both labels."""
+    return _area(curve(df, [], score, label, few), [])
+
+
+def _area(c: DataFrame, keys: list[str]) -> DataFrame:
     pairs = F.sum((F.col("n") - F.col("p")) * (F.col("hit") - F.col("p") / 2))
-    return b.agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))
+    return c.groupBy(*keys).agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))
 
 
 def cells(said: Column, true: Column) -> list[Column]:
@@ -103,11 +108,15 @@ def rates() -> dict[str, Column]:
     return {"precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "f1": part(2 * tp, 2 * tp + fp + fn), "accuracy": part(tp + tn, tp + tn + fp + fn), "fpr": part(fp, fp + tn), "fnr": part(fn, tp + fn)}
 
 
-def auc_by(df: DataFrame, keys: list[str], score: str, label: str, digits: int = 3) -> DataFrame:
-    """keys and auc, of scores rounded to digits, equal scores counted half; null without both labels."""
-    by = df.groupBy(*keys, F.round(score, digits).alias("s")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    all_of = Window.partitionBy(*keys)
-    hit = F.sum("p").over(all_of.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0))
-    b = by.withColumns({"hit": hit, "all_p": F.sum("p").over(all_of), "all_n": F.sum("n").over(all_of)})
-    pairs = F.sum((F.col("n") - F.col("p")) * (F.col("hit") - F.col("p") / 2))
-    return b.groupBy(*keys).agg(F.try_divide(pairs, F.max(F.col("all_p") * (F.col("all_n") - F.col("all_p")))).alias("auc"))
+def auc_by(df: DataFrame, keys: list[str], score: str, label: str, few: int = FEW) -> DataFrame:
+    """keys and the exact auc of each, equal scores counted half; null without both labels."""
+    return _area(curve(df, keys, score, label, few), keys)
+
+
+def normal_distance(df: DataFrame, value: Column, few: int = FEW) -> DataFrame:
+    """n, d and p of the one-sample Kolmogorov-Smirnov test of value against a standard normal law: the larger of both one-sided distances, from counts by value; p is the asymptotic tail."""
+    by = stored(df.select(value.cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("n")), "values")
+    c, law = cumulated(by, [], "_v", ["n"], few), normal_cdf(F.col("_v"))
+    above, below = F.col("upto_n") / F.col("all_n") - law, law - (F.col("upto_n") - F.col("n")) / F.col("all_n")
+    one = c.agg(F.max("all_n").alias("n"), F.max(F.greatest(above, below)).alias("d"))
+    return one.withColumn("p", ks_p(F.col("d"), 2.0 * F.col("n"), 2.0 * F.col("n")))  # two samples of 2n are as one of n

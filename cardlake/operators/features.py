@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from cardlake.operators.quantiles import even_parts, running_sum, same
+from cardlake.sources.records import stored
+
 TRAILING = {"1h": 3600, "6h": 6 * 3600, "24h": 86_400, "7d": 7 * 86_400}
 
 
@@ -87,3 +90,57 @@ def trailing(txn: DataFrame, name: str, seconds: int) -> DataFrame:
 def first_seen(*key: str) -> Column:
     """1 on the first row of a key in time, else 0; its running sum counts distinct keys."""
     return (F.row_number().over(Window.partitionBy(*key).orderBy("ts", "transaction_id")) == 1).cast("int")
+
+
+def joined(*parts: Column) -> Column:
+    """Parts of a key as one text, lengths before them so that no two keys are alike; null parts are kept apart from empty ones."""
+    if len(parts) == 1:
+        return parts[0]
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
+
+
+def by_entity(txn: DataFrame, rows: dict[str, Column], items: dict[str, tuple[Column, Column]] | None = None, times: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each transaction and entity, as quantiles.so_far takes it. rows: keys whose rows are counted; items: keys and what is counted of them once; times: keys of which only times are asked."""
+    none = F.lit(None).cast("string")
+    made = [(n, k, none, "rows") for n, k in rows.items()] + [(n, k, i, "items") for n, (k, i) in (items or {}).items()] + [(n, k, none, "none") for n, k in (times or {}).items()]
+    fields = [F.struct(F.lit(n).alias("entity"), k.alias("key"), i.alias("item"), F.lit(kind).alias("kind")) for n, k, i, kind in made]
+    return txn.select("transaction_id", "ts", F.inline(F.array(*fields)))
+
+
+def rank_before(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows (transaction_id, ts, key, value) with earlier, how many of the key's rows came before each, and smaller, how many of these had a smaller value; rows with a null value count as earlier only.
+
+    Offline dominance counting: rows are numbered by time from 0; any two of a key first differ in one binary place of their numbers, from the top, and there the later one has 1. So for each place the rows
+    that agree above it are put in order of value, and the rows with 1 count those with 0 before them. All places go through one exchange; each row takes part in as many as the largest number has.
+    """
+    numbered = stored(running_sum(rows, [key], F.lit(1), "_n").withColumn("_n", (F.col("_n") - 1).cast("long")), "numbered")
+    places = max(1, int(numbered.agg(F.max("_n")).first()[0] or 0).bit_length())
+    at = numbered.filter(F.col(value).isNotNull()).select("transaction_id", key, value, "_n", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("_place"))
+    one = F.expr("shiftright(_n, _place) & 1")
+    block = at.select("transaction_id", key, value, "_place", F.expr("shiftright(_n, _place + 1)").alias("_block"), one.cast("int").alias("_late"), (-one).cast("int").alias("_first"))
+    counted = running_sum(block, [key, "_place", "_block"], 1 - F.col("_late"), "_below", (value, "_first"))
+    smaller = counted.filter("_late = 1").groupBy("transaction_id").agg(F.sum("_below").alias("smaller"))
+    return numbered.join(smaller, "transaction_id", "left").select(*rows.columns, F.col("_n").alias("earlier"), F.coalesce("smaller", F.lit(0)).alias("smaller"))
+
+
+def as_of(rows: DataFrame, log: DataFrame, since: str, value: str, keys: tuple[str, ...] = (), tie: str | None = None, strict: bool = False) -> DataFrame:
+    """rows (with ts) and the log's value as it stood at each row's time, by keys; null before the first entry. strict: entries of the row's own time come too late. tie: orders entries of one time.
+
+    Both sides are merged by time in even parts: within a part the last entry before a row is found by a window, and a part begins with the last entry of the key's parts before it; so no key is one task's.
+    """
+    entry = F.struct(F.col(value).alias("v"))
+    kind = log.select(entry.alias("e")).schema["e"].dataType
+    rank = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    asked, told = (0, 1) if strict else (1, 0)
+    left = rows.withColumns({"_t": F.col("ts"), "_is": F.lit(asked), "_tie": F.lit(None).cast("long"), "_e": F.lit(None).cast(kind)})
+    right = log.select(*keys, F.col(since).alias("_t"), F.lit(told).alias("_is"), rank.alias("_tie"), entry.alias("_e"))
+    parted = left.unionByName(right, allowMissingColumns=True).withColumn("_part", even_parts(rows, "ts", of="_t"))
+    last = parted.groupBy(*keys, "_part").agg(F.max_by("_e", F.when(F.col("_is") == told, F.struct("_t", "_tie"))).alias("_last"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row a part
+    begin = F.last("_last", True).over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = last.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), begin.alias("_begin"))
+    inside = F.last("_e", True).over(Window.partitionBy(*keys, "_part").orderBy("_t", "_is", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    found = parted.withColumn("_inside", inside).filter(F.col("_is") == asked)
+    on = F.col("_part") == F.col("_p")
+    joined = found.join(begins, same(found, begins, list(keys)) & on if keys else on)
+    return joined.withColumn(value, F.coalesce("_inside", "_begin")["v"]).select(*rows.columns, value)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.sources.records import stored
+
+
 def ranges_of(df: DataFrame) -> int:
     """Into how many ranges values are dealt: as many as a shuffle has partitions."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -24,32 +27,46 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], ranges: int | None = None) -> DataFrame:
-    """keys and a column for each wanted quantile (linear interpolation between order statistics), one row for each key; nulls are left out.
+#: Rows up to which a table of counts is summed up without ranges.
+FEW = 100_000
+
 
-    Rows are reduced to counts by value; values are dealt over ranges between approximate quantiles of the distinct values, and only the ranges' sums are ordered as a whole.
+def cumulated(by: DataFrame, keys: list[str], value: str, sums: list[str], few: int = FEW) -> DataFrame:
+    """by, a stored table of one row for each key and value, with upto_x and all_x for each x of sums: the sum over the key's values up to the row's, and over all of them.
+
+    Beyond few rows values are dealt over ranges between their approximate quantiles, each range is summed up by itself, and only the ranges' totals are ordered as a whole.
     """
-    ranges = ranges or ranges_of(df)
-    by = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    splits = by.agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10_000).alias("_s"))
-    dealt = by.crossJoin(F.broadcast(splits)).withColumn("_b", place(F.col("_s"), F.col("_v"), ranges)).drop("_s")  # one row
-    sums = dealt.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     all_of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("_m").over(all_of.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("__b"), before.alias("_from"), F.sum("_m").over(all_of).alias("_all"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    joined = dealt.withColumn("_upto", upto).join(starts, same(dealt, starts, keys) & (F.col("_b") == F.col("__b")) if keys else F.col("_b") == F.col("__b"))
-    end = F.col("_from") + F.col("_upto")
+    upto = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if by.count() <= few:
+        return by.withColumns({f"upto_{x}": F.sum(x).over(upto(all_of, value)) for x in sums} | {f"all_{x}": F.sum(x).over(all_of) for x in sums})
+    ranges = ranges_of(by)
+    splits = by.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    dealt = by.withColumn("_b", place(F.lit(splits), F.col(value), ranges))
+    totals = dealt.groupBy(*keys, "_b").agg(*[F.sum(x).alias(f"_t_{x}") for x in sums])
+    before = {x: F.coalesce(F.sum(f"_t_{x}").over(all_of.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for x in sums}
+    starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("__b"), *[before[x].alias(f"_f_{x}") for x in sums], *[F.sum(f"_t_{x}").over(all_of).alias(f"all_{x}") for x in sums])
+    inside = dealt.withColumns({f"_i_{x}": F.sum(x).over(upto(Window.partitionBy(*keys, "_b"), value)) for x in sums})
+    on = F.col("_b") == F.col("__b")
+    joined = inside.join(starts, same(inside, starts, keys) & on if keys else on)
+    return joined.select(*by.columns, *[(F.col(f"_i_{x}") + F.col(f"_f_{x}")).alias(f"upto_{x}") for x in sums], *[f"all_{x}" for x in sums])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], few: int = FEW) -> DataFrame:
+    """keys and a column for each wanted quantile (linear interpolation between order statistics), one row for each key; nulls are left out. Rows are reduced to counts by value, which are stored once."""
+    by = stored(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")), "counts")
+    counted = cumulated(by, keys, "_v", ["_n"], few)
+    end = F.col("upto__n")
 
     def at(position: Column) -> Column:
         return F.max(F.when((position >= end - F.col("_n")) & (position < end), F.col("_v")))
 
     def made(p: float) -> Column:
-        position = F.round((F.col("_all") - 1) * F.lit(p), 9)
+        position = F.round((F.col("all__n") - 1) * F.lit(p), 9)
         low, share = at(F.floor(position)), F.max(position - F.floor(position))
         return low + (F.coalesce(at(F.floor(position) + 1), low) - low) * share
 
-    return joined.groupBy(*keys).agg(*[made(p).alias(name) for name, p in wanted.items()])
+    return counted.groupBy(*keys).agg(*[made(p).alias(name) for name, p in wanted.items()])
 
 
 def with_quantiles(grouped: DataFrame, df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
@@ -59,16 +76,47 @@ def with_quantiles(grouped: DataFrame, df: DataFrame, keys: list[str], value: st
     return grouped.join(F.broadcast(q) if not keys else q, on, "left").drop(*[f"_{k}" for k in keys])
 
 
-def running_sum(df: DataFrame, keys: list[str], value: Column, part: Column, name: str) -> DataFrame:
-    """df with name: the sum of value over the key's rows up to each row, in order of ts and transaction_id.
+def even_parts(df: DataFrame, column: str, of: str | None = None) -> Column:
+    """The number of a row's range of column (a time or a number): ranges of nearly equal numbers of df's rows, as many as a shuffle has partitions, so that no key's rows in a range are many. of: another name of the column."""
+    ranges = ranges_of(df)
+    number = lambda c: F.unix_micros(c) if dict(df.dtypes)[column] == "timestamp" else F.col(c).cast("double")
+    splits = df.agg(F.percentile_approx(number(column), [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    return place(F.lit(splits), number(of or column), ranges) if splits else F.lit(0)
+
 
-    part: a function of ts that never falls, such as its hour: sums are ordered within the parts, and only the parts' totals over a whole key.
+def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, order: tuple = ("ts", "transaction_id")) -> DataFrame:
+    """df with name: the sum of value over the key's rows up to each row in the order.
+
+    Sums are ordered within parts of the first column's range, which are made even by counting, and only the parts' totals over a whole key.
     """
-    parted = df.withColumns({"_part": part, "_value": value})
+    parted = df.withColumns({"_part": even_parts(df, order[0]), "_value": value})
     totals = parted.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("__part"), before.alias("_before"))
-    inside = F.sum("_value").over(Window.partitionBy(*keys, "_part").orderBy("ts", "transaction_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("_value").over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     own = parted.withColumn("_inside", inside)
     joined = own.join(starts, same(own, starts, keys) & (F.col("_part") == F.col("__part")))
     return joined.withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)
+
+
+def so_far(long: DataFrame) -> DataFrame:
+    """What stood for each key up to each of its rows. long: transaction_id, ts, entity, key, item, kind (rows, items or none).
+
+    upto counts the key's rows, or its distinct items, so far; first is the key's first time; before the time of the row before. All entities share one exchange, from one stored table; a key's rows are
+    ordered within even parts of time, and the parts' totals join them by the same partitioning. Where items are counted, the first row of each key and item comes with one more row that adds one before it.
+    """
+    held = stored(long.withColumn("key", F.coalesce("key", F.lit("\0"))), "entities")
+    part = even_parts(held, "ts")
+    first = held.filter("kind = 'items'").groupBy("entity", "key", "item").agg(F.min(F.struct("ts", "transaction_id")).alias("at"))
+    news = first.select("at.transaction_id", "at.ts", "entity", "key", F.lit(1).alias("value"), F.lit(False).alias("real"))
+    rows = held.select("transaction_id", "ts", "entity", "key", (F.col("kind") == "rows").cast("int").alias("value"), F.lit(True).alias("real"))
+    parted = rows.unionByName(news).withColumn("_part", part)
+    totals = parted.groupBy("entity", "key", "_part").agg(F.sum("value").alias("_sum"), F.min("ts").alias("_min"), F.max(F.when(F.col("real"), F.col("ts"))).alias("_max"))
+    of = Window.partitionBy("entity", "key")
+    earlier = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("entity", "key", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"), F.min("_min").over(of).alias("first"), F.max("_max").over(earlier).alias("_last"))
+    inside = Window.partitionBy("entity", "key", "_part").orderBy("ts", "transaction_id", "real")
+    lag = F.max(F.when(F.col("real"), F.col("ts"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    own = parted.withColumns({"_in": F.sum("value").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_lag": lag})
+    joined = own.join(starts, ["entity", "key", "_part"]).filter("real")
+    return joined.select("transaction_id", "ts", "entity", (F.col("_in") + F.col("_from")).alias("upto"), "first", F.coalesce("_lag", "_last").alias("before"))

@@ -22,6 +22,11 @@ def normal_p(z: Column) -> Column:
     return F.least(poly * F.exp(-x * x), F.lit(1.0))
 
 
+def normal_cdf(z: Column) -> Column:
+    tail = normal_p(z) / 2
+    return F.when(z > 0, 1 - tail).otherwise(tail)
+
+
 def ks_p(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """The asymptotic tail of the two-sample distance d for n and m rows."""
     square = d * d * n * m / (n + m)

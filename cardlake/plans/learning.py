@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.operators import evaluation, models, rules
+from cardlake.operators import evaluation, models, rules, search
 from cardlake.plans import sql
 from cardlake.plans.decisions import training_batch
 from cardlake.plans.queries import alerts, query, r6, scored
@@ -111,13 +111,40 @@ def stratified_k_fold_auc(spark, sf_dir):
 
 @query()
 def parameter_search(spark, sf_dir):
-    r = models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud", 3)
-    m = models.trees()
-    grid = models.grid_of(m, maxDepth=(2, 4), stepSize=(0.1, 0.3))
-    _, trials = models.searched(r, models.estimator(FEATURES, ("product",), m), grid, 3)
-    named = [(int(g[m.maxDepth]), float(g[m.stepSize]), auc, dev) for g, (auc, dev) in zip(grid, trials)]
-    best = max(t[2] for t in named)
-    return spark.createDataFrame([(*t, t[2] == best) for t in named], "depth int, step double, auc double, deviation double, is_best boolean")
+    """Eight draws of boosted trees, halved after each of three folds; small trees, so that the query ends soon (search.BOOSTED has the full ranges)."""
+    space = search.BOOSTED | {"maxIter": search.Whole(2, 6, 2), "maxDepth": search.Whole(2, 4)}
+    r = records.stored(models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud", 3), "folds")
+    table = search.new_table(spark, records.scratch(spark, "trials"))
+    search.halving(table, space, 8, 3, 7, search.boosted_score(r, FEATURES, ("product",)))
+    found = F.from_json("parameters", "maxDepth int, maxIter int, stepSize double, subsamplingRate double, featureShare double, minInstancesPerNode int").alias("p")
+    return search.ranks(table.read(), 3).select("trial", found, "rungs", "score", "rank").select("trial", "p.*", "rungs", "score", "rank")
+
+
+_RULES = ("is_high_amount", "is_unusual_hour", "is_rapid", "is_large")
+_RULE_SPACE = {f: search.Uniform(0.0, 1.0) for f in _RULES} | {"limit": search.LogUniform(0.2, 2.0)}
+_U = "('0x' || substr(md5('11:' || t || ':{n}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+_WEIGHTED = sql.SCORED + f""", params AS (SELECT t, {", ".join(f"{_U.format(n=n)} AS w_{n}" for n in _RULES)}, exp(ln(0.2::DOUBLE) + (ln(2.0::DOUBLE) - ln(0.2::DOUBLE)) * {_U.format(n="limit")}) AS lim FROM range(16) AS r(t)),
+flagged AS (SELECT is_fraud, is_high_amount, is_unusual_hour, is_rapid, amount_vs_avg > 2 AS is_large, (row_number() OVER (PARTITION BY is_fraud ORDER BY md5(CAST(transaction_id AS VARCHAR)), transaction_id)) % 4 AS fold FROM scored),
+cells AS (SELECT fold, is_high_amount, is_unusual_hour, is_rapid, is_large, count(*) AS n, sum(is_fraud) AS p FROM flagged GROUP BY ALL),
+f1 AS (SELECT t, fold, 2 * coalesce(sum(p) FILTER (WHERE said), 0) / greatest(coalesce(sum(n) FILTER (WHERE said), 0) + sum(p), 1)::DOUBLE AS f FROM (
+  SELECT *, round({" + ".join(f"w_{n} * CAST({n} AS INT)" for n in _RULES)}, 9) >= round(lim, 9) AS said FROM params, cells) GROUP BY 1, 2),
+r0 AS (SELECT t FROM f1 WHERE fold = 0 QUALIFY row_number() OVER (ORDER BY f DESC, t) <= 8),
+r1 AS (SELECT t FROM f1 JOIN r0 USING (t) WHERE fold <= 1 GROUP BY t QUALIFY row_number() OVER (ORDER BY (max(f) FILTER (fold = 0) + max(f) FILTER (fold = 1)) / 2 DESC, t) <= 4),
+r2 AS (SELECT t FROM f1 JOIN r1 USING (t) WHERE fold <= 2 GROUP BY t QUALIFY row_number() OVER (ORDER BY (max(f) FILTER (fold = 0) + max(f) FILTER (fold = 1) + max(f) FILTER (fold = 2)) / 3 DESC, t) <= 2),
+runs AS (SELECT t, 1 + CAST(t IN (FROM r0) AS INT) + CAST(t IN (FROM r1) AS INT) + CAST(t IN (FROM r2) AS INT) AS rungs FROM params),
+means AS (SELECT t, any_value(rungs) AS rungs, avg(f) AS score FROM runs JOIN f1 USING (t) WHERE fold < rungs GROUP BY t)"""
+
+
+@query("SELECT t::INT AS trial, rungs::BIGINT AS rungs, round(score, 6) AS score, round(lim, 6) AS lim, row_number() OVER (ORDER BY rungs DESC, score DESC, t)::INT AS rank FROM means JOIN params USING (t)", _WEIGHTED)
+def rule_weight_search(spark, sf_dir):
+    """Sixteen draws of rule weights and a limit, halved after each of four folds by their F1; a rung is one pass over the data, and a second run adds no trial."""
+    s = scored(spark, sf_dir).withColumns({"is_large": F.col("amount_vs_avg") > 2, "label": F.col("is_fraud")})
+    r = records.stored(models.folded(s.select("transaction_id", "is_fraud", "label", *_RULES), "transaction_id", "is_fraud", 4), "rules")
+    table = search.new_table(spark, records.scratch(spark, "trials"))
+    for _ in range(2):
+        search.halving(table, _RULE_SPACE, 16, 4, 11, search.rules_score(r, _RULES), one_by_one=False)
+    lim = F.from_json("parameters", "limit double")["limit"]
+    return search.ranks(table.read(), 4).select("trial", "rungs", r6("score").alias("score"), r6(lim).alias("lim"), "rank")
 
 
 @query()

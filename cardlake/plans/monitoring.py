@@ -11,9 +11,7 @@ from cardlake.operators import drift, evaluation, experiments, feedback
 from cardlake.operators.quantiles import quantiles, running_sum, with_quantiles
 from cardlake.plans import sql
 from cardlake.plans.queries import _PSI, _SIDES, ORACLE, QUERIES, alerts, query, r6, scored
-from cardlake.sources import records
 from cardlake.sources.tables import transactions
-from cardlake.streaming import live
 
 FEEDBACK = (
     sql.ALERTS
@@ -166,7 +164,7 @@ def alert_dedup(spark, sf_dir):
 @query("SELECT transaction_id, row_number() OVER (PARTITION BY severity, CAST(ts AS DATE) ORDER BY ts, transaction_id) AS position FROM alerts", sql.ALERTS)
 def queue_position(spark, sf_dir):
     queued = alerts(spark, sf_dir).select("transaction_id", "ts", "severity", F.to_date("ts").alias("day"))
-    return running_sum(queued, ["severity", "day"], F.lit(1), F.hour("ts"), "position").select("transaction_id", F.col("position").cast("long"))
+    return running_sum(queued, ["severity", "day"], F.lit(1), "position").select("transaction_id", F.col("position").cast("long"))
 
 
 @query("""SELECT user_id, count(transaction_id) AS pending, round(max(fraud_score), 6) AS max_score FROM (SELECT DISTINCT user_id FROM txn)
@@ -223,13 +221,13 @@ def feedback_statistics(spark, sf_dir):
 
 
 @query("""SELECT round(sum(p / ap::DOUBLE * hit / said), 6) AS ap FROM (SELECT p, sum(p) OVER () AS ap, sum(p) OVER (ORDER BY s DESC) AS hit, sum(n) OVER (ORDER BY s DESC) AS said
-       FROM (SELECT round(fraud_score, 3) AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY 1))""", sql.SCORED)
+       FROM (SELECT fraud_score AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY 1))""", sql.SCORED)
 def average_precision(spark, sf_dir):
     return evaluation.average_precision(scored(spark, sf_dir), "fraud_score", "is_fraud").select(r6("ap").alias("ap"))
 
 
 @query("""SELECT round(coalesce(max(hit / ap::DOUBLE) FILTER (WHERE (said - hit) / (an - ap)::DOUBLE <= 0.01), 0), 6) AS recall FROM (SELECT sum(p) OVER () AS ap, sum(n) OVER () AS an, sum(p) OVER (ORDER BY s DESC) AS hit,
-       sum(n) OVER (ORDER BY s DESC) AS said FROM (SELECT round(fraud_score, 3) AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY 1))""", sql.SCORED)
+       sum(n) OVER (ORDER BY s DESC) AS said FROM (SELECT fraud_score AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY 1))""", sql.SCORED)
 def recall_at_fpr(spark, sf_dir):
     return evaluation.recall_at_fpr(scored(spark, sf_dir), "fraud_score", "is_fraud").select(r6("recall").alias("recall"))
 
@@ -294,10 +292,14 @@ def drift_alert_table(spark, sf_dir):
     return judged("psi", psi, (0.1, 0.25, 0.5), 0.25).unionByName(judged("concept", concept, (0.1, 0.2, 0.4), 0.02))
 
 
-_VARIANT = sql.SCORED + ", assigned AS (SELECT *, CASE WHEN b <= 5000 THEN 'control' ELSE 'treatment' END AS variant, round(fraud_score, 6) >= 0.3 AS said FROM scored JOIN (" + """
-       SELECT user_id, CAST(('0x' || substr(m, 29, 4))::BIGINT + ('0x' || substr(m, 25, 4))::BIGINT * 5536 + ('0x' || substr(m, 21, 4))::BIGINT * 7296 + ('0x' || substr(m, 17, 4))::BIGINT * 656
-       + ('0x' || substr(m, 13, 4))::BIGINT * 1616 + ('0x' || substr(m, 9, 4))::BIGINT * 6176 + ('0x' || substr(m, 5, 4))::BIGINT * 336 + ('0x' || substr(m, 1, 4))::BIGINT * 96 AS BIGINT) % 10000 AS b
-       FROM (SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR) || ':exp_1') AS m FROM txn)) USING (user_id))"""
+def bucket_sql(experiment: str) -> str:
+    """user_id and b, the bucket that experiments.bucket gives, as a table."""
+    powers = (1, 5536, 7296, 656, 1616, 6176, 336, 96)  # 65536 ** i modulo 10000
+    total = " + ".join(f"('0x' || substr(m, {29 - 4 * i}, 4))::BIGINT * {p}" for i, p in enumerate(powers))
+    return f"(SELECT user_id, CAST({total} AS BIGINT) % 10000 AS b FROM (SELECT DISTINCT user_id, md5(CAST(user_id AS VARCHAR) || ':{experiment}') AS m FROM txn))"
+
+
+_VARIANT = sql.SCORED + ", assigned AS (SELECT *, CASE WHEN b <= 5000 THEN 'control' ELSE 'treatment' END AS variant, round(fraud_score, 6) >= 0.3 AS said FROM scored JOIN " + bucket_sql("exp_1") + " USING (user_id))"
 
 
 @query("""SELECT variant, count(*) AS predictions, count(*) FILTER (WHERE said AND is_fraud = 1) AS tp, count(*) FILTER (WHERE said AND is_fraud = 0) AS fp, count(*) FILTER (WHERE NOT said AND is_fraud = 1) AS fn,
@@ -310,17 +312,3 @@ def variant_scorecard(spark, sf_dir):
     value = worth(said & true) - worth(~said & true) - 10 * F.count_if(said & ~true)
     return scored(spark, sf_dir).groupBy(variant.alias("variant")).agg(
         F.count("*").alias("predictions"), F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.round(value, 4).alias("business_value"))
-
-
-# ---- streams ----
-
-
-@query("SELECT transaction_id, total_transactions, round(total_amount, 4) AS total_amount FROM feat", sql.PROFILE)
-def stream_profiles(spark, sf_dir):
-    """The stored events as a stream, kept per user as state."""
-    out = records.scratch(spark, "stream")
-    path = f"{sf_dir}/events.parquet"
-    events = live.files(spark, path + "*", spark.read.parquet(path).schema)  # the pattern lets one file stand for a folder
-    txn = events.select(F.col("event_id").alias("transaction_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"))
-    live.run_once(live.profiles(txn), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").select("transaction_id", "total_transactions", F.round("total_amount", 4).alias("total_amount"))

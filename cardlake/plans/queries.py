@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from cardlake.operators import alerts as al
 from cardlake.operators import features as ft
 from cardlake.operators import rules
-from cardlake.operators.quantiles import running_sum, with_quantiles
+from cardlake.operators.quantiles import cumulated, so_far, with_quantiles
 from cardlake.plans import sql
+from cardlake.sources.records import bucketed, stored
 from cardlake.sources.tables import read, transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,8 +166,8 @@ def stateless_validation(spark, sf_dir, limit: float = 400.0):
 @query("SELECT transaction_id, dense_rank() OVER (ORDER BY p) - 1 AS code FROM (SELECT transaction_id, coalesce(p_email, 'unknown') AS p FROM txn)")
 def label_encode(spark, sf_dir):
     rows = transactions(spark, sf_dir).select("transaction_id", F.coalesce("p_email", F.lit("unknown")).alias("p"))
-    values = rows.select("p").distinct()  # a row per category: ranked alone, so that no window holds the data's rows
-    return rows.join(values.withColumn("code", F.dense_rank().over(Window.orderBy("p")) - 1), "p").select("transaction_id", F.col("code").cast("long").alias("code"))
+    values = stored(rows.select("p", F.lit(1).alias("n")).distinct(), "categories")
+    return rows.join(cumulated(values, [], "p", ["n"]), "p").select("transaction_id", (F.col("upto_n") - 1).cast("long").alias("code"))
 
 
 @query("""SELECT transaction_id, sum(CASE WHEN round(fraud_score, 6) >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, transaction_id ROWS UNBOUNDED PRECEDING)::BIGINT AS suspicious_count FROM scored""", sql.SCORED)
@@ -234,15 +235,12 @@ def session_id_every_5_txns(spark, sf_dir):
        FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY addr1, card1 ORDER BY ts, transaction_id) = 1 THEN 1 ELSE 0 END AS f1,
              CASE WHEN row_number() OVER (PARTITION BY card1, addr1 ORDER BY ts, transaction_id) = 1 THEN 1 ELSE 0 END AS f2 FROM txn)""")
 def entity_counting_features(spark, sf_dir):
-    upto = lambda *k: Window.partitionBy(*k).orderBy("ts", "transaction_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = transactions(spark, sf_dir).withColumn("f", ft.first_seen("card1", "addr1"))
-    rows = running_sum(rows, ["addr1"], F.col("f"), F.date_trunc("hour", "ts"), "cards_per_address")  # addresses are few
-    return rows.select(
-        "transaction_id",
-        "cards_per_address",
-        F.sum("f").over(upto("card1")).alias("addresses_per_card"),
-        F.count("*").over(upto("device", F.to_date("ts"))).alias("device_day_count"),
-    )
+    t = transactions(spark, sf_dir)
+    address, card = F.col("addr1").cast("string"), F.col("card1").cast("string")
+    items = {"cards_per_address": (address, card), "addresses_per_card": (card, address)}
+    long = so_far(ft.by_entity(t, {"device_day_count": ft.joined(F.col("device"), F.date_format("ts", "yyyy-MM-dd"))}, items))
+    names = ("cards_per_address", "addresses_per_card", "device_day_count")
+    return long.groupBy("transaction_id").agg(*[F.max(F.when(F.col("entity") == n, F.col("upto"))).alias(n) for n in names])
 
 
 @query("""SELECT transaction_id, round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 86400000000.0::DOUBLE, 6) AS days_since_account,
@@ -333,8 +331,13 @@ def user_activity_daily(spark, sf_dir):
        count(*) FILTER (WHERE s >= 0.5 AND is_fraud = 1) AS tp, count(*) FILTER (WHERE s < 0.5 AND is_fraud = 0) AS tn,
        count(*) FILTER (WHERE s >= 0.5 AND is_fraud = 0) AS fp, count(*) FILTER (WHERE s < 0.5 AND is_fraud = 1) AS fn FROM (SELECT *, round(fraud_score, 6) AS s FROM scored) GROUP BY 1, 2""", sql.SCORED)
 def model_accuracy_hourly(spark, sf_dir):
+    """Over the join of detections and transactions, both stored in the same buckets of the id, so that neither is shuffled to meet the other."""
+    found = scored(spark, sf_dir).select("transaction_id", "fraud_score", F.concat(F.lit("v"), (F.col("user_id") % 2).cast("string")).alias("model_version"))
+    detections = bucketed(found, "detections", "transaction_id")
+    truth = bucketed(transactions(spark, sf_dir).select("transaction_id", "ts", "is_fraud"), "transactions", "transaction_id")
+    both = detections.join(truth.hint("merge"), "transaction_id")
     said, true = r6("fraud_score") >= 0.5, F.col("is_fraud") == 1
-    g = scored(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.concat(F.lit("v"), (F.col("user_id") % 2).cast("string")).alias("model_version"))
+    g = both.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "model_version")
     cells = {"tp": said & true, "tn": ~said & ~true, "fp": said & ~true, "fn": ~said & true}
     return g.agg(F.count("*").alias("n"), r6(F.avg("fraud_score")).alias("avg_score"), *[F.count_if(c).alias(n) for n, c in cells.items()])
 
@@ -475,13 +478,15 @@ def semi_join_ratio(spark, sf_dir):
 DEPLOYED = (("v1.0", "2024-01-01"), ("v1.1", "2024-01-10"), ("v1.0", "2024-01-18"), ("v1.2", "2024-01-24"))
 
 
+def deployments(spark: SparkSession) -> DataFrame:
+    """version and since of each deployment, in the order of the log."""
+    return spark.createDataFrame(DEPLOYED, "version string, since string").select("version", F.col("since").cast("timestamp").alias("since"))
+
+
 @query("""SELECT transaction_id, (SELECT v FROM (VALUES ('v1.0', TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10'), ('v1.1', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-18'),
        ('v1.0', TIMESTAMP '2024-01-18', TIMESTAMP '2024-01-24'), ('v1.2', TIMESTAMP '2024-01-24', TIMESTAMP '9999-01-01')) d(v, a, b) WHERE ts >= a AND ts < b) AS version FROM txn""")
 def as_of_version_join(spark, sf_dir):
-    log = spark.createDataFrame(DEPLOYED, "version string, since string").select("version", F.col("since").cast("timestamp").alias("since"))
-    valid = log.withColumn("until", F.coalesce(F.lead("since").over(Window.orderBy("since")), F.lit("9999-01-01").cast("timestamp")))
-    txn = transactions(spark, sf_dir)
-    return txn.join(F.broadcast(valid), (txn["ts"] >= valid["since"]) & (txn["ts"] < valid["until"]), "left").select("transaction_id", "version")
+    return ft.as_of(transactions(spark, sf_dir).select("transaction_id", "ts"), deployments(spark), "since", "version").select("transaction_id", "version")
 
 
 # ---- drift ----

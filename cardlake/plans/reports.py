@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardlake.operators import drift, evaluation, experiments, feedback, metrics, models, stats
 from cardlake.operators import features as ft
-from cardlake.operators.quantiles import running_sum, with_quantiles
+from cardlake.operators.quantiles import so_far, with_quantiles
 from cardlake.plans import sql
 from cardlake.plans.decisions import _ACTION, _DAILY, _ENDS, daily_metrics, responses
 from cardlake.plans.monitoring import _CONSENSUS, _VARIANT, given, sides
 from cardlake.plans.queries import _SIDES, query, r6, scored
+from cardlake.sources import records, versions
 from cardlake.sources.tables import read, transactions
 
 # ---- entities ----
@@ -29,46 +33,26 @@ _D = "86400000000.0::DOUBLE"
        FROM (SELECT *, {", ".join(f"CASE WHEN row_number() OVER (PARTITION BY {k} ORDER BY ts, transaction_id) = 1 THEN 1 ELSE 0 END AS f_{a}" for a, k in
        (("emails_per_card", "card1, p_email"), ("cards_per_email", "p_email, card1"), ("merchants_per_user_month", "user_id, date_trunc('month', ts), product"), ("cards_per_user", "user_id, card1")))} FROM txn)""")
 def entity_counts_of_the_day_and_so_far(spark, sf_dir):
-    """Distinct cards, e-mails and merchants so far by entity, counts of the day so far, and days since first use. Entities with many rows are summed by hour."""
-    hour, day, month = F.date_trunc("hour", "ts"), F.to_date("ts"), F.date_trunc("month", "ts")
-    t = transactions(spark, sf_dir).withColumns({"day": day, "month": month, "f_ec": ft.first_seen("card1", "p_email")})
-    t = t.withColumns({"f_mu": F.when(F.row_number().over(Window.partitionBy("user_id", "month", "product").orderBy("ts", "transaction_id")) == 1, 1).otherwise(0), "f_cu": ft.first_seen("user_id", "card1")})
-    upto = lambda *k: Window.partitionBy(*k).orderBy("ts", "transaction_id").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({
-        "emails_per_card": F.sum("f_ec").over(upto("card1")), "merchants_per_user_month": F.sum("f_mu").over(upto("user_id", "month")), "cards_per_user": F.sum("f_cu").over(upto("user_id")),
-        "day_count_card": F.count("*").over(upto("card1", "day")),
-    })
-    t = running_sum(t, ["p_email"], F.col("f_ec"), hour, "cards_per_email")  # a pair of e-mail and card is new to both at once
-    t = running_sum(t, ["p_email", "day"], F.lit(1), hour, "day_count_email")
-    t = running_sum(t, ["product", "day"], F.lit(1), hour, "day_count_product")
-    since = lambda n: r6((F.unix_micros("ts") - F.unix_micros(n)) / 86_400_000_000.0)
-    for name, key in (("_card", "card1"), ("_address", "addr1")):
-        t = t.join(t.groupBy(key).agg(F.min("ts").alias(name)), key)
-    return t.select(
-        "transaction_id", "emails_per_card", "cards_per_email", "merchants_per_user_month", "cards_per_user", "day_count_email", "day_count_card", "day_count_product",
-        since("_card").alias("days_of_card"), since("_address").alias("days_of_address"))
+    """Distinct cards, e-mails and merchants so far by entity, counts of the day so far, and days since first use, of all entities at once."""
+    day, month = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM")
+    t = transactions(spark, sf_dir)
+    user, card, mail = (F.col(c).cast("string") for c in ("user_id", "card1", "p_email"))
+    pairs = {"emails_per_card": (card, mail), "cards_per_email": (mail, card), "merchants_per_user_month": (ft.joined(user, month), F.col("product")), "cards_per_user": (user, card)}
+    of_day = {"day_count_email": ft.joined(mail, day), "day_count_card": ft.joined(card, day), "day_count_product": ft.joined(F.col("product"), day)}
+    long = so_far(ft.by_entity(t, of_day, pairs, {"days_of_card": card, "days_of_address": F.col("addr1").cast("string")}))
+    since = r6((F.unix_micros("ts") - F.unix_micros("first")) / 86_400_000_000.0)
+    return long.groupBy("transaction_id").agg(*[F.max(F.when(F.col("entity") == n, F.col("upto"))).alias(n) for n in (*pairs, *of_day)], *[F.max(F.when(F.col("entity") == n, since)).alias(n) for n in ("days_of_card", "days_of_address")])
 
 
 @query(f"""SELECT transaction_id, {", ".join(f"round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY {k}))) / {_D}, 6) AS days_since_{n}" for n, k in _FIRST.items())},
        {", ".join(f"round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {k} ORDER BY ts, transaction_id))) / 3600000000.0::DOUBLE, 6) AS hours_since_{n}" for n, k in _HOURS.items())} FROM txn""")
 def time_deltas_by_entity(spark, sf_dir):
-    """Days since an entity was first seen, by a join with its first time, and hours since its last transaction."""
-    t = transactions(spark, sf_dir)
-    for name, keys in _FIRST.items():
-        k = keys.split(", ")
-        t = t.join(t.groupBy(*k).agg(F.min("ts").alias(f"_{name}")), k)
-    # the last one of an hour before: an e-mail domain's rows are ordered within hours, and hours by their last times
-    hour = F.date_trunc("hour", "ts")
-    last = {}
-    for name, key in _HOURS.items():
-        parted = t.select(F.col(key).alias("key"), hour.alias("h"), "ts").groupBy("key", "h").agg(F.max("ts").alias("last"))
-        before = parted.withColumn("before", F.lag("last").over(Window.partitionBy("key").orderBy("h"))).select(F.col("key").alias("_k"), F.col("h").alias("_h"), "before")
-        inside = F.lag("ts").over(Window.partitionBy(key, "_hour").orderBy("ts", "transaction_id"))
-        own = t.withColumn("_hour", hour).withColumn("_inside", inside)
-        t = own.join(before, own[key].eqNullSafe(before["_k"]) & (own["_hour"] == before["_h"])).withColumn(f"_last_{name}", F.coalesce("_inside", "before")).drop("_k", "_h", "_hour", "_inside", "before")
-        last[name] = r6((F.unix_micros("ts") - F.unix_micros(f"_last_{name}")) / 3.6e9).alias(f"hours_since_{name}")
-    days = [r6((F.unix_micros("ts") - F.unix_micros(f"_{n}")) / 86_400_000_000.0).alias(f"days_since_{n}") for n in _FIRST]
-    return t.select("transaction_id", *days, *last.values())
+    """Days since an entity was first seen and hours since its last transaction, of all entities at once."""
+    keys = {n: ft.joined(*[F.col(c).cast("string") for c in k.split(", ")]) for n, k in (_FIRST | _HOURS).items()}
+    long = so_far(ft.by_entity(transactions(spark, sf_dir), {}, times=keys))
+    since = lambda c, n, unit: F.max(F.when(F.col("entity") == n, r6((F.unix_micros("ts") - F.unix_micros(c)) / unit)))
+    days = [since("first", n, 86_400_000_000.0).alias(f"days_since_{n}") for n in _FIRST]
+    return long.groupBy("transaction_id").agg(*days, *[since("before", n, 3.6e9).alias(f"hours_since_{n}") for n in _HOURS])
 
 
 @query("""SELECT transaction_id, round(d / a::DOUBLE, 6) AS day_share FROM (SELECT transaction_id, sum(fd) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, transaction_id ROWS UNBOUNDED PRECEDING) AS d,
@@ -82,9 +66,12 @@ def merchant_share_of_the_day(spark, sf_dir):
     return t.select("transaction_id", r6(F.sum("fd").over(upto("user_id", "day")) / F.sum("fa").over(upto("user_id"))).alias("day_share"))
 
 
-@query("SELECT transaction_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY amount), 6) AS percentile FROM txn")
+@query("""SELECT transaction_id, round(CASE WHEN n > 0 THEN (SELECT count(*) FROM txn AS e WHERE e.user_id = t.user_id AND (e.ts, e.transaction_id) < (t.ts, t.transaction_id) AND e.amount < t.amount) / n::DOUBLE END, 6) AS percentile
+       FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, transaction_id) - 1 AS n FROM txn) AS t""")
 def amount_percentile_of_user(spark, sf_dir):
-    return transactions(spark, sf_dir).select("transaction_id", r6(F.percent_rank().over(Window.partitionBy("user_id").orderBy("amount"))).alias("percentile"))
+    """The share of the user's earlier transactions with smaller amounts; no later one has a part in it."""
+    ranked = ft.rank_before(transactions(spark, sf_dir).select("transaction_id", "user_id", "ts", "amount"), "user_id", "amount")
+    return ranked.select("transaction_id", r6(F.when(F.col("earlier") > 0, F.col("smaller") / F.col("earlier"))).alias("percentile"))
 
 
 @query("""SELECT transaction_id, round(amount * velocity, 6) AS amount_velocity, round(amount / greatest(hour(ts), 1)::DOUBLE, 6) AS amount_per_hour, CAST(is_high_amount AND is_unusual_hour AS INT) AS high_and_unusual FROM feat""", sql.PROFILE)
@@ -204,16 +191,23 @@ def fraud_rate_by_hour_in_range(spark, sf_dir, start: str = "2024-01-05", end: s
     return by.select("hour", "transactions", r6(F.col("p") / F.greatest("transactions", F.lit(1))).alias("fraud_rate")).orderBy("hour")
 
 
-AGES = {"transactions": 730, "features": 365, "results": 180, "risk": 90, "profiles": 30, "velocity": 1}
+#: Days that each table is kept, and the parts that expire as a whole.
+AGES = {"transactions": (730, "month"), "features": (365, "month"), "results": (180, "month"), "risk": (90, "month"), "profiles": (30, "day"), "velocity": (1, "day")}
 
 
-@query("SELECT t AS name, count(*) FILTER (WHERE ts >= m - to_days(d)) AS kept FROM txn, (SELECT max(ts) AS m FROM txn), (VALUES " + ", ".join(f"('{k}', {d})" for k, d in AGES.items()) + ") v(t, d) GROUP BY 1")
+@query("SELECT t AS name, count(*) FILTER (WHERE ts >= m - to_days(d)) AS kept, count(*) FILTER (WHERE CASE p WHEN 'month' THEN date_trunc('month', ts) >= date_trunc('month', m - to_days(d)) ELSE CAST(ts AS DATE) >= CAST(m - to_days(d) AS DATE) END) AS stored FROM txn, (SELECT max(ts) AS m FROM txn), (VALUES " + ", ".join(f"('{k}', {d}, '{p}')" for k, (d, p) in AGES.items()) + ") v(t, d, p) GROUP BY 1")
 def retention_by_table(spark, sf_dir):
-    """How many rows each table's age limit keeps."""
-    t = transactions(spark, sf_dir)
-    limited = t.crossJoin(F.broadcast(t.agg(F.max("ts").alias("as_of"))))  # one row
-    one = limited.agg(*[F.count_if(F.col("ts") >= F.col("as_of") - F.expr(f"interval {d} days")).alias(n) for n, d in AGES.items()])
-    return one.unpivot([], list(AGES), "name", "kept")
+    """Six tables by their ages: parts that ended before expire by a commit record alone (stored: the rows left), and readers leave out the rest (kept)."""
+    t = transactions(spark, sf_dir).select("transaction_id", "user_id", "ts", "amount")
+    as_of, parts = t.agg(F.max("ts").alias("m")).first()[0], []
+    for name, (days, part) in AGES.items():
+        table = versions.Table(spark, records.scratch(spark, name), t.schema, part)
+        table.append(t)
+        limit = F.lit(as_of) - F.expr(f"interval {days} days")
+        day = (as_of - timedelta(days=days)).strftime("%Y-%m-%d") if as_of else "0001-01-01"
+        table.expire(day)
+        parts.append(table.read(since=day).agg(F.lit(name).alias("name"), F.count_if(F.col("ts") >= limit).alias("kept")).crossJoin(table.read().agg(F.count("*").alias("stored"))))  # one row each
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM txn WHERE EXISTS (SELECT 1 FROM acted WHERE action = 'immediate_block' AND acted.user_id = txn.user_id AND txn.ts > acted.ts AND txn.ts <= acted.ts + INTERVAL 1 DAY)""", _ACTION)
@@ -252,7 +246,7 @@ def training_batch_summary(spark, sf_dir):
 
 _CELLS = "count(*) FILTER (WHERE s >= 0.3 AND is_fraud = 1) AS tp, count(*) FILTER (WHERE s < 0.3 AND is_fraud = 0) AS tn, count(*) FILTER (WHERE s >= 0.3 AND is_fraud = 0) AS fp, count(*) FILTER (WHERE s < 0.3 AND is_fraud = 1) AS fn"
 _RATES = {"precision": "tp / greatest(tp + fp, 1)::DOUBLE", "recall": "tp / greatest(tp + fn, 1)::DOUBLE", "f1": "2 * tp / greatest(2 * tp + fp + fn, 1)::DOUBLE", "accuracy": "(tp + tn) / greatest(tp + tn + fp + fn, 1)::DOUBLE", "fpr": "fp / greatest(fp + tn, 1)::DOUBLE", "fnr": "fn / greatest(tp + fn, 1)::DOUBLE"}
-_AUC = "(SELECT {g}, sum((n - p) * (hit - p / 2.0::DOUBLE)) / nullif(max(ap * (an - ap)), 0) AS auc FROM (SELECT *, sum(p) OVER (PARTITION BY {g} ORDER BY s DESC) AS hit, sum(p) OVER (PARTITION BY {g}) AS ap, sum(n) OVER (PARTITION BY {g}) AS an FROM (SELECT {e}, round(fraud_score, 3) AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY ALL)) GROUP BY ALL)"
+_AUC = "(SELECT {g}, sum((n - p) * (hit - p / 2.0::DOUBLE)) / nullif(max(ap * (an - ap)), 0) AS auc FROM (SELECT *, sum(p) OVER (PARTITION BY {g} ORDER BY s DESC) AS hit, sum(p) OVER (PARTITION BY {g}) AS ap, sum(n) OVER (PARTITION BY {g}) AS an FROM (SELECT {e}, fraud_score AS s, count(*) AS n, sum(is_fraud) AS p FROM scored GROUP BY ALL)) GROUP BY ALL)"
 _VERSION = "'v' || CAST(user_id % 2 AS VARCHAR) AS version"
 
 

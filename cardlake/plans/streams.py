@@ -11,7 +11,7 @@ from cardlake.plans.decisions import _ACTION, drift_alert_table, responses, retr
 from cardlake.plans.queries import _HISTORY, ORACLE, alerts, query, r6
 from cardlake.sources import contracts, records
 from cardlake.sources.tables import transactions
-from cardlake.streaming import jobs, live
+from cardlake.streaming import jobs, live, state
 
 
 def _message(topic: str, key: Column, *body: Column) -> list[Column]:
@@ -138,10 +138,8 @@ def account_snapshots(spark, sf_dir):
     path = records.scratch(spark, "alerts")
     found.repartition(3, "transaction_id").write.parquet(path)
     out = records.scratch(spark, "accounts")
-    jobs.run(live.files(spark, path, found.schema, per_trigger=1), jobs.account_snapshots(f"{out}/rows"), f"{out}/checkpoint")
-    every = spark.read.schema(jobs.ACCOUNTS + ", batch int").parquet(f"{out}/rows")
-    last = every.agg(F.max("batch")).first()[0]
-    return every.filter(F.col("batch") == last).drop("batch")
+    jobs.run(live.files(spark, path, found.schema, per_trigger=1), jobs.account_snapshots(f"{out}/rows", every=2), f"{out}/checkpoint")
+    return jobs.accounts(spark, f"{out}/rows")
 
 
 @query("SELECT 'alert_created' AS event, severity, count(*) AS n FROM alerts WHERE severity <> 'LOW' GROUP BY 2", sql.ALERTS)
@@ -171,12 +169,44 @@ def event_sinks(spark, sf_dir):
 # ---- state and enrichment ----
 
 
+def by_time(df: DataFrame, name: str, parts: int = 3) -> DataFrame:
+    """df (with ts) as a stream of one file a trigger, each of a later range of time; files are taken by their time of change, so that is set in their order."""
+    spark = df.sparkSession
+    path = records.scratch(spark, name)
+    df.repartitionByRange(parts, "ts").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    written = sorted(((s.getPath().getName(), s) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    first = min((s.getModificationTime() for _, s in written), default=0) // 1000 * 1000
+    for i, (_, s) in enumerate(written):
+        fs.setTimes(s.getPath(), first - 1000 * (len(written) - i), -1)
+    return live.files(spark, path, df.schema, per_trigger=1)
+
+
+def _through(stream: DataFrame, processor: state.ByUser) -> DataFrame:
+    """What a processor makes of the whole stream, some triggers."""
+    out = records.scratch(stream.sparkSession, "state")
+    live.run_once(state.by_user(stream, processor), f"{out}/rows", f"{out}/checkpoint")
+    return stream.sparkSession.read.schema(processor.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT transaction_id, total_transactions, round(total_amount, 4) AS total_amount FROM feat", sql.PROFILE)
+def stream_profiles(spark, sf_dir):
+    """Profiles before each transaction, kept by user as state over three triggers."""
+    found = _through(by_time(transactions(spark, sf_dir).select("transaction_id", "user_id", "ts", "amount"), "transactions"), state.Profiles())
+    return found.withColumn("total_amount", F.round("total_amount", 4))
+
+
 @query("SELECT transaction_id, nth, risk_before, risk_after FROM risk", _HISTORY)
 def alert_state_stream(spark, sf_dir):
-    _, stream = stored(alerts(spark, sf_dir).select("transaction_id", "user_id", "ts", "severity"), "alerts")
-    out = records.scratch(spark, "alert-state")
-    live.run_once(jobs.alert_state(stream), f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows")
+    return _through(by_time(alerts(spark, sf_dir).select("transaction_id", "user_id", "ts", "severity"), "alerts"), state.AlertRisk())
+
+
+@query("""SELECT transaction_id, array_to_string(list_reverse(ids)[1:10], ',') AS recent, least(len(ids), 10)::INT AS n_recent FROM (SELECT transaction_id, list(transaction_id) OVER (PARTITION BY user_id, run ORDER BY ts, transaction_id ROWS UNBOUNDED PRECEDING) AS ids FROM (
+       SELECT *, sum(CASE WHEN gap <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, transaction_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, transaction_id)) AS gap FROM alerts)))""", sql.ALERTS)
+def recent_alert_lists(spark, sf_dir):
+    """With each alert its user's last ten, newest first, of a list that ends half an hour after the last."""
+    return _through(by_time(alerts(spark, sf_dir).select("transaction_id", "user_id", "ts"), "alerts"), state.RecentAlerts())
 
 
 _STATUS = sql.ALERTS + ", status AS (SELECT user_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'BLOCKED' ELSE 'ACTIVE' END AS status FROM alerts GROUP BY 1)"

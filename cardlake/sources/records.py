@@ -26,6 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """df, written once in buckets of key (by default as many as a shuffle has partitions), sorted within them: joins and groups by key need no exchange on this side. The table's name is its own."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def csv(spark: SparkSession, path: str, schema: StructType, first: int | None = None) -> DataFrame:
     """A CSV table with a header and typed columns, whole or its first rows; what can't be read as its type is null."""
     rows = spark.read.csv(path, schema=schema, header=True)
