@@ -144,3 +144,9 @@ def as_of(rows: DataFrame, log: DataFrame, since: str, value: str, keys: tuple[s
     on = F.col("_part") == F.col("_p")
     joined = found.join(begins, same(found, begins, list(keys)) & on if keys else on)
     return joined.withColumn(value, F.coalesce("_inside", "_begin")["v"]).select(*rows.columns, value)
+
+
+def hash_code(column: str, codes: int = 1000) -> Column:
+    """A category as a number below codes, from 48 bits of a hash that other engines have too; a missing one is `unknown`."""
+    digest = F.md5(F.coalesce(F.col(column), F.lit("unknown")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(codes)).cast("int")

@@ -10,7 +10,7 @@ from cardlake.operators import alerts as al
 from cardlake.operators import evaluation, experiments, feedback, metrics, rules
 from cardlake.operators import features as ft
 from cardlake.plans import sql
-from cardlake.plans.monitoring import _CONSENSUS, _VARIANT, FEEDBACK, drift_alert_table, given, sides, variant_scorecard
+from cardlake.plans.monitoring import _CONSENSUS, _VARIANT, FEEDBACK, given, sides, variant_scorecard
 from cardlake.plans.queries import _HISTORY, _SIDES, ORACLE, alerts, profiled, query, r6, scored
 from cardlake.sources.tables import transactions
 
@@ -292,13 +292,3 @@ def experiment_report(spark, sf_dir):
 @query("SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 3) AS t FROM (SELECT fraud_score - ml_prediction AS d FROM scored)", sql.SCORED)
 def paired_t_test_of_scores(spark, sf_dir):
     return evaluation.paired_t(scored(spark, sf_dir), "fraud_score", "ml_prediction").select("n", r6("mean").alias("mean"), F.round("t", 3).alias("t"))
-
-
-@query(f"SELECT severity, test, count(*) AS n FROM ({ORACLE['drift_alert_table']}) GROUP BY GROUPING SETS ((severity), (test))", "one AS (SELECT 1)")
-def drift_summary(spark, sf_dir):
-    return drift_alert_table(spark, sf_dir).groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT test, value, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END AS priority FROM ({ORACLE['drift_alert_table']}) WHERE retrain", "one AS (SELECT 1)")
-def retrain_requests(spark, sf_dir):
-    return drift_alert_table(spark, sf_dir).filter("retrain").select("test", "value", F.when(F.col("severity").isin("critical", "high"), "high").otherwise("medium").alias("priority"))

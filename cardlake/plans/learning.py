@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.operators import evaluation, models, rules, search
+from cardlake.operators import evaluation, models, profiles, rules, search
 from cardlake.plans import sql
 from cardlake.plans.decisions import training_batch
 from cardlake.plans.queries import alerts, query, r6, scored
@@ -61,12 +61,26 @@ def detection_results_append(spark, sf_dir):
     return stored.select("transaction_id", F.size("explanation").alias("reasons"), r6(F.col("features")["velocity"]).alias("velocity"), r6("scores.fraud_score").alias("fraud_score"))
 
 
-@query("""SELECT 'numeric' AS section, key, metric, round(value, 5) AS value FROM (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS key, '{m}' AS metric, {f}({c})::DOUBLE AS value FROM txn" for c in ("amount", "k", "addr1") for m, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"), ("count", "count"))) + ")")
+_PROFILED, _NAMED = ("amount", "k", "addr1"), ("product", "p_email", "device")
+
+
+@query("SELECT 'numeric' AS section, key, metric, round(value, 5) AS value FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS key, '{m}' AS metric, {f}({c})::DOUBLE AS value FROM txn" for c in _PROFILED for m, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"), ("count", "count"))) + ") UNION ALL SELECT 'metadata', 'rows', 'count', count(*) FROM txn"
+    + "".join(f" UNION ALL SELECT 'categorical', '{c}', 'missing', count(*) FILTER ({c} IS NULL) FROM txn UNION ALL SELECT 'categorical', '{c}:' || v, 'share', round(n / t::DOUBLE, 5) FROM (SELECT {c} AS v, count(*) AS n, (SELECT count(*) FROM txn) AS t FROM txn WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)" for c in _NAMED)
+    + " UNION ALL SELECT 'time', CAST(hour(ts) AS VARCHAR), 'rate', round(avg(is_fraud), 5) FROM txn GROUP BY 2 UNION ALL SELECT 'time', CAST(hour(ts) AS VARCHAR), 'count', count(*) FROM txn GROUP BY 2")
 def profile_report_sink(spark, sf_dir):
+    """One nested JSON document of all sections, written, read again and laid out in rows."""
     path = records.scratch(spark, "profile")
-    records.profile_report(transactions(spark, sf_dir), ("amount", "k", "addr1")).write.json(path)
-    return spark.read.json(path, schema="section string, key string, metric string, value double").withColumn("value", F.round("value", 5))
+    made = profiles.sections(transactions(spark, sf_dir), _PROFILED, _NAMED, "ts", "is_fraud")
+    made.write.json(path)
+    d = spark.read.schema(made.schema).json(path)
+    row = lambda section, key, metric, value: F.struct(F.lit(section).alias("section"), key.alias("key"), metric.alias("metric"), F.round(value.cast("double"), 5).alias("value"))
+    numeric = F.flatten(F.transform(F.map_entries("numeric"), lambda e: F.transform(F.map_entries(e["value"]), lambda m: row("numeric", e["key"], m["key"], m["value"]))))
+    tops = F.flatten(F.transform(F.map_entries("categorical"), lambda e: F.transform(e["value"]["values"], lambda v: row("categorical", F.concat(e["key"], F.lit(":"), v["value"]), F.lit("share"), v["share"]))))
+    missing = F.transform(F.map_entries("categorical"), lambda e: row("categorical", e["key"], F.lit("missing"), e["value"]["missing"]))
+    hours = F.flatten(F.transform("time.by_hour", lambda h: F.array(row("time", h["hour"].cast("string"), F.lit("rate"), h["rate"]), row("time", h["hour"].cast("string"), F.lit("count"), h["n"]))))
+    rows_ = F.array(row("metadata", F.lit("rows"), F.lit("count"), F.col("metadata.rows")))
+    return d.select(F.inline(F.concat(numeric, tops, missing, hours, rows_)))
 
 
 # ---- models ----

@@ -92,10 +92,12 @@ def safe_numeric_cast(spark, sf_dir):
     return models.aligned(transactions(spark, sf_dir).withColumn("number", text), ("number",)).select("transaction_id", F.col("f_number").alias("number"))
 
 
-@query()
+_CODE = "('0x' || substr(md5(coalesce({c}, 'unknown')), 1, 12))::BIGINT % 1000"
+
+
+@query(f"SELECT transaction_id, product, ({_CODE.format(c='product')})::INT AS product_code, p_email, ({_CODE.format(c='p_email')})::INT AS email_code FROM txn")
 def hash_encode_category(spark, sf_dir):
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit("unknown"))), F.lit(1000)).cast("int")
-    return transactions(spark, sf_dir).select("transaction_id", "product", code("product").alias("product_code"), "p_email", code("p_email").alias("email_code"))
+    return transactions(spark, sf_dir).select("transaction_id", "product", ft.hash_code("product").alias("product_code"), "p_email", ft.hash_code("p_email").alias("email_code"))
 
 
 @query("SELECT transaction_id, amount AS f_amount, CAST(k AS DOUBLE) AS f_k, 0.0::DOUBLE AS f_distance, 0.0::DOUBLE AS f_p_email FROM txn")
@@ -353,11 +355,43 @@ def psi_over_features(spark, sf_dir):
 
 
 
-@query()
-def all_drift_tests(spark, sf_dir):
+_NUMERIC, _CATEGORICAL = ("amount", "k", "addr1"), ("product", "p_email")
+_BIN = lambda f: f"least(CAST(floor(({f} - lo) / ((hi - lo) / 10.0::DOUBLE)) AS INT), 9)"
+#: A chi-square's tail has a closed form for the even numbers of degrees that the two features have.
+_TESTS = _DAILY + _ENDS + ", sides AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END AS ref FROM txn), tot AS (SELECT sum(ref)::DOUBLE AS nr, sum(1 - ref)::DOUBLE AS nc FROM sides)" + "".join(f"""
+, psi_{f} AS (SELECT '{f}' AS feature, sum((c - r) * ln(c / r)) AS v FROM (SELECT greatest(coalesce(r, 0) / nr, 1e-8) AS r, greatest(coalesce(c, 0) / nc, 1e-8) AS c FROM range(10) AS g(b) LEFT JOIN (
+  SELECT {_BIN(f)} AS b, sum(ref)::DOUBLE AS r, sum(1 - ref)::DOUBLE AS c FROM sides, (SELECT min({f}) FILTER (ref = 1) AS lo, max({f}) FILTER (ref = 1) AS hi FROM sides) WHERE {f} BETWEEN lo AND hi GROUP BY 1) USING (b), tot)),
+ks_{f} AS (SELECT '{f}' AS feature, max(abs(r / nr - c / nc)) AS d, any_value(nr) AS n, any_value(nc) AS m FROM (SELECT sum(sum(ref)) OVER (ORDER BY {f}) AS r, sum(sum(1 - ref)) OVER (ORDER BY {f}) AS c FROM sides GROUP BY {f}), tot)""" for f in _NUMERIC) + "".join(f"""
+, cat_{f} AS (SELECT '{f}' AS feature, sum((greatest(q, 1e-8) - greatest(p, 1e-8)) * ln(greatest(q, 1e-8) / greatest(p, 1e-8))) AS psi, sqrt(0.5::DOUBLE * sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END)) AS js,
+  sum((r - n * s) * (r - n * s) / (n * s) + (c - n * (1 - s)) * (c - n * (1 - s)) / (n * (1 - s))) AS chi, count(*) AS k FROM (SELECT r, c, r + c AS n, r / nr AS p, c / nc AS q, nr / (nr + nc) AS s FROM (SELECT sum(ref)::DOUBLE AS r, sum(1 - ref)::DOUBLE AS c FROM sides GROUP BY {f}), tot))""" for f in _CATEGORICAL)
+_KS_P = "CASE WHEN d * d * n * m / (n + m) < 0.04 THEN 1.0::DOUBLE ELSE 2 * list_sum(list_transform(range(1, 101), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0::DOUBLE * i * i * d * d * n * m / (n + m)))) END"
+_TESTS += f""", found AS ({" UNION ALL ".join(f"SELECT 'psi' AS test, 'psi' AS kind, feature, v, v > 0.05 AS is_alert FROM psi_{f} UNION ALL SELECT 'kolmogorov_smirnov', 'feature', feature, d, {_KS_P} < 0.05 FROM ks_{f}" for f in _NUMERIC)}
+  UNION ALL {" UNION ALL ".join(f"SELECT 'psi', 'psi', feature, psi, psi > 0.05 FROM cat_{f} UNION ALL SELECT 'chi_square', 'feature', feature, chi / (2 * k), exp(-chi / 2) * list_sum(list_transform(range(0, (k - 1) // 2), lambda i: pow(chi / 2, i) / gamma(i + 1))) < 0.15 FROM cat_{f} UNION ALL SELECT 'jensen_shannon', 'feature', feature, js, js > 0.1 FROM cat_{f}" for f in _CATEGORICAL)}
+  UNION ALL SELECT 'two_proportions', 'concept', 'is_fraud', abs(d), nc >= 50 AND abs(d) > 0.01 AND {_sql_p("z")} < 0.05 FROM (SELECT pc - pr AS d, (pc - pr) / sqrt(p * (1 - p) * (1 / nr + 1 / nc)) AS z, nc FROM (SELECT sum(ref * is_fraud) / sum(ref)::DOUBLE AS pr, sum((1 - ref) * is_fraud) / sum(1 - ref)::DOUBLE AS pc, avg(is_fraud) AS p, sum(ref)::DOUBLE AS nr, sum(1 - ref)::DOUBLE AS nc FROM sides))
+  UNION ALL SELECT 'head_and_tail', 'performance', 'accuracy', head - tail, head - tail > 0.05 FROM ends),
+judged AS (SELECT test, kind, feature, v AS value, CASE WHEN v >= c THEN 'critical' WHEN v >= b THEN 'high' WHEN v >= a THEN 'medium' ELSE 'low' END AS severity, is_alert, is_alert AND v > again AS retrain
+  FROM found JOIN (VALUES {", ".join(f"('{k}', {x[0]}, {x[1]}, {x[2]}, {y})" for k, (x, y) in drift.LEVELS.items())}) AS l(kind, a, b, c, again) USING (kind))"""
+
+
+def drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test of drift as rows of one table: value, tail where there is one, severity, whether it alerts, confidence, whether to train anew, and advice."""
-    both = sides(spark, sf_dir)
-    return drift.alert_rows(both, metrics.head_tail(daily_metrics(spark, sf_dir), "date", "accuracy"), numeric=("amount", "k", "addr1"), categorical=("product", "p_email"), label="is_fraud")
+    return drift.alert_rows(sides(spark, sf_dir), metrics.head_tail(daily_metrics(spark, sf_dir), "date", "accuracy"), _NUMERIC, _CATEGORICAL, "is_fraud")
+
+
+@query("SELECT test, kind, feature, round(value, 5) AS value, severity, is_alert, retrain FROM judged", _TESTS)
+def all_drift_tests(spark, sf_dir):
+    return drift_table(spark, sf_dir).select("test", "kind", "feature", F.round("value", 5).alias("value"), "severity", "is_alert", "retrain")
+
+
+@query("SELECT severity, test, count(*) AS n FROM judged WHERE is_alert GROUP BY GROUPING SETS ((severity), (test))", _TESTS)
+def drift_summary(spark, sf_dir):
+    """Alerts by severity and by test."""
+    return drift_table(spark, sf_dir).filter("is_alert").groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"))
+
+
+@query("SELECT test, feature, round(value, 5) AS value, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END AS priority FROM judged WHERE retrain", _TESTS)
+def retrain_requests(spark, sf_dir):
+    return drift_table(spark, sf_dir).filter("retrain").select("test", "feature", F.round("value", 5).alias("value"), F.when(F.col("severity").isin("critical", "high"), "high").otherwise("medium").alias("priority"))
 
 
 # ---- experiments ----

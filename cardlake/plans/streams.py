@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.operators import experiments
 from cardlake.plans import sql
-from cardlake.plans.decisions import _ACTION, drift_alert_table, responses, retrain_requests
-from cardlake.plans.queries import _HISTORY, ORACLE, alerts, query, r6
+from cardlake.plans.decisions import _ACTION, responses
+from cardlake.plans.monitoring import bucket_sql
+from cardlake.plans.queries import _HISTORY, alerts, query, r6
+from cardlake.plans.reports import _TESTS, drift_table, retrain_requests
 from cardlake.sources import contracts, records
 from cardlake.sources.tables import transactions
+from cardlake.sources.versions import Table
 from cardlake.streaming import jobs, live, state
 
 
@@ -81,18 +86,24 @@ def alert_stream_source(spark, sf_dir):
     return jobs.read_batches(spark, rows, v.schema).select("alert_id", "user_id", "severity", "fraud_score", r6("transaction_details.amount").alias("amount"))
 
 
-@query("""SELECT 'transactions' AS topic, count(*) AS n, count(DISTINCT user_id) AS users FROM txn UNION ALL SELECT 'alerts', count(*), count(DISTINCT user_id) FROM alerts
-       UNION ALL SELECT 'responses', count(*), count(DISTINCT user_id) FROM alerts UNION ALL SELECT 'audit', count(*), count(DISTINCT user_id) FROM alerts""", sql.ALERTS)
+_ID = {"transactions": "transaction_id", "alerts": "alert_id", "responses": "transaction_id", "audit": "entity_id"}
+_FIELD = {"transactions": "amount", "alerts": "severity", "responses": "action", "audit": "event"}
+
+
+@query("""SELECT 'transactions' AS topic, CAST(user_id AS VARCHAR) AS key, CAST(transaction_id AS VARCHAR) AS id, CAST(round(amount, 2) AS DECIMAL(18, 2))::VARCHAR AS field FROM txn UNION ALL SELECT 'alerts', CAST(user_id AS VARCHAR), 'alert_' || transaction_id, severity FROM alerts
+       UNION ALL SELECT 'responses', CAST(user_id AS VARCHAR), CAST(transaction_id AS VARCHAR), action FROM acted UNION ALL SELECT 'audit', CAST(user_id AS VARCHAR), CAST(transaction_id AS VARCHAR), 'alert_created' FROM alerts""", _ACTION)
 def multi_topic_routing(spark, sf_dir):
-    """Four topics in one stream, by micro-batches of a bounded number of files, each topic to a table of its own."""
+    """Four topics in one stream, by micro-batches of a bounded number of files, each topic to a table of its own, whose messages are read again."""
     found = records.stored(alerts(spark, sf_dir), "alerts")
     every = transaction_messages(transactions(spark, sf_dir)).unionByName(alert_messages(found)).unionByName(audit_messages(found)).unionByName(response_messages(responses(spark, sf_dir)))
     stream, out = jobs.messages(spark, published(every, "topics"), files_per_trigger=4), records.scratch(spark, "topics")
-    topics = ("transactions", "alerts", "responses", "audit")
-    worked_off(stream, jobs.routed({t: lambda b: b for t in topics}, out), out)
-    tables = [jobs.read_batches(spark, f"{out}/{t}", jobs.MESSAGE) for t in topics]
-    by = [t.groupBy("topic").agg(F.count("*").alias("n"), F.countDistinct("key").alias("users")) for t in tables]
-    return by[0].unionByName(by[1]).unionByName(by[2]).unionByName(by[3])
+    worked_off(stream, jobs.routed({t: lambda b: b for t in _ID}, out), out)
+    parts = []
+    for t, name in _ID.items():
+        field = F.get_json_object("value", f"$.{_FIELD[t]}")
+        field = field.cast("double").cast("decimal(18, 2)").cast("string") if t == "transactions" else field
+        parts.append(jobs.read_batches(spark, f"{out}/{t}", jobs.MESSAGE).select("topic", "key", F.get_json_object("value", f"$.{name}").alias("id"), field.alias("field")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- sinks ----
@@ -108,6 +119,22 @@ def metrics_sink(spark, sf_dir):
     return jobs.read_batches(spark, f"{out}/metrics", jobs.METRICS).agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"))
 
 
+_HOURLY = """, hourly AS (SELECT epoch(date_trunc('hour', ts))::BIGINT // 3600 AS batch, count(*) AS rows, count(*) FILTER (WHERE product = 'error') AS bad, max(amount) AS ms, count(*) FILTER (WHERE k < 6) AS lag FROM txn GROUP BY 1),
+bads AS (SELECT batch, 'lag' AS alarm, lag > 4 AS is_bad FROM hourly UNION ALL SELECT batch, 'error_rate', bad > 0.2::DOUBLE * rows FROM hourly UNION ALL SELECT batch, 'throughput', rows * 1000 < 100.0::DOUBLE * ms FROM hourly),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY alarm ORDER BY batch) AS i FROM bads),
+steps AS (SELECT alarm, batch, i, is_bad, 1 AS streak, false AS raised, false AS turned FROM numbered WHERE i = 1
+  UNION ALL SELECT n.alarm, n.batch, n.i, n.is_bad, CASE WHEN n.is_bad = s.is_bad THEN s.streak + 1 ELSE 1 END, CASE WHEN n.is_bad = s.is_bad AND s.streak + 1 >= 3 THEN n.is_bad ELSE s.raised END, n.is_bad = s.is_bad AND s.streak + 1 >= 3 AND n.is_bad <> s.raised
+  FROM steps AS s JOIN numbered AS n ON n.alarm = s.alarm AND n.i = s.i + 1)"""
+
+
+@query("SELECT batch, alarm, is_bad, raised, turned FROM steps", "RECURSIVE " + sql.TXN + _HOURLY)
+def alarms_with_hysteresis(spark, sf_dir):
+    """Hours stand for triggers: their errors are bad rows, the largest amount the milliseconds; three bad ones on end raise an alarm and three good ones clear it."""
+    hour = F.floor(F.unix_seconds(F.date_trunc("hour", "ts")) / 3600)
+    by = transactions(spark, sf_dir).groupBy(hour.alias("batch")).agg(F.count("*").alias("rows"), F.count_if(F.col("product") == "error").alias("bad"), F.max("amount").alias("milliseconds"), F.count_if(F.col("k") < 6).alias("lag"))
+    return jobs.alarm_states(by, {"lag": 4.0, "error_rate": 0.2, "throughput": 100.0})
+
+
 @query("SELECT transaction_id, user_id, action FROM acted", _ACTION)
 def response_sink(spark, sf_dir):
     path, stream = stored(responses(spark, sf_dir).select("transaction_id", "user_id", "action", "action_confidence"), "responses")
@@ -116,19 +143,19 @@ def response_sink(spark, sf_dir):
     return jobs.read_batches(spark, rows, jobs.MESSAGE).select(F.col("key").cast("long").alias("user_id"), body.alias("v")).select("v.transaction_id", "user_id", "v.action")
 
 
-@query("""SELECT 'analytics' AS sink, count(*) AS n FROM alerts UNION ALL SELECT 'alerts', count(*) FILTER (WHERE severity <> 'LOW') FROM alerts
-       UNION ALL SELECT 'audit', count(*) FILTER (WHERE severity <> 'LOW') FROM alerts UNION ALL SELECT 'accounts', sum(total)::BIGINT FROM (SELECT count(*) AS total FROM alerts WHERE severity <> 'LOW' GROUP BY user_id)""", sql.ALERTS)
+@query("""SELECT 'analytics' AS sink, transaction_id AS id, severity AS field FROM alerts UNION ALL SELECT 'alerts', transaction_id, severity FROM alerts WHERE severity <> 'LOW'
+       UNION ALL SELECT 'audit', transaction_id, severity FROM alerts WHERE severity <> 'LOW' UNION ALL SELECT 'accounts', user_id, CAST(count(*) AS VARCHAR) FROM alerts WHERE severity <> 'LOW' GROUP BY user_id""", sql.ALERTS)
 def severity_routed_sinks(spark, sf_dir):
+    """What each sink holds: alerts by id and severity, audit rows by theirs, accounts by their number of alerts."""
     found = alerts(spark, sf_dir).select("transaction_id", "user_id", "ts", "severity", "fraud_score", "amount")
     _, stream = stored(found, "alerts")
     out = records.scratch(spark, "routed")
     worked_off(stream, jobs.by_severity(out), out)
-    count = lambda name, schema, n: jobs.read_batches(spark, f"{out}/{name}", schema).agg(F.coalesce(n, F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("sink"), "n")
-    one = F.count("*")
-    return (
-        count("analytics", found.schema, one).unionByName(count("alerts", found.schema, one))
-        .unionByName(count("audit", "event string, user_id long", one)).unionByName(count("accounts", jobs.ACCOUNTS, F.sum("total_alerts")))
-    )
+    held = lambda name, schema, key, field: jobs.read_batches(spark, f"{out}/{name}", schema).select(F.lit(name).alias("sink"), F.col(key).cast("long").alias("id"), field.alias("field"))
+    told = [held(n, found.schema, "transaction_id", F.col("severity")) for n in ("analytics", "alerts")]
+    audit = held("audit", "entity_id string, details string", "entity_id", F.get_json_object("details", "$.severity"))
+    totals = held("accounts", jobs.ACCOUNTS, "user_id", F.col("total_alerts")).groupBy("sink", "id").agg(F.sum("field").cast("string").alias("field"))
+    return reduce(DataFrame.unionByName, [*told, audit, totals])
 
 
 @query("SELECT user_id, count(*) AS total_alerts, count(*) FILTER (WHERE severity IN ('HIGH', 'CRITICAL')) AS high_alerts, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'BLOCKED' ELSE 'ACTIVE' END AS status FROM alerts GROUP BY user_id", sql.ALERTS)
@@ -142,28 +169,28 @@ def account_snapshots(spark, sf_dir):
     return jobs.accounts(spark, f"{out}/rows")
 
 
-@query("SELECT 'alert_created' AS event, severity, count(*) AS n FROM alerts WHERE severity <> 'LOW' GROUP BY 2", sql.ALERTS)
+@query("SELECT 'alert_created' AS event, CAST(transaction_id AS VARCHAR) AS entity_id, user_id, ts AS at, severity, round(fraud_score, 5) AS fraud_score FROM alerts WHERE severity <> 'LOW'", sql.ALERTS)
 def audit_append(spark, sf_dir):
     found = alerts(spark, sf_dir).filter("severity <> 'LOW'").select("transaction_id", "user_id", "ts", "severity", "fraud_score")
     _, stream = stored(found, "alerts")
     rows = worked_off(jobs.audit_of(stream), None, records.scratch(spark, "audit"))
-    log = jobs.read_batches(spark, rows, "event string, details string")
-    return log.groupBy("event", F.get_json_object("details", "$.severity").alias("severity")).agg(F.count("*").alias("n"))
+    log = jobs.read_batches(spark, rows, "event string, entity_id string, user_id long, at timestamp, details string")
+    score = F.round(F.get_json_object("details", "$.fraud_score").cast("double"), 5)
+    return log.select("event", "entity_id", "user_id", F.col("at").cast("timestamp_ntz").alias("at"), F.get_json_object("details", "$.severity").alias("severity"), score.alias("fraud_score"))
 
 
-@query(f"""SELECT 'drift_alert' AS event, count(*) AS n FROM ({ORACLE['drift_alert_table']}) UNION ALL SELECT 'retrain_request', count(*) FROM ({ORACLE['retrain_requests']})
-       UNION ALL SELECT 'assignment', count(DISTINCT user_id) FROM txn""")
+@query("""SELECT 'drift_alert' AS event, test || ':' || feature AS subject, severity AS field FROM judged WHERE is_alert UNION ALL SELECT 'retrain_request', test || ':' || feature, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END FROM judged WHERE retrain
+       UNION ALL SELECT 'assignment', CAST(user_id AS VARCHAR), CAST(b AS VARCHAR) FROM """ + bucket_sql("exp_1"), _TESTS)
 def event_sinks(spark, sf_dir):
-    """Drift alerts, retrain requests and assignments, appended to one table of events."""
-    path = records.scratch(spark, "events")
+    """Drift alerts, retrain requests and assignments, appended as versions of one table of events."""
+    table = Table(spark, records.scratch(spark, "events"), "event string, body string")
     users = transactions(spark, sf_dir).select("user_id").distinct()
-    bucket = experiments.bucket(F.col("user_id"), "exp_1")
-    parts = {"drift_alert": drift_alert_table(spark, sf_dir), "retrain_request": retrain_requests(spark, sf_dir), "assignment": users.select("user_id", bucket.alias("bucket"))}
+    parts = {"drift_alert": drift_table(spark, sf_dir).filter("is_alert"), "retrain_request": retrain_requests(spark, sf_dir), "assignment": users.select("user_id", experiments.bucket(F.col("user_id"), "exp_1").alias("bucket"))}
     for event, df in parts.items():
-        df.select(F.lit(event).alias("event"), F.to_json(F.struct(*df.columns)).alias("body")).write.mode("append").parquet(path)
-    seen = spark.read.schema("event string, body string").parquet(path).groupBy("event").agg(F.count("*").alias("n"))
-    kinds = spark.createDataFrame([(e,) for e in parts], "event string")
-    return kinds.join(seen, "event", "left").select("event", F.coalesce("n", F.lit(0)).alias("n"))
+        table.append(df.select(F.lit(event).alias("event"), F.to_json(F.struct(*df.columns)).alias("body")), event)
+    body = lambda c: F.get_json_object("body", f"$.{c}")
+    subject = F.coalesce(body("user_id"), F.concat(body("test"), F.lit(":"), body("feature")))
+    return table.read().select("event", subject.alias("subject"), F.coalesce(body("bucket"), body("priority"), body("severity")).alias("field"))
 
 
 # ---- state and enrichment ----

@@ -75,11 +75,3 @@ def detection_result(scored: DataFrame, features: tuple[str, ...]) -> DataFrame:
     flags = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("is_high_amount", "is_unusual_hour", "is_rapid")]))
     values = F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.col(c).cast("double") for c in features]))
     return scored.select("transaction_id", "user_id", "ts", F.struct("fraud_score", "ml_prediction").alias("scores"), flags.alias("explanation"), values.alias("features"))
-
-
-def profile_report(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """section, key, metric and value of a table's numeric columns, from one aggregate."""
-    metrics = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
-    one = df.agg(*[f(c).cast("double").alias(f"{c}:{m}") for c in columns for m, f in metrics.items()])
-    rows = [F.struct(F.lit("numeric").alias("section"), F.lit(c).alias("key"), F.lit(m).alias("metric"), F.col(f"`{c}:{m}`").alias("value")) for c in columns for m in metrics]
-    return one.select(F.inline(F.array(*rows)))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from cardlake.operators import models
 from cardlake.operators.features import as_of
@@ -206,12 +207,31 @@ def alarms(metrics: DataFrame, most_errors: float = 0.01, least_per_second: floa
     return metrics.filter("rows > 0").select("batch", F.explode(found).alias("alarm"))
 
 
+#: What the listener tells of a trigger. LIMITS: lag, share of bad rows, rows a second.
+PROGRESS = "query string, batch long, rows long, bad long, milliseconds double, late long, lag long"
+LIMITS = {"lag": 10_000.0, "error_rate": 0.01, "throughput": 1000.0}
+
+
+def alarm_states(metrics: DataFrame, limits: dict[str, float] | None = None, after: int = 3) -> DataFrame:
+    """batch, alarm, is_bad, raised and turned (raised or cleared just then) for each trigger with rows and alarm. An alarm is raised after so many bad triggers on end and cleared after so many good ones.
+
+    metrics: batch, rows, bad, milliseconds and lag; a row a trigger, so that windows hold triggers and not data.
+    """
+    most = LIMITS | (limits or {})
+    bad = {"lag": F.col("lag") > most["lag"], "error_rate": F.col("bad") > most["error_rate"] * F.col("rows"), "throughput": F.col("rows") * 1000 < most["throughput"] * F.col("milliseconds")}
+    long = metrics.filter("rows > 0").select("batch", F.inline(F.array(*[F.struct(F.lit(n).alias("alarm"), F.coalesce(c, F.lit(False)).alias("is_bad")) for n, c in bad.items()])))
+    w = Window.partitionBy("alarm").orderBy("batch")
+    run = long.withColumn("_new", F.coalesce((F.col("is_bad") != F.lag("is_bad").over(w)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
+    nth = run.withColumn("_nth", F.row_number().over(Window.partitionBy("alarm", "_run").orderBy("batch")))
+    state = nth.withColumn("raised", F.coalesce(F.last(F.when(F.col("_nth") >= after, F.col("is_bad")), True).over(w), F.lit(False)))
+    return state.select("batch", "alarm", "is_bad", "raised", (F.col("raised") != F.coalesce(F.lag("raised").over(w), F.lit(False))).alias("turned"))
+
+
 class Progress(StreamingQueryListener):
-    """Keeps each trigger's rows, rate, rows that came too late and, where the source tells, the lag; tells of lag over a limit."""
+    """Keeps what each trigger tells and appends it to a table of PROGRESS, once a trigger, when flush() is called. counted: a query's observed count of bad rows, as name and column."""
 
-    def __init__(self, most_lag: int = 10_000, tell: Callable[[str], None] = print) -> None:
-        self.seen: list[dict] = []
-        self.most_lag, self.tell = most_lag, tell
+    def __init__(self, table: Table | None = None, counted: tuple[str, str] = ("quality", "bad")) -> None:
+        self.table, self.counted, self.seen, self._told = table, counted, [], 0
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -220,9 +240,17 @@ class Progress(StreamingQueryListener):
         p = event.progress
         lag = max((int(float(s.metrics.get("maxOffsetsBehindLatest", 0))) for s in p.sources), default=0)
         late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
-        self.seen.append({"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "late": late, "lag": lag})
-        if lag > self.most_lag:
-            self.tell(f"batch {p.batchId} is {lag} messages behind")
+        found = p.observedMetrics.get(self.counted[0])
+        bad = int(found[self.counted[1]] or 0) if found is not None else 0
+        self.seen.append({"query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "bad": bad, "milliseconds": float(p.batchDuration), "late": late, "lag": lag})
+
+    def flush(self) -> None:
+        """Appends what the table lacks."""
+        new, self._told = self.seen[self._told :], len(self.seen)
+        if new and self.table:
+            names = [f.split()[0] for f in PROGRESS.split(", ")]
+            rows = self.table.spark.createDataFrame([tuple(x[n] for n in names) for x in new], PROGRESS)
+            self.table.append(rows, f"{new[0]['query']}:{new[0]['batch']}-{new[-1]['batch']}")
 
     def onQueryTerminated(self, event) -> None:
         pass

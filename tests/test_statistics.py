@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardlake.operators import alerts, drift, evaluation, features, stats
+from cardlake.operators import alerts, drift, evaluation, features, profiles, stats
 from cardlake.operators.quantiles import quantiles, running_sum
 from cardlake.plans import learning, reports
 from cardlake.sources import contracts, records
@@ -69,7 +69,7 @@ def test_chi_square_with_correction(spark):
 
 
 def test_drift_rows(spark):
-    out = reports.all_drift_tests(spark, DIR).collect()
+    out = reports.drift_table(spark, DIR).collect()
     assert collections.Counter(r.test for r in out) == {"psi": 5, "kolmogorov_smirnov": 3, "chi_square": 2, "jensen_shannon": 2, "two_proportions": 1, "head_and_tail": 1}
     assert all(0 <= r.confidence <= 1 and r.severity in ("low", "medium", "high", "critical") and len(r.advice) == 2 for r in out)
     assert all(0 <= r.p <= 1 for r in reports.chi_square_test(spark, DIR).collect())
@@ -158,3 +158,15 @@ def test_join_of_bucketed_tables_has_no_exchange(spark):
     assert joined.count() == 1000
     joined.collect()
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("tracked", [8192, 16])
+def test_top_values_are_exact(spark, tracked):
+    """With a sketch too small to settle the columns they are counted in full."""
+    r = np.random.default_rng(8)
+    rows = [(str(int(x)), "ab"[int(x) % 2] if x % 5 else None) for x in r.zipf(1.3, 3000) % 700]
+    df = spark.createDataFrame(rows, "many string, few string")
+    got = {(x["key"], x["value"]): (x["n"], x["rank"]) for x in profiles.top_values(df, ("many", "few"), 5, tracked, 64).collect()}
+    for i, key in enumerate(("many", "few")):
+        counts = sorted(collections.Counter(x[i] for x in rows if x[i] is not None).items(), key=lambda c: (-c[1], c[0]))[:5]
+        assert {(k, v): n for (k, v), n in got.items() if k == key} == {(key, v): (n, j + 1) for j, (v, n) in enumerate(counts)}

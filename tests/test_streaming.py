@@ -106,3 +106,43 @@ def test_alarms(spark):
 
     m = spark.createDataFrame([(0, 1000, 5, 10.0), (1, 1000, 50, 10.0), (2, 1000, 0, 5000.0), (3, 0, 0, 10.0)], jobs.METRICS)
     assert sorted(map(tuple, jobs.alarms(m).collect())) == [(1, "error_rate"), (2, "throughput")]
+
+
+def test_alarms_of_a_running_stream(spark, tmp_path):
+    """Three bad triggers raise an alarm, three good ones clear it; what the listener saw stands in a table, once."""
+    import os
+    import time
+
+    from cardlake.sources.versions import Table
+    from cardlake.streaming import jobs
+
+    plan = [(1, True)] * 3 + [(4000, False), (1, True), (4000, False), (4000, False), (4000, False)]  # rows and whether they are bad
+    (tmp_path / "in").mkdir()
+    for k, (n, bad) in enumerate(plan):
+        spark.range(n).select("id", F.lit(bad).alias("bad")).coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        for f in (tmp_path / f"w{k}").glob("part-*"):
+            f.rename(tmp_path / "in" / f"{k}-{f.name}")
+            os.utime(tmp_path / "in" / f"{k}-{f.name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    seen = jobs.Progress(Table(spark, str(tmp_path / "progress"), jobs.PROGRESS))
+    spark.streams.addListener(seen)
+    try:
+        stream = live.files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, per_trigger=1).observe("quality", F.count_if("bad").alias("bad"))
+        jobs.run(stream, lambda b, n: b.write.format("noop").mode("overwrite").save(), str(tmp_path / "checkpoint"))
+        for _ in range(100):
+            if sum(x["rows"] for x in seen.seen) == sum(n for n, _ in plan):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    seen.flush()
+    seen.flush()
+    table = seen.table.read()
+    assert [r["bad"] for r in table.filter("rows > 0").orderBy("batch").collect()] == [n * bad for n, bad in plan]
+    got = {a: [r for r in jobs.alarm_states(table, {"throughput": 50.0}).orderBy("batch").collect() if r["alarm"] == a] for a in jobs.LIMITS}
+    for a in ("error_rate", "throughput"):
+        assert [r["is_bad"] for r in got[a]] == [True] * 3 + [False, True] + [False] * 3
+        assert [r["raised"] for r in got[a]] == [False, False] + [True] * 5 + [False]
+        assert [r["batch"] for r in got[a] if r["turned"]] == [2, 7]
+    assert not any(r["raised"] for r in got["lag"])
+    lagging = table.withColumn("lag", F.when(F.col("batch") < 4, 20_000).otherwise(0))
+    assert [r["batch"] for r in jobs.alarm_states(lagging).filter("alarm = 'lag' and turned").orderBy("batch").collect()] == [2, 6]
