@@ -2,14 +2,15 @@
 
 Kernel: two strings (with a sign before and after) are alike as far as they share subsequences of three signs, each weighted by DECAY to the length it spans, normalised to 1. So gaps and
 inserted characters lower the similarity of an insult to itself only a little. A token's form is its lower-cased letters, so signs put between
-them vanish; runs of single letters count as one token as well. Long forms are compared by overlapping parts of LONGEST letters.
+them vanish; runs of single letters count as one token as well. Long forms are compared by overlapping parts of LONGEST letters, the
+worst of which counts: a subsequence over more than LONGEST / 2 + 1 letters (at most 1 % of a short one's weight) may be in no part. Letters other than a-z share SIGNS - 28 signs by code point.
 
 A sentence is the set of its tokens. It is as toxic as its worst token, and a text as its worst sentence. Landmarks are tokens: half of them those that occur far more in toxic texts,
 half the most frequent ones of clean texts, counted over all learned rows; they span the space that the machine works in, and a machine that tells the two halves apart is the start.
 Then the machine is trained on the sentences of a hashed sample of learned rows (TOXIC_ROWS and CLEAN_ROWS of them in expectation), labelled as their text. As only some sentence of a toxic text need be
 toxic, ROUNDS times the machine names each toxic text's worst sentence and its worst token, and each clean sentence's worst token, and a squared-hinge machine is trained on those (of toxic texts also in forms
 with a letter inserted or doubled), clean ones of all rounds together. Worst tokens are found in the tasks that read the sample; the driver gets
-the WORST worst ones of either label with their counts. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
+the distinct ones with their counts, at most one for each toxic text and each clean sentence of the sampled rows, and fits in blocks of them. Since the kernel is a product of subsequence counts, the trained machine is one weight per subsequence,
 so a token costs its subsequences once, not once per landmark. A logistic curve over a hashed share of the learned texts, CALIBRATION in expectation, turns the worst tokens' margins into a score.
 
 Defined cases: a null or empty text, or one without letters, gets the score of a text whose tokens are all harmless. A null doc_id counts as an empty id. Without both labels
@@ -36,7 +37,7 @@ from cardlake.llm.common import BLANKS, crc_of_id, cut, text_slices
 
 DECAY, ORDER = 0.6, 3
 LANDMARKS, CALIBRATION = 400, 20_000
-TOXIC_ROWS, CLEAN_ROWS, WORST, ROUNDS, RIDGE = 2000, 2000, 3000, 4, 1e-4
+TOXIC_ROWS, CLEAN_ROWS, ROUNDS, RIDGE = 2000, 2000, 4, 1e-4
 LONGEST, SIGNS = 14, 64
 _SPACED = re.compile(r"(?<!\S)\w(?:[^\w\s]*\s+[^\w\s]*\w){2,}(?!\w)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -199,7 +200,7 @@ class Basis:
                 k = len(codes)
                 dense = np.bincount((np.arange(k)[:, None] * n + self.index[codes]).ravel(), w.ravel(), minlength=k * n).reshape(k, n)
                 self.known.update(zip(some[low : low + 500], dense.astype(np.float32) @ self.rows, strict=True))
-        return np.array([self.known[w] for w in words], float).reshape(len(words), self.rows.shape[1])
+        return np.array([self.known[w] for w in words], np.float32).reshape(len(words), self.rows.shape[1])
 
     def weights(self, w: np.ndarray) -> np.ndarray:
         """One weight per subsequence of a linear function of the features."""
@@ -208,15 +209,21 @@ class Basis:
         return out
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The machine's weights, the last for x's column of ones, by Newton steps on the rows inside the margin."""
-    ridge = np.full(x.shape[1], RIDGE)
+def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The machine's weights, the last for a column of ones, by Newton steps on the rows inside the margin; rows are taken in blocks."""
+    n = x.shape[1] + 1
+    ridge = np.full(n, RIDGE)
     ridge[-1] = 1e-9
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        a = x[inside] * share[inside, None]
-        new = np.linalg.solve(a.T @ x[inside] + np.diag(ridge), a.T @ y[inside])
+        left, right = np.diag(ridge), np.zeros(n)
+        for i in range(0, len(x), block):
+            b = np.hstack([x[i : i + block].astype(float), np.ones((len(x[i : i + block]), 1))])
+            inside = y[i : i + block] * (b @ w) < 1
+            b, s = b[inside], share[i : i + block][inside]
+            left += (b * s[:, None]).T @ b
+            right += (b * s[:, None]).T @ y[i : i + block][inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -231,7 +238,7 @@ def train_on_worst(basis: Basis, bad: dict[str, int], good: dict[str, int]) -> t
     share = np.array([*bad.values(), *[n for _, n in more], *good.values()], float)
     for side in (y > 0, y < 0):
         share[side] *= 0.5 / share[side].sum()
-    w = squared_hinge(np.hstack([basis(words), np.ones((len(words), 1))]), y, share)
+    w = squared_hinge(basis(words), y, share)
     return basis.weights(w[:-1]), float(w[-1])
 
 
@@ -309,7 +316,7 @@ def _sentences(sample: DataFrame) -> DataFrame:
 
 
 def _worst_tokens(bags: DataFrame, weights: np.ndarray, bias: float) -> tuple[dict[str, int], dict[str, int]]:
-    """The worst token of each toxic text and of each clean sentence (the first of equal ones), with the number of those; of either label the WORST with the largest margins."""
+    """The worst token of each toxic text and of each clean sentence (the first of equal ones), with the number of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
@@ -319,12 +326,11 @@ def _worst_tokens(bags: DataFrame, weights: np.ndarray, bias: float) -> tuple[di
             starts = np.cumsum(lengths) - lengths
             best = np.maximum.reduceat(margin, starts)
             first = np.minimum.reduceat(np.where(margin == np.repeat(best, lengths), np.arange(len(margin)), len(margin)), starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), words.take(pa.array(first)).dictionary_decode(), pa.array(best)], ["toxic", "w", "margin"])
+            yield pa.RecordBatch.from_arrays([b.column(0), words.take(pa.array(first)).dictionary_decode()], ["toxic", "w"])
 
-    found = bags.mapInArrow(run, "toxic long, w string, margin double")
-    by = cut(found.groupBy("toxic", "w").agg(F.count("*").alias("n"), F.max("margin").alias("margin")), "worst-tokens")
-    most = lambda y: {r["w"]: r["n"] for r in by.filter(F.col("toxic") == y).orderBy(F.desc("margin"), "w").limit(WORST).collect()}
-    return most(1), most(0)
+    found = bags.mapInArrow(run, "toxic long, w string").groupBy("toxic", "w").agg(F.count("*").alias("n")).orderBy("toxic", "w").collect()
+    of = lambda y: {r["w"]: r["n"] for r in found if r["toxic"] == y}
+    return of(1), of(0)
 
 
 def learn(docs: DataFrame) -> Model:
