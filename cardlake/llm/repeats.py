@@ -5,9 +5,9 @@ equal places, so only strings with the same anchor can be equal. The starts of a
 number of copies; a segment with copies repeats as a whole, one whose anchor no other has repeats nowhere, and the others, of all texts, are the collection.
 
 Column-wise construction (`shared_starts`). The suffixes of all segments are sorted without comparing them: round t inserts, for every segment of t or more bytes, the symbol before its suffix of t - 1
-bytes. One pass over the transform in its order gives the new suffixes' places (its symbols, stably sorted, are the places of all suffixes but the empty ones) and one over the common prefixes, by
-least values between equal symbols, the new ones. A start repeats if its suffix shares `length` bytes with a neighbour. A task streams its anchors' segments in order and works on a bounded batch
-of about BATCH bytes, whole anchors together; the transform and the prefixes of a batch are arrays that are rewritten front to back each round, not files, as a batch is a few megabytes.
+bytes. Suffixes of one first symbol are in the order of what follows it, so a new one's place comes from the places of its symbol in the transform, and its common prefixes from the least values
+between two of them. A start repeats if its suffix shares `length` bytes with a neighbour. A task streams its anchors' segments in order and works on a bounded batch
+of about BATCH bytes, whole anchors together; the transform and the prefixes of a batch are arrays that are rewritten front to back each round, not files, as a batch is below a megabyte.
 
 Hot anchors (more than LIMIT different segments, as where a passage that many texts hold ends in each another way) are halved: by the starts' distance from the anchor, each half meeting by a hash of all bytes that its
 strings share, until a group is small; at distance one the strings of a group are equal. So no group is unbounded and no case is left out.
@@ -35,8 +35,8 @@ from cardlake.llm.common import cut, release, scratch, text_slices
 
 LENGTH, WINDOW = 400, 192
 #: Bytes that a task looks for anchors in at once, bytes of a batch, most different segments of an anchor that are not halved, most bits of the bitmap.
-PIECE, BATCH, LIMIT, BITS = 500_000, 1 << 20, 1024, 1 << 30
-_PLACE = (1 << 20) - 1
+PIECE, BATCH, LIMIT, BITS = 500_000, 1 << 17, 512, 1 << 30
+_PLACE, _LOW = (1 << 20) - 1, (1 << 32) - 1
 _ODD = 0x9E3779B97F4A7C15
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 SEGMENT = "r binary, m long, key long, mark binary, start long, starts int, lead int"
@@ -140,53 +140,50 @@ def shared_starts(strings: list[bytes], starts: np.ndarray, length: int) -> list
     used = np.unique(joined)
     code[used] = np.arange(1, len(used) + 1)  # UTF-8 never has all 256 values, so 0 is free for the end
     symbols = code[joined]
-    last = symbols[base + sizes - 1]
-    bwt, lcp = last.copy(), np.zeros(m + 1, np.int16)
+    bwt, lcp = symbols[base + sizes - 1], np.zeros(m + 1, np.int16)
+    # of each suffix but the empty ones, in order: its first symbol and, in the lower 32 bits, the place of what follows it; and how many there are of each first symbol
+    tail, count = np.zeros(0, np.int64), np.zeros(257, np.int64)
     # places of the latest suffixes of the strings that go on, in order, and which these strings are
-    places, which = np.arange(m), np.arange(m)
-    full = np.zeros(m, np.int64)
+    places, which, full = np.arange(m), np.arange(m), np.zeros(m, np.int64)
     for t in range(1, int(sizes.max()) + 1):
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        ended = n - np.count_nonzero(bwt)
-        going = np.zeros(n, bool)
-        going[places] = True
-        k = np.flatnonzero(going[order])  # the new suffixes, in their order
-        old = order[k]
-        which = which[np.searchsorted(places, old)]
-        new = k - ended + m
-        # common prefixes with the one before, of new suffixes and of those after them
-        touched = np.union1d(k, k[k + 1 < n] + 1)
-        touched = touched[touched > ended]
-        at, before = order[touched], order[touched - 1]
-        same = bwt[at] == bwt[before]
-        value = np.zeros(len(touched), np.int16)
-        if same.any():
-            value[same] = np.minimum.reduceat(lcp, np.column_stack([before[same] + 1, at[same] + 1]).ravel())[::2] + 1
-        fresh = np.zeros(n + len(k), bool)
-        fresh[new] = True
-        rest = ~fresh
+        n, new = len(bwt), len(places)
+        by = np.argsort(bwt[places], kind="stable")
+        first, old, which = bwt[places][by], places[by], which[by]
+        own = first.astype(np.int64) << 32 | old
+        k = tail.searchsorted(own)
+        at = k + np.arange(new)  # of the new suffixes, among those but the empty ones
+        fresh = np.zeros(n + new + 1, bool)
+        fresh[m + at] = True
+        rest = ~fresh[:-1]
+        merged = np.empty(len(tail) + new, np.int64)
+        merged[rest[m:]], merged[at] = tail, own
+        count += np.bincount(first, minlength=257)
+        begin = np.cumsum(count) - count
+        # common prefixes with the one before, of new suffixes and of old ones after them, by the least of those between what follows their first symbols
+        touched = np.concatenate([at[at > begin[first]], at[(at + 1 < begin[first] + count[first]) & ~fresh[m + at + 1]] + 1])
+        touched = touched[np.argsort(-(merged[touched - 1] & _LOW))]  # from the right, so that nothing between two ranges is looked at
+        grown_lcp = np.zeros(n + new + 1, np.int16)
+        grown_lcp[:-1][rest] = lcp[:-1]
+        if len(touched):
+            grown_lcp[m + touched] = np.minimum.reduceat(lcp, np.column_stack([merged[touched - 1] + 1 & _LOW, merged[touched] + 1 & _LOW]).ravel())[::2] + 1
         done = sizes[which] == t
-        grown = np.empty(n + len(k), np.uint8)
+        grown = np.empty(n + new, np.uint8)
         grown[rest] = bwt
-        grown[new] = np.where(done, 0, symbols[base[which] + np.maximum(sizes[which] - t - 1, 0)])
-        grown_lcp = np.zeros(n + len(k) + 1, np.int16)
-        grown_lcp[:-1][rest] = lcp[:-1]
-        grown_lcp[touched - ended + m] = value
+        grown[m + at] = np.where(done, 0, symbols[base[which] + np.maximum(sizes[which] - t - 1, 0)])
+        moved = np.repeat(np.arange(new + 1, dtype=np.int32), np.diff(np.concatenate([[0], m + k, [n]])))
+        tail = merged + moved.take(merged & _LOW, mode="clip")
         bwt, lcp = grown, grown_lcp
-        # places of whole strings, from 1, move by what came before them
-        full[full > 0] += np.searchsorted(new - np.arange(len(new)), full[full > 0] - 1, side="right")
-        full[which[done]] = new[done] + 1
-        places, which = new[~done], which[~done]
+        full[full > 0] += moved[full[full > 0] - 1]  # places of whole strings, from 1
+        full[which[done]] = m + at[done] + 1
+        places, which = m + at[~done], which[~done]
         if not len(places):
             break
-    order = np.argsort(bwt, kind="stable")
     shared = np.maximum(lcp[:-1], lcp[1:]) >= length
     place, out = full - 1, np.zeros((m, int(starts.max())), bool)
     for i in range(out.shape[1]):
         live = starts > i
         out[live, i] = shared[place[live]]
-        place[live] = order[place[live]]
+        place[live] = tail[place[live] - m] & _LOW
     return [row[:s] for row, s in zip(out, starts, strict=True)]
 
 
