@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardlake.operators.quantiles import running_sum
+
 
 def alert_severity(score: Column, amount: Column) -> Column:
     """Ordered tests; a high score whose inner test fails goes on to the tests below it."""
@@ -69,6 +71,30 @@ def routed(found: DataFrame) -> DataFrame:
     return found.withColumns({"expires_at": until, "priority": priority, "blocks": action == "immediate_block"})
 
 
+#: Fixed values of each action: its queue, the item's name, who or what it goes to, its status and reason, and the hours it holds.
+DETAILS = {
+    "immediate_block": ("blocked_users", "block", "auto_system", "blocked", "fraud_alert", 24),
+    "auto_investigate": ("investigation_queue", "inv", "auto_investigator", "pending", "high_risk", 168),
+    "manual_review": ("manual_review_queue", "review", "human_review", "pending", "review", 72),
+    "escalate": ("escalations", "escalation", "senior_fraud_team", "sent", "repeat_offender_pattern", None),
+    "notify_team": ("notifications", "notice", "email", "sent", "moderate_alert", None),
+    "log_only": ("log", "entry", "info", "logged", "low_risk", None),
+}
+
+
+def details(routed: DataFrame) -> DataFrame:
+    """A row for each routed alert as its queue holds it: queue, item, transaction_id, user_id, position (in its queue, from 1), detail (to, status, reason, hours, expires_at, fraud_score) and ts."""
+    fields = ("queue", "name", "to", "status", "reason", "hours")
+    made = F.lit(None)
+    for action, values in reversed(DETAILS.items()):
+        made = F.when(F.col("action") == action, F.struct(*[F.lit(v).cast("int" if n == "hours" else "string").alias(n) for n, v in zip(fields, values, strict=True)])).otherwise(made)
+    own = routed.withColumn("_d", made).withColumn("queue", F.col("_d.queue"))
+    placed = running_sum(own.select("transaction_id", "user_id", "ts", "queue", "fraud_score", "expires_at", "_d"), ["queue"], F.lit(1), "position")
+    item = F.concat(F.col("_d.name"), F.lit("_"), F.col("transaction_id").cast("string"))
+    detail = F.struct("_d.to", "_d.status", "_d.reason", "_d.hours", "expires_at", F.round("fraud_score", 6).alias("fraud_score"))
+    return placed.select("queue", item.alias("item"), "transaction_id", "user_id", F.col("position").cast("long").alias("position"), detail.alias("detail"), "ts")
+
+
 def notifications(routed: DataFrame) -> DataFrame:
     """subject and message of each routed alert that anyone is told of."""
     subject = F.format_string("Fraud alert: user %s", F.col("user_id").cast("string"))

@@ -373,9 +373,12 @@ judged AS (SELECT test, kind, feature, v AS value, CASE WHEN v >= c THEN 'critic
   FROM found JOIN (VALUES {", ".join(f"('{k}', {x[0]}, {x[1]}, {x[2]}, {y})" for k, (x, y) in drift.LEVELS.items())}) AS l(kind, a, b, c, again) USING (kind))"""
 
 
-def drift_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every test of drift as rows of one table: value, tail where there is one, severity, whether it alerts, confidence, whether to train anew, and advice."""
-    return drift.alert_rows(sides(spark, sf_dir), metrics.head_tail(daily_metrics(spark, sf_dir), "date", "accuracy"), _NUMERIC, _CATEGORICAL, "is_fraud")
+def drift_table(spark: SparkSession, sf_dir: str, hours_ago: int = 0) -> DataFrame:
+    """Every test of drift as rows of one table: value, tail where there is one, severity, whether it alerts, confidence, whether to train anew, advice, and the time of the run, some hours before the last transaction's."""
+    both = sides(spark, sf_dir)
+    at = F.lit(both.agg(F.max("ts")).first()[0]) - F.expr(f"interval {hours_ago} hours")
+    seen = both.filter(F.col("ts") <= at) if hours_ago else both
+    return drift.alert_rows(seen, metrics.head_tail(daily_metrics(spark, sf_dir), "date", "accuracy"), _NUMERIC, _CATEGORICAL, "is_fraud").withColumn("at", at)
 
 
 @query("SELECT test, kind, feature, round(value, 5) AS value, severity, is_alert, retrain FROM judged", _TESTS)
@@ -385,8 +388,13 @@ def all_drift_tests(spark, sf_dir):
 
 @query("SELECT severity, test, count(*) AS n FROM judged WHERE is_alert GROUP BY GROUPING SETS ((severity), (test))", _TESTS)
 def drift_summary(spark, sf_dir):
-    """Alerts by severity and by test."""
-    return drift_table(spark, sf_dir).filter("is_alert").groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"))
+    """Alerts of the last 24 hours by severity and by test; the log also has those of a run two days before."""
+    log = versions.Table(spark, records.scratch(spark, "drift-log"), "test string, severity string, at timestamp")
+    for hours in (48, 0):
+        log.append(drift_table(spark, sf_dir, hours).filter("is_alert"))
+    now = transactions(spark, sf_dir).agg(F.max("ts")).first()[0]
+    recent = log.read().filter(F.col("at") > F.lit(now) - F.expr("interval 24 hours"))
+    return recent.groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"))
 
 
 @query("SELECT test, feature, round(value, 5) AS value, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END AS priority FROM judged WHERE retrain", _TESTS)

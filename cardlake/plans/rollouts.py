@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardlake.operators import evaluation, feedback, models, rollout, rules
+from cardlake.operators import alerts as al
 from cardlake.operators import features as ft
 from cardlake.plans import sql
+from cardlake.plans.decisions import _ACTION, responses
 from cardlake.plans.learning import FEATURES, FLAGS, rows
 from cardlake.plans.monitoring import _CONSENSUS, bucket_sql, given
 from cardlake.plans.queries import DEPLOYED, deployments, query, r6, scored
@@ -121,3 +125,41 @@ def normality_of_differences(spark, sf_dir):
     one = s.agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
     found = evaluation.normal_distance(s.crossJoin(F.broadcast(one)), (F.col("d") - F.col("m")) / F.col("s"))  # one row
     return found.select("n", F.round("d", 5).alias("d"), F.round("p", 4).alias("p"))
+
+
+# ---- queues of actions ----
+
+_QUEUES = ", det(action, queue, name, receiver, status, hours) AS (VALUES " + ", ".join(f"('{a}', '{q}', '{n}', '{t}', '{st}', {h or 'NULL'})" for a, (q, n, t, st, _, h) in al.DETAILS.items()) + ")"
+
+
+@query("""SELECT queue, name || '_' || transaction_id AS item, user_id, row_number() OVER (PARTITION BY queue ORDER BY ts, transaction_id) AS position, receiver, status, ts + to_hours(hours::INT) AS expires_at, round(fraud_score, 5) AS fraud_score FROM acted JOIN det USING (action)""", _ACTION + _QUEUES)
+def action_queues(spark, sf_dir):
+    """Every action's detail rows in a table of its own, appended as one version each and read again."""
+    made = records.stored(al.details(al.routed(responses(spark, sf_dir))), "details")
+    parts, path = [], records.scratch(spark, "queues")
+    for queue, *_ in al.DETAILS.values():
+        table = Table(spark, f"{path}/{queue}", made.schema)
+        table.append(made.filter(F.col("queue") == queue), 0)
+        parts.append(table.read())
+    d = lambda c: F.col(f"detail.{c}")
+    return reduce(DataFrame.unionByName, parts).select("queue", "item", "user_id", "position", d("to").alias("receiver"), d("status").alias("status"), d("expires_at").cast("timestamp_ntz").alias("expires_at"), F.round(d("fraud_score"), 5).alias("fraud_score"))
+
+
+@query("""SELECT transaction_id, CAST(user_id AS VARCHAR) AS key, round(fraud_score, 5) AS fraud_score, fraud_score >= 0.3 AND round(fraud_score, 6) >= 0.3 AS is_alert, concat_ws(',', CASE WHEN is_high_amount THEN 'is_high_amount' END, CASE WHEN is_unusual_hour THEN 'is_unusual_hour' END, CASE WHEN is_rapid THEN 'is_rapid' END) AS reasons,
+       round(amount_vs_avg, 4) AS amount_vs_avg, product, 'rules-1' AS model FROM scored""", sql.SCORED)
+def detection_result_sink(spark, sf_dir):
+    """Detection results as keyed messages with transaction, decision, explanation, features and metadata, through a stream to a table, decoded again."""
+    s = scored(spark, sf_dir).withColumn("ts", F.col("ts").cast("string"))
+    names = ("amount_vs_avg", "velocity", "gap_seconds")
+    flags = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("is_high_amount", "is_unusual_hour", "is_rapid")]))
+    body = [
+        F.struct("transaction_id", "user_id", "ts", "amount", "product").alias("transaction"), F.struct("fraud_score", (r6("fraud_score") >= 0.3).alias("is_alert")).alias("decision"), flags.alias("explanation"),
+        F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names])).alias("features"), F.struct(F.lit("rules-1").alias("model")).alias("metadata"),
+    ]
+    path = records.scratch(spark, "results")
+    s.select(F.lit("results").alias("topic"), *records.message("user_id", *body)).write.json(path)
+    out = records.scratch(spark, "result-sink")
+    jobs.run(jobs.messages(spark, path, 4), lambda b, n: jobs.write_batch(b, f"{out}/rows", n), f"{out}/checkpoint")
+    kind = "transaction struct<transaction_id: bigint, product: string>, decision struct<fraud_score: double, is_alert: boolean>, explanation array<string>, features map<string, double>, metadata struct<model: string>"
+    v = jobs.read_batches(spark, f"{out}/rows", jobs.MESSAGE).select("key", F.from_json("value", kind).alias("v"))
+    return v.select("v.transaction.transaction_id", "key", F.round("v.decision.fraud_score", 5).alias("fraud_score"), "v.decision.is_alert", F.array_join("v.explanation", ",").alias("reasons"), F.round(F.col("v.features")["amount_vs_avg"], 4).alias("amount_vs_avg"), "v.transaction.product", "v.metadata.model")

@@ -146,3 +146,30 @@ def test_alarms_of_a_running_stream(spark, tmp_path):
     assert not any(r["raised"] for r in got["lag"])
     lagging = table.withColumn("lag", F.when(F.col("batch") < 4, 20_000).otherwise(0))
     assert [r["batch"] for r in jobs.alarm_states(lagging).filter("alarm = 'lag' and turned").orderBy("batch").collect()] == [2, 6]
+
+
+def test_batches_by_time(spark, stored, tmp_path):
+    """With an interval the query goes on: a file that comes later is worked off by a later batch."""
+    import shutil
+    import time
+    from pathlib import Path
+
+    from cardlake.streaming import jobs
+
+    out, path = str(tmp_path / "rows"), tmp_path / "in"
+    files = sorted(Path(stored).glob("part-*"))
+    path.mkdir()
+    shutil.copy(files[0], path / files[0].name)
+    stream = live.files(spark, str(path), spark.read.parquet(stored).schema)
+    query = jobs.run(stream, lambda b, n: jobs.write_batch(b.select("transaction_id"), out, n), str(tmp_path / "checkpoint"), every="1 second")
+    try:
+        for k, want in enumerate((spark.read.parquet(str(files[0])).count(), sum(spark.read.parquet(str(f)).count() for f in files[:2]))):
+            for _ in range(150):
+                if jobs.read_batches(spark, out, "transaction_id long").count() == want:
+                    break
+                time.sleep(0.2)
+            assert jobs.read_batches(spark, out, "transaction_id long").count() == want and len(jobs.committed_batches(spark, out)) == k + 1
+            if not k:
+                shutil.copy(files[1], path / files[1].name)
+    finally:
+        query.stop()
