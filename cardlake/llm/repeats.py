@@ -304,4 +304,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     kept = _kept(texts.join(runs, "r", "left").select("r", "text", "runs"), length)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
     told = cut(kept.select("r", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "repeats-told")
-    return own.join(told, own["_r"] == told["r"]).drop("_r", "r")
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay in the shared folder
+    told = told.withColumnRenamed("r", "_told")
+    return own.join(told, F.col("_r") == F.col("_told")).drop("_r", "_told")

@@ -27,7 +27,9 @@ def brute(texts, length):
 
 def check(spark, texts, **how):
     docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, r string")
-    got = {r["doc_id"]: tuple(r[c] for c in repeats.RESULTS) for r in repeats.remove_repeats(docs, **how).collect()}
+    found = repeats.remove_repeats(docs, **how)
+    assert sorted(found.columns) == sorted(["doc_id", "text", "r", *repeats.RESULTS]) and not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    got = {r["doc_id"]: tuple(r[c] for c in repeats.RESULTS) for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, how.get("length", repeats.LENGTH))
 
 
