@@ -386,15 +386,15 @@ def all_drift_tests(spark, sf_dir):
     return drift_table(spark, sf_dir).select("test", "kind", "feature", F.round("value", 5).alias("value"), "severity", "is_alert", "retrain")
 
 
-@query("SELECT severity, test, count(*) AS n FROM judged WHERE is_alert GROUP BY GROUPING SETS ((severity), (test))", _TESTS)
+@query("SELECT severity, test, count(*) AS n, count(*) FILTER (is_alert) AS alerts FROM judged GROUP BY GROUPING SETS ((severity), (test))", _TESTS)
 def drift_summary(spark, sf_dir):
-    """Alerts of the last 24 hours by severity and by test; the log also has those of a run two days before."""
-    log = versions.Table(spark, records.scratch(spark, "drift-log"), "test string, severity string, at timestamp")
+    """Results and alerts of the last 24 hours by severity and by test; the log also has those of a run two days before."""
+    log = versions.Table(spark, records.scratch(spark, "drift-log"), "test string, severity string, is_alert boolean, at timestamp")
     for hours in (48, 0):
-        log.append(drift_table(spark, sf_dir, hours).filter("is_alert"))
+        log.append(drift_table(spark, sf_dir, hours))
     now = transactions(spark, sf_dir).agg(F.max("ts")).first()[0]
     recent = log.read().filter(F.col("at") > F.lit(now) - F.expr("interval 24 hours"))
-    return recent.groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"))
+    return recent.groupingSets([[F.col("severity")], [F.col("test")]], "severity", "test").agg(F.count("*").alias("n"), F.count_if("is_alert").alias("alerts"))
 
 
 @query("SELECT test, feature, round(value, 5) AS value, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END AS priority FROM judged WHERE retrain", _TESTS)
