@@ -92,19 +92,9 @@ def first_seen(*key: str) -> Column:
     return (F.row_number().over(Window.partitionBy(*key).orderBy("ts", "transaction_id")) == 1).cast("int")
 
 
-def joined(*parts: Column) -> Column:
-    """Parts of a key as one text, lengths before them so that no two keys are alike; null parts are kept apart from empty ones."""
-    if len(parts) == 1:
-        return parts[0]
-    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
-
-
-def by_entity(txn: DataFrame, rows: dict[str, Column], items: dict[str, tuple[Column, Column]] | None = None, times: dict[str, Column] | None = None) -> DataFrame:
-    """A row for each transaction and entity, as quantiles.so_far takes it. rows: keys whose rows are counted; items: keys and what is counted of them once; times: keys of which only times are asked."""
-    none = F.lit(None).cast("string")
-    made = [(n, k, none, "rows") for n, k in rows.items()] + [(n, k, i, "items") for n, (k, i) in (items or {}).items()] + [(n, k, none, "none") for n, k in (times or {}).items()]
-    fields = [F.struct(F.lit(n).alias("entity"), k.alias("key"), i.alias("item"), F.lit(kind).alias("kind")) for n, k, i, kind in made]
-    return txn.select("transaction_id", "ts", F.inline(F.array(*fields)))
+def in_time(*key: str, order: tuple[str, ...] = ("ts", "transaction_id")) -> WindowSpec:
+    """A key's rows up to each of them, in time. Columns of order before the time may be such as never fall with it, so that windows share a sort."""
+    return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def rank_before(rows: DataFrame, key: str, value: str) -> DataFrame:

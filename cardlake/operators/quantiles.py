@@ -99,24 +99,35 @@ def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, order:
     return joined.withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)
 
 
-def so_far(long: DataFrame) -> DataFrame:
-    """What stood for each key up to each of its rows. long: transaction_id, ts, entity, key, item, kind (rows, items or none).
+def so_far(df: DataFrame, sums: dict[str, tuple[tuple[str, ...], Column]], first: dict[str, tuple[str, ...]] | None = None, before: dict[str, tuple[str, ...]] | None = None, order: tuple[str, ...] = ("ts", "transaction_id")) -> DataFrame:
+    """df with what stood for keys of few values, and so of many rows each, up to each row: the sum of a value (sums: keys and value), the key's first ts, and the ts of the key's row before.
 
-    upto counts the key's rows, or its distinct items, so far; first is the key's first time; before the time of the row before. All entities share one exchange, from one stored table; a key's rows are
-    ordered within even parts of time, and the parts' totals join them by the same partitioning. Where items are counted, the first row of each key and item comes with one more row that adds one before it.
+    Rows are ordered within even parts of time and all keys share the one exchange by part. How a part begins for a key comes from the parts' totals, a row for each key and part, which are stored, so
+    that they are broadcast where they are small. df is read once for each set of keys and should be stored; it is right for keys of many values too, but makes totals of up to df's rows.
     """
-    held = stored(long.withColumn("key", F.coalesce("key", F.lit("\0"))), "entities")
-    part = even_parts(held, "ts")
-    first = held.filter("kind = 'items'").groupBy("entity", "key", "item").agg(F.min(F.struct("ts", "transaction_id")).alias("at"))
-    news = first.select("at.transaction_id", "at.ts", "entity", "key", F.lit(1).alias("value"), F.lit(False).alias("real"))
-    rows = held.select("transaction_id", "ts", "entity", "key", (F.col("kind") == "rows").cast("int").alias("value"), F.lit(True).alias("real"))
-    parted = rows.unionByName(news).withColumn("_part", part)
-    totals = parted.groupBy("entity", "key", "_part").agg(F.sum("value").alias("_sum"), F.min("ts").alias("_min"), F.max(F.when(F.col("real"), F.col("ts"))).alias("_max"))
-    of = Window.partitionBy("entity", "key")
-    earlier = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("entity", "key", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"), F.min("_min").over(of).alias("first"), F.max("_max").over(earlier).alias("_last"))
-    inside = Window.partitionBy("entity", "key", "_part").orderBy("ts", "transaction_id", "real")
-    lag = F.max(F.when(F.col("real"), F.col("ts"))).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    own = parted.withColumns({"_in": F.sum("value").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_lag": lag})
-    joined = own.join(starts, ["entity", "key", "_part"]).filter("real")
-    return joined.select("transaction_id", "ts", "entity", (F.col("_in") + F.col("_from")).alias("upto"), "first", F.coalesce("_lag", "_last").alias("before"))
+    first, before = first or {}, before or {}
+    parted = df.withColumn("_part", even_parts(df, "ts"))
+    inside = parted.repartition("_part")
+    added, joins = {}, []
+    for i, keys in enumerate(dict.fromkeys([*(k for k, _ in sums.values()), *first.values(), *before.values()])):
+        of = Window.partitionBy(*keys)
+        earlier = of.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy("_part", *keys).orderBy(*[c for c in order if c not in keys])
+        totals, starts = {}, {}
+        for name, value in ((n, v) for n, (k, v) in sums.items() if k == keys):
+            totals[f"_t_{name}"], starts[f"_s_{name}"] = F.sum(value), F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0))
+            added[name] = F.sum(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)), lambda x, n=name: x + F.col(f"_s_{n}")
+        for name in (n for n, k in first.items() if k == keys):
+            totals[f"_t_{name}"], starts[f"_s_{name}"] = F.min("ts"), F.min(f"_t_{name}").over(of)
+            added[name] = None, lambda _, n=name: F.col(f"_s_{n}")
+        for name in (n for n, k in before.items() if k == keys):
+            totals[f"_t_{name}"], starts[f"_s_{name}"] = F.max("ts"), F.max(f"_t_{name}").over(earlier)
+            added[name] = F.lag("ts").over(upto), lambda x, n=name: F.coalesce(x, F.col(f"_s_{n}"))
+        made = parted.groupBy("_part", *keys).agg(*[a.alias(n) for n, a in totals.items()])
+        renamed = made.select(F.col("_part").alias(f"_p{i}"), *[F.col(k).alias(f"_{i}_{k}") for k in keys], *[c.alias(n) for n, c in starts.items()])
+        joins.append((stored(renamed, "starts"), keys, i))
+    told = inside.withColumns({f"_in_{n}": x for n, (x, _) in added.items() if x is not None})
+    for starts, keys, i in joins:
+        on = [F.col(k).eqNullSafe(F.col(f"_{i}_{k}")) for k in keys]
+        told = told.join(starts, reduce(lambda a, b: a & b, on, F.col("_part") == F.col(f"_p{i}")))
+    return told.select(*df.columns, *[made(F.col(f"_in_{n}") if x is not None else None).alias(n) for n, (x, made) in added.items()])

@@ -33,26 +33,35 @@ _D = "86400000000.0::DOUBLE"
        FROM (SELECT *, {", ".join(f"CASE WHEN row_number() OVER (PARTITION BY {k} ORDER BY ts, transaction_id) = 1 THEN 1 ELSE 0 END AS f_{a}" for a, k in
        (("emails_per_card", "card1, p_email"), ("cards_per_email", "p_email, card1"), ("merchants_per_user_month", "user_id, date_trunc('month', ts), product"), ("cards_per_user", "user_id, card1")))} FROM txn)""")
 def entity_counts_of_the_day_and_so_far(spark, sf_dir):
-    """Distinct cards, e-mails and merchants so far by entity, counts of the day so far, and days since first use, of all entities at once."""
-    day, month = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM")
-    t = transactions(spark, sf_dir)
-    user, card, mail = (F.col(c).cast("string") for c in ("user_id", "card1", "p_email"))
-    pairs = {"emails_per_card": (card, mail), "cards_per_email": (mail, card), "merchants_per_user_month": (ft.joined(user, month), F.col("product")), "cards_per_user": (user, card)}
-    of_day = {"day_count_email": ft.joined(mail, day), "day_count_card": ft.joined(card, day), "day_count_product": ft.joined(F.col("product"), day)}
-    long = so_far(ft.by_entity(t, of_day, pairs, {"days_of_card": card, "days_of_address": F.col("addr1").cast("string")}))
-    since = r6((F.unix_micros("ts") - F.unix_micros("first")) / 86_400_000_000.0)
-    return long.groupBy("transaction_id").agg(*[F.max(F.when(F.col("entity") == n, F.col("upto"))).alias(n) for n in (*pairs, *of_day)], *[F.max(F.when(F.col("entity") == n, since)).alias(n) for n in ("days_of_card", "days_of_address")])
+    """Distinct cards, e-mails and merchants so far by entity, counts of the day so far, and days since first use. Rows meet by card, then by user, as windows; keys of few values are summed up by parts of time."""
+    t = transactions(spark, sf_dir).select("transaction_id", "ts", "user_id", "card1", "p_email", "product", "addr1", F.to_date("ts").alias("day"), F.date_trunc("month", "ts").alias("month"))
+    ordered = ("day", "ts", "transaction_id")  # the day's rows and all rows of a key share a sort
+    cards = t.repartition("card1").withColumns({"of_pair": ft.first_seen("card1", "p_email"), "of_card": ft.first_seen("card1", "user_id")})
+    cards = cards.withColumns({"emails_per_card": F.sum("of_pair").over(ft.in_time("card1", order=ordered)), "_first": F.min("ts").over(ft.in_time("card1", order=ordered)), "day_count_card": F.count("*").over(ft.in_time("card1", "day"))})
+    users = cards.repartition("user_id").withColumn("of_month", ft.first_seen("user_id", "month", "product"))
+    users = users.withColumns({"merchants_per_user_month": F.sum("of_month").over(ft.in_time("user_id", "month")), "cards_per_user": F.sum("of_card").over(ft.in_time("user_id", order=("month", "ts", "transaction_id")))})
+    held = records.stored(users.drop("user_id", "card1", "month", "of_card", "of_month"), "entities")
+    one = F.lit(1)
+    told = so_far(held, {"cards_per_email": (("p_email",), F.col("of_pair")), "day_count_email": (("p_email", "day"), one), "day_count_product": (("product", "day"), one)}, {"_address": ("addr1",)}, order=ordered)
+    since = lambda c: r6((F.unix_micros("ts") - F.unix_micros(c)) / 86_400_000_000.0)
+    counts = ("emails_per_card", "cards_per_email", "merchants_per_user_month", "cards_per_user", "day_count_email", "day_count_card", "day_count_product")
+    return told.select("transaction_id", *counts, since("_first").alias("days_of_card"), since("_address").alias("days_of_address"))
 
 
 @query(f"""SELECT transaction_id, {", ".join(f"round((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY {k}))) / {_D}, 6) AS days_since_{n}" for n, k in _FIRST.items())},
        {", ".join(f"round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {k} ORDER BY ts, transaction_id))) / 3600000000.0::DOUBLE, 6) AS hours_since_{n}" for n, k in _HOURS.items())} FROM txn""")
 def time_deltas_by_entity(spark, sf_dir):
-    """Days since an entity was first seen and hours since its last transaction, of all entities at once."""
-    keys = {n: ft.joined(*[F.col(c).cast("string") for c in k.split(", ")]) for n, k in (_FIRST | _HOURS).items()}
-    long = so_far(ft.by_entity(transactions(spark, sf_dir), {}, times=keys))
-    since = lambda c, n, unit: F.max(F.when(F.col("entity") == n, r6((F.unix_micros("ts") - F.unix_micros(c)) / unit)))
-    days = [since("first", n, 86_400_000_000.0).alias(f"days_since_{n}") for n in _FIRST]
-    return long.groupBy("transaction_id").agg(*days, *[since("before", n, 3.6e9).alias(f"hours_since_{n}") for n in _HOURS])
+    """Days since an entity was first seen and hours since its last transaction. Rows meet by card, device and user, as windows; addresses and e-mails, of few values, are taken by parts of time."""
+    t = transactions(spark, sf_dir).select("transaction_id", "ts", "user_id", "card1", "product", "addr1", "device", "p_email")
+    t = t.repartition("card1").withColumn("card", F.min("ts").over(Window.partitionBy("card1"))).drop("card1")
+    of = lambda *k: Window.partitionBy(*k).orderBy("ts", "transaction_id")
+    t = t.repartition("device").withColumn("of_device", F.lag("ts").over(of("device"))).drop("device")
+    t = t.repartition("user_id").withColumns({"account": F.min("ts").over(ft.in_time("user_id")), "user": F.lag("ts").over(of("user_id")), "merchant": F.min("ts").over(Window.partitionBy("user_id", "product"))})
+    held = records.stored(t.drop("user_id", "product"), "entities")
+    told = so_far(held, {}, {"address": ("addr1",)}, {"email": ("p_email",)})
+    since = lambda c, unit: r6((F.unix_micros("ts") - F.unix_micros(c)) / unit)
+    hours = {"user": "user", "device": "of_device", "email": "email"}
+    return told.select("transaction_id", *[since(n, 86_400_000_000.0).alias(f"days_since_{n}") for n in _FIRST], *[since(c, 3.6e9).alias(f"hours_since_{n}") for n, c in hours.items()])
 
 
 @query("""SELECT transaction_id, round(d / a::DOUBLE, 6) AS day_share FROM (SELECT transaction_id, sum(fd) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, transaction_id ROWS UNBOUNDED PRECEDING) AS d,

@@ -1,12 +1,15 @@
 """Queries on rows that the generated tables rarely hold, against their SQL."""
 
 import math
+import uuid
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from cardlake.sources import records
 
 
 def both(spark, folder, name, rows):
@@ -37,3 +40,17 @@ def test_logarithm_of_a_transform(spark, tmp_path):
     got, want = both(spark, tmp_path, "amount_transforms", events([0.0, -1.0, -3.5, 2.5, None]))
     told = lambda rows: {r["transaction_id"]: repr(r["amount_log"]) for r in rows}
     assert told(got) == told(want)
+
+
+@pytest.mark.parametrize("name", ["entity_counts_of_the_day_and_so_far", "time_deltas_by_entity", "entity_counting_features"])
+def test_entities_store_a_row_a_transaction(spark, tmp_path, monkeypatch, name):
+    """Also with keys that are missing; what is stored between the steps has the table's rows, not one for each entity too."""
+    monkeypatch.setattr(records, "scratch", lambda _, kind: f"file://{tmp_path}/{kind}-{uuid.uuid4().hex}")
+    start, r = datetime(2024, 1, 30), np.random.default_rng(6)
+    at = lambda: start + timedelta(minutes=int(r.integers(0, 5000)))
+    rows = [(i, at(), int(r.integers(0, 4)) if i % 13 else None, "abc"[i % 3] if i % 11 else None, 1.0, '{"k": %d}' % r.integers(-7, 20) if i % 7 else "{}") for i in range(400)]
+    got, want = both(spark, tmp_path, name, rows)
+    key = lambda x: x["transaction_id"]
+    assert sorted(got, key=key) == sorted(({c: x[c] for c in got[0]} for x in want), key=key)
+    (held,) = [p for p in tmp_path.iterdir() if p.name.startswith("entities-")]
+    assert spark.read.parquet(str(held)).count() == len(rows)
