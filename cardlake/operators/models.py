@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
+from statistics import fmean, pstdev
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardlake.operators.evaluation import ranked
+from cardlake.sources.records import stored
 
 
 def aligned(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -47,12 +49,25 @@ def folded(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
     return ranked(df, key, label).withColumn("fold", F.pmod("_rank", F.lit(folds)).cast("int")).drop("_rank", "_all")
 
 
+def validated(df: DataFrame, pipeline: Pipeline, grid: list[dict], folds: int = 5) -> list[tuple[float, float]]:
+    """Mean and deviation, over df's folds (column fold), of each trial's AUC on the fold that it was not fit on.
+
+    df is written once, and folds are read from there one after the other: a fit keeps the rows of one trial only, and no fold computes df anew.
+    """
+    held = stored(df, "folds")
+    found = {r["fold"] for r in held.select("fold").distinct().limit(folds + 1).collect()}
+    if found != set(range(folds)):
+        raise ValueError(f"folds 0 to {folds - 1} must all have rows, and no other; found {found}")
+    area = BinaryClassificationEvaluator(labelCol="label")
+    of = lambda trial, i: area.evaluate(pipeline.fit(held.filter(F.col("fold") != i), trial).transform(held.filter(F.col("fold") == i)))
+    told = [[of(trial, i) for i in range(folds)] for trial in grid]
+    return [(fmean(t), pstdev(t)) for t in told]
+
+
 def searched(df: DataFrame, pipeline: Pipeline, grid: list[dict], folds: int = 5) -> tuple[PipelineModel, list[tuple[float, float]]]:
     """The model of the parameters with the best mean AUC, fit on all of df (column fold), and each trial's mean and deviation."""
-    search = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, foldCol="fold", parallelism=2
-    ).fit(df)
-    return search.bestModel, list(zip(map(float, search.avgMetrics), map(float, search.stdMetrics)))
+    trials = validated(df, pipeline, grid, folds)
+    return pipeline.fit(df, grid[max(range(len(grid)), key=lambda i: trials[i][0])]), trials
 
 
 def grid_of(model, **values: tuple) -> list[dict]:

@@ -118,8 +118,8 @@ def feature_selection(spark, sf_dir, top: int = 2):
 
 @query()
 def stratified_k_fold_auc(spark, sf_dir):
-    r = models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud")
-    _, trials = models.searched(r, models.estimator(FEATURES, ("product",), models.logistic()), [{}])
+    r = models.folded(rows(spark, sf_dir), "transaction_id", "is_fraud").select("fold", "label", "weight", "product", *[f"f_{c}" for c in FEATURES])
+    trials = models.validated(r, models.estimator(FEATURES, ("product",), models.logistic()), [{}])
     return spark.createDataFrame(trials, "auc double, deviation double")
 
 
